@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, near_dup, packing, quality, toxicity
+from . import decontaminate, language, licenses, lm_score, media, near_dup, packing, quality, toxicity, warc
 from .common import fold, labelled_sample, table
 
 #: Largest number of labelled rows of each class that a classifier learns from.
@@ -42,23 +42,46 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), default_tokenizer())
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.scores(_documents(spark, sf_dir))
+
+
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read_media(media.media_column(_documents(spark, sf_dir))).drop("stamps")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language.predict(docs.drop("lang"), language.fit(docs)).select("doc_id", _held_out(5, 0), "lang_pred", "score")
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     model = toxicity.fit(labelled_sample(docs, table(spark, sf_dir, "labels"), "toxic", TRAIN_PER_CLASS, 3, 1))
     return toxicity.score(docs, model).select("doc_id", _held_out(3, 1), "score", "predicted")
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(_documents(spark, sf_dir))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(decontaminate.contamination(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_dedup, op2_quality, op3_packing, op8_toxicity, op10_decontamination)
+    f.__name__: f
+    for f in (op1_minhash_dedup, op2_quality, op3_packing, op4_lm_scoring, op5_media, op6_language_id, op7_warc, op8_toxicity, op9_licenses, op10_decontamination)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op9_licenses": licenses.oracle(),
     "op1_minhash_dedup": rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
 s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) < 2 THEN ws ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS sh FROM w),
