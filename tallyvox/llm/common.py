@@ -64,6 +64,13 @@ def byte_chunks(texts: list[str | None], limit: int = 1 << 19) -> Iterator[tuple
         yield first, held
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most rows: what a Python worker holds at once, beside the batch that Spark sent."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def text_list(batch: pa.RecordBatch, name: str = "text") -> list[str | None]:
     return batch.column(name).to_pylist()
 

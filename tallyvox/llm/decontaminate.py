@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import ALNUM, GAMMA, Words, byte_chunks, mix, text_list
+from .common import ALNUM, GAMMA, Words, byte_chunks, mix, small, text_list
 
 #: Windows in a broadcast block: at about 200 bytes each some 200 MB at most, far less for usual benchmarks.
 BLOCK_WINDOWS = 500_000
@@ -35,7 +35,7 @@ def _windows(benchmark: DataFrame, size: int) -> DataFrame:
     """(hash, size, words, item_id): each distinct window of each item."""
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             ids = batch.column("item_id").to_pylist()
             for first, raws in byte_chunks(text_list(batch)):
                 words, rows = Words(raws, ALNUM), set()
@@ -79,7 +79,7 @@ def _scan(docs: DataFrame, rows: list) -> DataFrame:
     names = [*docs.columns, "n_words", "runs", "items"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             counts, runs, items = [], [], []
             for _, raws in byte_chunks(text_list(batch)):
                 words = Words(raws, ALNUM)
@@ -158,7 +158,7 @@ def remove_spans(found: DataFrame) -> DataFrame:
     """Cut the hit ranges out of text; a null text stays null, clean texts stay as they are."""
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             out = []
             for text, runs in zip(text_list(batch), batch.column("runs").to_pylist(), strict=True):
                 if text and runs:

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, byte_chunks, fold, mix, separators, text_list
+from .common import Words, byte_chunks, fold, mix, separators, small, text_list
 
 HIDDEN, PIECE = 16, 24
 #: Learning takes at most so many documents (those of the smallest id hash) and steps of so many runs.
@@ -223,7 +223,7 @@ def predict(docs: DataFrame, net: BiGRU) -> DataFrame:
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(BiGRU.load(shared.value))
         names = labeller.net.labels
-        for batch in batches:
+        for batch in small(batches):
             texts, langs, scores = text_list(batch), [], []
             for first, raws in byte_chunks(texts, 1 << 20):
                 totals, positions = labeller(raws)

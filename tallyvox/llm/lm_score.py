@@ -24,11 +24,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAMMA, SPACED, Words, byte_chunks, cut, fold, mix, text_list
+from .common import GAMMA, SPACED, Words, byte_chunks, cut, fold, mix, small, text_list
 
 MODULUS, HELD_OUT, EM_FOLD = 7, 2, 3
 #: Bytes of text in a unit, and so in a bucket's share of keys: a task's memory is about 20 times this.
-UNIT_BYTES = 12 << 20
+UNIT_BYTES = 6 << 20
 FIT, EM, HELD = 0, 1, 2
 FREQUENCY_BUCKETS = 20
 _END = np.uint64(0x5851F42D4C957F2D)
@@ -98,7 +98,7 @@ def units(docs: DataFrame, unit_bytes: int) -> DataFrame:
             held[role], size[role] = [], 0
             return pa.RecordBatch.from_arrays([pa.array([unit], pa.int64()), pa.array([role], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["unit", "role", "texts"])
 
-        for batch in batches:
+        for batch in small(batches):
             for doc, role, text in zip(batch.column("doc_id").to_pylist(), batch.column("role").to_pylist(), text_list(batch), strict=True):
                 raw = (text or "").encode()
                 held[role].append((doc, raw))

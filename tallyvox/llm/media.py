@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_list
+from .common import small, text_list
 
 UNIT, UNITS, TABLE_EVERY = 192, 64, 16
 PMT_PID, MEDIA_PID, PROGRAM = 0x1000, 0x0100, 1
@@ -175,7 +175,7 @@ def media_column(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and media for every row of docs (doc_id, text): the UTF-8 text (null: empty), padded with spaces, as a transport stream."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, 100):
             ids, texts = batch.column("doc_id"), text_list(batch)
             for a in range(0, len(texts), 256):
                 part = texts[a : a + 256]
@@ -195,7 +195,7 @@ def read_media(stored: DataFrame) -> DataFrame:
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, 100):
             rows = []
             for media in batch.column("media"):
                 raw = media.as_buffer().to_pybytes()

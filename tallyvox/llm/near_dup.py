@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAMMA, SPACED, Words, byte_chunks, cut, list_array, mix, text_list
+from .common import GAMMA, SPACED, Words, byte_chunks, cut, list_array, mix, small, text_list
 
 BANDS, ROWS = 36, 5
 SKETCH_BITS = 2048
@@ -74,7 +74,7 @@ def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _signed(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             ids, texts = batch.column("doc_id"), text_list(batch)
             for first, raws in byte_chunks(texts, 1 << 18):
                 sets, ends = shingles(Words(raws, SPACED), size)
@@ -99,7 +99,7 @@ def _sketches(sets: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             ids, texts = batch.column("doc_id"), text_list(batch)
             for first, raws in byte_chunks(texts):
                 sets, ends = shingles(Words(raws, SPACED), size)

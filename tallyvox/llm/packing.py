@@ -20,11 +20,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_list
+from .common import small, text_list
 
 WINDOW, END = 4096, 2
 #: Tokens after which a task closes its open windows: its memory is bounded by this and the longest document.
-BATCH_TOKENS = 1 << 22
+BATCH_TOKENS = 1 << 21
 
 
 class SumOfSquares:
@@ -115,7 +115,7 @@ def pack(lengths: list[int], window: int = WINDOW) -> Iterator[list[tuple[int, i
 class WordTokens:
     """Token ids of texts, by a cache of what each word between white space gives: no token of this kind of vocabulary spans white space."""
 
-    def __init__(self, path: str, remember: int = 1_500_000) -> None:
+    def __init__(self, path: str, remember: int = 400_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -175,7 +175,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, e
                     columns.append(pa.array([r[7] for r in rows], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-        for batch in batches:
+        for batch in small(batches):
             all_ids, texts = batch.column("doc_id").to_pylist(), text_list(batch)
             for a in range(0, len(texts), 500):
                 for doc, found in zip(all_ids[a : a + 500], encode(texts[a : a + 500]), strict=True):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, Words, byte_chunks, mix, text_list
+from .common import SPACED, Words, byte_chunks, mix, small, text_list
 
 BITS, DIM = 16, 12
 _C1, _C2, _C3, _C4 = (np.uint32(x) for x in (0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F, 0x165667B1))
@@ -63,7 +63,7 @@ def train(raws: list[bytes], labels: list[int], epochs: int = 4, rate: float = 0
     for raw in raws:
         found = [b for b, _ in tokens([raw])]
         at, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.int64), return_counts=True)
-        docs.append((at, (n / max(1, n.sum())).astype(np.float32)))
+        docs.append((at.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)))
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (1 << BITS, DIM)).astype(np.float32)
     out, bias = np.zeros((2, DIM), np.float32), np.zeros(2, np.float32)
@@ -116,7 +116,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "tex
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = shared.value
-        for batch in batches:
+        for batch in small(batches):
             out = [margins(raws, weights, bias) for _, raws in byte_chunks(text_list(batch, text_col))]
             z = np.concatenate(out) if out else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64())], [*batch.schema.names, "score"])

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ensure_checkpoint_dir
+from .common import ensure_checkpoint_dir, small
 
 CRLF = "\r\n"
 #: Captures in a file: what a reader holds at once.
@@ -77,7 +77,7 @@ def write_archives(pages: DataFrame, folder: str, least_revisit_bytes: int = 0)
     joined = rows.join(originals, ["sha", "size"], "left").select("page_id", "url", "html", F.coalesce("original", "page_id").alias("original"))
 
     def text_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             columns = [batch.column(c).to_pylist() for c in ("page_id", "url", "html", "original")]
             for a in range(0, len(columns[0]), 500):
                 yield pa.RecordBatch.from_arrays([pa.array([capture_text(*x) for x in zip(*(c[a : a + 500] for c in columns), strict=True)], pa.string())], ["value"])
