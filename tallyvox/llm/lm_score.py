@@ -28,7 +28,7 @@ from .common import GAMMA, SPACED, Words, byte_chunks, cut, fold, mix, small, te
 
 MODULUS, HELD_OUT, EM_FOLD = 7, 2, 3
 #: Bytes of text in a unit, and so in a bucket's share of keys: a task's memory is about 20 times this.
-UNIT_BYTES = 6 << 20
+UNIT_BYTES = 8 << 20
 FIT, EM, HELD = 0, 1, 2
 FREQUENCY_BUCKETS = 20
 _END = np.uint64(0x5851F42D4C957F2D)
@@ -44,21 +44,14 @@ def _spread(raw: bytes, kind: type) -> np.ndarray:
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted 64-bit keys as the gaps between them, of 6 bytes if all are so short."""
-    gaps = np.diff(keys, prepend=keys[:1])
-    raw = gaps.astype("<u8").view(np.uint8).reshape(-1, 8)
-    short = not len(gaps) or int(gaps.max()) < 1 << 48
-    first = keys[:1].astype("<u8").tobytes()
-    return bytes([short]) + first + np.ascontiguousarray(raw[:, :6] if short else raw).tobytes()
+    """Sorted 64-bit keys as the gaps between them, byte by byte, so that the high bytes, nearly all zero, take no room."""
+    gaps = np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)
+    return _squeeze(gaps.T)
 
 
 def unpack_keys(raw: bytes) -> np.ndarray:
-    if len(raw) == 1:
-        return np.zeros(0, np.uint64)
-    body = np.frombuffer(raw, np.uint8, offset=9).reshape(-1, 6 if raw[0] else 8)
-    gaps = np.zeros((len(body), 8), np.uint8)
-    gaps[:, : body.shape[1]] = body
-    return np.frombuffer(raw, "<u8", 1, 1) + np.cumsum(gaps.view("<u8")[:, 0], dtype=np.uint64)
+    gaps = np.ascontiguousarray(_spread(raw, np.uint8).reshape(8, -1).T).view("<u8")
+    return np.cumsum(gaps[:, 0], dtype=np.uint64)
 
 
 class Tokens:
