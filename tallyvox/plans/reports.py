@@ -113,7 +113,7 @@ def _work(spark: SparkSession) -> str:
 
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet")
+    rows = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parque[t]")  # as a pattern it may be a file or a folder
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
