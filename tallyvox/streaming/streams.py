@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..operators.audit import alerts_of_counts, sides_long
 from ..operators.merge import upsert_reviews
@@ -39,7 +39,7 @@ def stream_upsert(incoming: DataFrame, out: str, order: list[str], checkpoint: s
         touched = [r["_bucket"] for r in rows.select("_bucket").distinct().collect()]  # at most buckets values
         if not touched:
             return
-        stored = spark.read.schema(StructType(schema.fields).add("_bucket", "int")).parquet(out) if _exists(spark, out) else rows.limit(0)
+        stored = spark.read.schema(StructType([*schema.fields, StructField("_bucket", IntegerType())])).parquet(out) if _exists(spark, out) else rows.limit(0)
         merged = upsert_reviews(stored.where(F.col("_bucket").isin(touched)), rows, order)
         stage = f"{checkpoint}/stage/{batch_id}"
         merged.write.mode("overwrite").parquet(stage)
