@@ -10,6 +10,7 @@ powers of two, which need no padding.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
@@ -113,9 +114,15 @@ def pack(lengths: list[int], window: int = WINDOW) -> Iterator[list[tuple[int, i
 
 
 class WordTokens:
-    """Token ids of texts, by a cache of what each word between white space gives: no token of this kind of vocabulary spans white space."""
+    """Token ids of texts, by a cache of what each word between white space gives: no token of this kind of vocabulary spans white space.
+
+    Nor does one span a letter or digit and punctuation after it, so what ends in TAIL is put together from two entries.
+    """
+
+    TAIL = b".,;:!?$"
 
     def __init__(self, path: str, remember: int = 400_000) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark keeps the cores busy already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -126,10 +133,20 @@ class WordTokens:
         split = [t.encode().lower().split() if t else [] for t in texts]
         if len(self.known) > self.remember:
             self.known.clear()
-        new = list({w for words in split for w in words if w not in self.known})
+        known, ended = self.known, []
+        new = {w for words in split for w in words if w not in known}
+        for w in [w for w in new if w[-1] in self.TAIL]:
+            stem = w.rstrip(self.TAIL)
+            if stem and stem.decode()[-1].isalnum():
+                new.discard(w)
+                ended.append((w, stem, w[len(stem) :]))
+        new.update(part for _, *parts in ended for part in parts if part not in known)
+        new = list(new)
         for w, found in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self.known[w] = np.asarray(found.ids, "<u2").tobytes()
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u2") for words in split]
+            known[w] = np.asarray(found.ids, "<u2").tobytes()
+        for w, stem, tail in ended:
+            known[w] = known[stem] + known[tail]
+        return [np.frombuffer(b"".join(map(known.__getitem__, words)), "<u2") for words in split]
 
 
 _TOKENS: dict[str, WordTokens] = {}
