@@ -1,8 +1,9 @@
 """Licence scans by sentence rules, in DataFrame functions only.
 
-A text is cut into sentences; each is normalised (lower case, runs of other than a-z and 0-9 one space) and mapped to
-the identifier of a known licence sentence, or to none. The identifiers in order form a sequence, in which ordered
-rules are looked for, longer ones first; what a rule has matched no later rule takes.
+A text is cut into pieces at line ends and punctuation; each is normalised (lower case, runs of other than a-z and 0-9
+one space). One or more whole pieces in a row that together are a known licence sentence become its identifier, so
+neither wrapped lines nor punctuation inside a sentence matter; other pieces become none. The identifiers in order
+form a sequence, in which ordered rules are looked for, longer ones first; what a rule has matched no later rule takes.
 """
 
 from __future__ import annotations
@@ -89,6 +90,8 @@ RULES = [
 ]
 #: Every known sentence holds one of these, so a text without them has no known sentence.
 ANCHORS = ("license", "licensed", "permission", "warrant", "redistribut", "liab", "copyright", "free software", "mozilla", "mpl", "rights reserved")
+#: Sentences that stand in lists, after a number or letter.
+LISTED = ("bsd-source", "bsd-binary", "bsd-endorse")
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 END_OF_SENTENCE = r"([.!?;:])[ \t\r\n]+"
@@ -101,6 +104,13 @@ def sentences(text: Column | str) -> Column:
     return F.filter(F.transform(parts, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))), lambda s: s != "")
 
 
+def known_sentences() -> str:
+    """A regular expression for known sentences in pieces joined with bars; its two groups are the sentence without its list mark."""
+    by_length = sorted(SENTENCES.items(), key=lambda x: -len(x[1]))
+    one_of = lambda listed: "|".join(said.replace(" ", "[ |]") for name, said in by_length if (name in LISTED) == listed)
+    return rf"(?<=\|)(?:(?:(?:[0-9]{{1,2}}|[a-z]|[ivx]{{1,4}})[ |])?({one_of(True)})|({one_of(False)}))(?=\|)"
+
+
 def pattern(ids: tuple[str, ...]) -> str:
     return "".join(f"<{i}>" for i in ids)
 
@@ -108,17 +118,18 @@ def pattern(ids: tuple[str, ...]) -> str:
 def license_scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_sentences, n_known, sentence_ids and licenses for every row of docs (doc_id, text; other columns are ignored).
 
-    sentence_ids joins the identifiers of known sentences with commas; unknown sentences in between part a rule's
-    sentences. licenses has the distinct licences found, sorted, joined with commas; empty if none. Null and empty
+    n_sentences counts the pieces. sentence_ids joins the identifiers of known sentences with commas; unknown pieces in
+    between part a rule's sentences, but for those of digits only (list and page numbers). licenses has the distinct licences found, sorted, joined with commas; empty if none. Null and empty
     texts have no sentences.
     """
-    known = F.create_map(*chain.from_iterable((F.lit(said), F.lit(f"<{name}>")) for name, said in SENTENCES.items()))
+    known = F.create_map(*chain.from_iterable((F.lit(f"<{said}>"), F.lit(f"<{name}>")) for name, said in SENTENCES.items()))
     lower = F.translate("text", _UPPER, _LOWER)
-    may = lower.rlike("|".join(ANCHORS))
+    may = lower.rlike("|".join(a.replace(" ", "[^a-z0-9]+") for a in ANCHORS))
     cut_up = docs.select("doc_id", sentences(F.coalesce("text", F.lit(""))).alias("said"), F.coalesce(may, F.lit(False)).alias("may"))
-    mapped = cut_up.select(
-        "doc_id", F.size("said").cast("long").alias("n_sentences"), F.when(F.col("may"), F.array_join(F.transform("said", lambda s: F.coalesce(F.try_element_at(known, s), F.lit("-"))), "")).otherwise("").alias("sequence")
-    )
+    marked = F.regexp_replace(F.concat(F.lit("|"), F.array_join("said", "|"), F.lit("|")), known_sentences(), "<$1$2>")
+    pieces = F.regexp_extract_all(marked, F.lit("(<[^>]+>|[^|<>]+)"), F.lit(1))
+    named = F.transform(pieces, lambda s: F.when(s.startswith("<"), F.element_at(known, F.translate(s, "|", " "))).when(s.rlike("^[0-9 ]+$"), "").otherwise("-"))
+    mapped = cut_up.select("doc_id", F.size("said").cast("long").alias("n_sentences"), F.when(F.col("may"), F.array_join(named, "")).otherwise("").alias("sequence"))
     # Each step notes whether its rule matches and takes the match out; the columns are carried in one struct.
     out = mapped.withColumns({"rest": F.col("sequence"), "found": F.array().cast("array<string>")})
     hit = F.col("sequence").contains("<")
@@ -131,7 +142,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
-    """The same result in SQL, from the same fixed values."""
+    """The result in SQL, from the same fixed values, for texts whose known sentences are one piece each (as in the given tables)."""
     values = ", ".join(f"('<{name}>', '{said}')" for name, said in SENTENCES.items())
     steps = []
     for i, (name, ids) in enumerate(RULES):

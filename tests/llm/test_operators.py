@@ -163,3 +163,53 @@ def test_licences(spark, docs, empty):
     assert got == {0: ("ISC,all-rights-reserved", 2), 1: ("", 0), 2: ("MIT", 1), 3: ("", 0)}
     assert all(any(a in s for a in licenses.ANCHORS) for s in licenses.SENTENCES.values())
     assert licenses.license_scan(docs).count() == len(TEXTS) and licenses.license_scan(empty).count() == 0
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+ENDORSE = "\n\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+#: (licence, text, known sentences): each rule's canonical wording.
+CANONICAL = [
+    ("MIT", MIT, 5), ("BSD-2-Clause", BSD, 3), ("BSD-3-Clause", BSD + ENDORSE, 4), ("ISC", ISC, 2), ("Apache-2.0", APACHE, 5), ("GPL-3.0-or-later", GPL, 3), ("MPL-2.0", MPL, 2),
+    ("GPL-3.0-or-later", GPL.split("\n\n")[0], 1), ("ISC", ISC.split("\n\n")[0], 1), ("MPL-2.0", MPL.split(" If")[0], 1), ("Apache-2.0", APACHE.split(" You")[0], 2), ("MIT", MIT.split("\n\n")[2], 1),
+    ("BSD-2-Clause", BSD.replace("1. ", "a) ").replace("2. ", "(b) "), 3), ("BSD-3-Clause", (BSD + ENDORSE).replace(". R", ") R").replace("3. ", "* "), 4),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0.", 1), ("MIT", "Released under the MIT License.", 1), ("MIT", "Licensed under the MIT License.", 1),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3.", 1), ("CC-BY-4.0", "Licensed under CC BY 4.0.", 1), ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0.", 1),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0.", 1), ("CC0-1.0", "Licensed under CC0 1.0.", 1), ("all-rights-reserved", "All rights reserved.", 1),
+    *((name, f"SPDX-License-Identifier: {said}", 1) for name, said in [("MIT", "MIT"), ("ISC", "ISC"), ("BSD-2-Clause", "BSD-2-Clause"), ("BSD-3-Clause", "BSD-3-Clause"), ("Apache-2.0", "Apache-2.0"), ("GPL-3.0", "GPL-3.0-only"), ("GPL-3.0-or-later", "GPL-3.0-or-later"), ("MPL-2.0", "MPL-2.0")]),
+]
+
+
+def licences_of(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r["doc_id"]: (r["licenses"], r["n_known"]) for r in licenses.license_scan(rows).collect()}
+
+
+def test_licences_in_canonical_wording(spark):
+    got = licences_of(spark, [f"Some words before\n{text}\nand after" for _, text, _ in CANONICAL])
+    assert got == {i: (name, n) for i, (name, _, n) in enumerate(CANONICAL)}
+    assert {name for name, _, _ in CANONICAL} == {name for name, _ in licenses.RULES}
