@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import textwrap
 import zlib
 from collections import defaultdict
 
@@ -213,3 +214,11 @@ def test_licences_in_canonical_wording(spark):
     got = licences_of(spark, [f"Some words before\n{text}\nand after" for _, text, _ in CANONICAL])
     assert got == {i: (name, n) for i, (name, _, n) in enumerate(CANONICAL)}
     assert {name for name, _, _ in CANONICAL} == {name for name, _ in licenses.RULES}
+
+
+@pytest.mark.parametrize(("prefix", "width"), [("", 76), (" * ", 70), ("# ", 72), ("// ", 30)])
+def test_licences_in_wrapped_lines(spark, prefix, width):
+    wrap = lambda text: "\n".join(prefix + line for part in text.split("\n") for line in textwrap.wrap(part, width) or [""])
+    got = licences_of(spark, [wrap(f"Some words before\n{text}\nand after") for _, text, _ in CANONICAL])
+    assert got == {i: (name, n) for i, (name, _, n) in enumerate(CANONICAL)}
+    assert licences_of(spark, ["No stop before\nReleased under the MIT License\nnor after", "All rights\r\nreserved", "not all rights\nreserved"]) == {0: ("MIT", 1), 1: ("all-rights-reserved", 1), 2: ("", 0)}
