@@ -222,3 +222,19 @@ def test_licences_in_wrapped_lines(spark, prefix, width):
     got = licences_of(spark, [wrap(f"Some words before\n{text}\nand after") for _, text, _ in CANONICAL])
     assert got == {i: (name, n) for i, (name, _, n) in enumerate(CANONICAL)}
     assert licences_of(spark, ["No stop before\nReleased under the MIT License\nnor after", "All rights\r\nreserved", "not all rights\nreserved"]) == {0: ("MIT", 1), 1: ("all-rights-reserved", 1), 2: ("", 0)}
+
+
+class Everything(dict):
+    def __contains__(self, feature):
+        return True
+
+
+def restorer_of(text):
+    return toxicity.Restorer(toxicity.CharModel(toxicity.CharModel.count(set(text.split()))), Everything())
+
+
+def test_toxicity_restores_doubled_letters_and_edge_signs():
+    restored = restorer_of("you are an idiot and a clown what an audio radio said the stupid good folk ass of hit shit")
+    for said, meant in [("idioot", "idiot"), ("stuupid", "stupid"), ("(lown", "clown"), ("a$$", "ass"), ("$hit", "shit"), ("aud!o.", "audio"), ("radio+", "radio"), ("idio+", "idiot"), ("(idiot)", "idiot"), ("idiot!", "idiot"), ("good", "good"), ("ass", "ass")]:
+        assert meant in restored(said), said
+    assert restored("folk") == {"folk"} and restored("...") == set() == restored("")
