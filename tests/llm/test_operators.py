@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import textwrap
+import time
 import zlib
 from collections import defaultdict
 
@@ -238,3 +239,31 @@ def test_toxicity_restores_doubled_letters_and_edge_signs():
     for said, meant in [("idioot", "idiot"), ("stuupid", "stupid"), ("(lown", "clown"), ("a$$", "ass"), ("$hit", "shit"), ("aud!o.", "audio"), ("radio+", "radio"), ("idio+", "idiot"), ("(idiot)", "idiot"), ("idiot!", "idiot"), ("good", "good"), ("ass", "ass")]:
         assert meant in restored(said), said
     assert restored("folk") == {"folk"} and restored("...") == set() == restored("")
+
+
+def test_toxicity_keeps_long_and_spaced_words_whole():
+    restored = restorer_of("you are an idiot and a clown what an audio said the stupid one")
+    assert "idiot" in restored("idi" + "o" * 60 + "t") and "idiot" in restored("i--" * 1 + "-" * 100 + "d.i.o" + "_" * 100 + "t")
+    for said in ("what a i d i o t", "y o u i d i o t", "Y 0 U 1 D 1 O T said", "i d i o t", "y o u a r e a n i d i o t", "s t u p i d i d i o t"):
+        assert "idiot" in restored(said), said
+    assert {"you", "stupid"} <= restored("y o u s t u p i d o n e")
+    began = time.time()
+    long = "".join("youareanidiot!"[i % 14] for i in range(200_000))
+    assert restored(long) and restored(" ".join(long[:50_000])) and time.time() - began < 60
+
+
+def slow_decode(token, model):
+    """All ways through the lattice."""
+    ways = [(0.0, "")]
+    for options in toxicity.lattice(token):
+        ways = [(cost + price, path + x) for cost, path in ways for x, price in options]
+    padded = lambda path: f"^^{path}$"
+    return min((round(cost + sum(model(padded(path)[i : i + 3]) for i in range(len(path) + 1)), 6), path) for cost, path in ways)[1]
+
+
+def test_toxicity_decodes_the_cheapest_path(monkeypatch):
+    model = toxicity.CharModel(toxicity.CharModel.count("you are an idiot and a clown what an audio said".split()))
+    for flush in (1, 3, 64):
+        monkeypatch.setattr(toxicity, "FLUSH", flush)
+        for said in ("idi00t", "y0u@re4n1d!ot", "clloo0wn!", "aud1o", "!!", "w|-|at"):
+            assert toxicity.decode(said, model) == slow_decode(said, model)
