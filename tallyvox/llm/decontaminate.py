@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import ALNUM, GAMMA, Words, byte_chunks, mix, small, text_list
+from .common import ALNUM, GAMMA, Words, byte_chunks, cut, mix, small, text_list
 
 #: Windows in a broadcast block: at about 200 bytes each some 200 MB at most, far less for usual benchmarks.
 BLOCK_WINDOWS = 500_000
@@ -120,7 +121,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window_words: int = 10,
     """docs with n_words, runs (word and byte ranges inside any occurrence of a window) and items (ids as sorted strings) added.
 
     An item of fewer words is one window; one without words has none. Null and empty texts have no words. Columns of
-    docs with these names are replaced. Rows of one doc_id are told apart only if the benchmark fits one block.
+    docs with these names are replaced. Several blocks are joined by a row key that a checkpoint fixes, so doc_id may be null or repeat.
     """
     docs = docs.drop("n_words", "runs", "items")
     windows = _windows(benchmark, window_words)
@@ -128,13 +129,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window_words: int = 10,
     blocks = max(1, -(-n // block_windows))
     if blocks == 1:
         return _scan(docs, windows.collect())
-    parts = [_scan(docs, windows.where(F.pmod("hash", F.lit(blocks)) == i).collect()) for i in range(blocks)]
-    whole = parts[0]
-    for part in parts[1:]:
-        found = part.where(F.size("runs") > 0).select("doc_id", F.col("runs").alias("runs2"), F.col("items").alias("items2"))
-        whole = whole.join(found, "doc_id", "left").withColumns(
-            {"runs": F.concat("runs", F.coalesce("runs2", F.array().cast("array<struct<first:long,end:long,from_byte:long,to_byte:long>>"))), "items": F.array_sort(F.array_union("items", F.coalesce("items2", F.array().cast("array<string>"))))}
-        ).drop("runs2", "items2")
+    key = "_row"
+    while key in docs.columns:
+        key += "_"
+    keyed = cut(docs.withColumn(key, F.monotonically_increasing_id()))
+    parts = [_scan(keyed, windows.where(F.pmod("hash", F.lit(blocks)) == i).collect()) for i in range(blocks)]
+    hits = reduce(DataFrame.unionByName, [part.where(F.size("runs") > 0).select(key, "runs", "items") for part in parts[1:]])
+    more = hits.groupBy(key).agg(F.flatten(F.collect_list("runs")).alias("runs2"), F.flatten(F.collect_list("items")).alias("items2"))
+    whole = parts[0].join(more, key, "left").select(
+        *docs.columns,
+        "n_words",
+        F.when(F.col("runs2").isNull(), F.col("runs")).otherwise(F.concat("runs", "runs2")).alias("runs"),
+        F.when(F.col("items2").isNull(), F.col("items")).otherwise(F.array_sort(F.array_union("items", "items2"))).alias("items"),
+    )
     merge = lambda acc, x: F.when(
         (F.size(acc) > 0) & (x["first"] <= F.element_at(acc, -1)["end"]),
         F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["first"].alias("first"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end"), F.element_at(acc, -1)["from_byte"].alias("from_byte"), F.greatest(F.element_at(acc, -1)["to_byte"], x["to_byte"]).alias("to_byte")))),

@@ -267,3 +267,13 @@ def test_toxicity_decodes_the_cheapest_path(monkeypatch):
         monkeypatch.setattr(toxicity, "FLUSH", flush)
         for said in ("idi00t", "y0u@re4n1d!ot", "clloo0wn!", "aud1o", "!!", "w|-|at"):
             assert toxicity.decode(said, model) == slow_decode(said, model)
+
+
+def test_decontamination_blocks_keep_null_and_repeated_ids(spark):
+    items = spark.createDataFrame([(i, f"a{i} b{i} c{i} d{i}") for i in range(6)], "item_id long, text string")
+    texts = [(None, "x a0 b0 c0 d0 y"), (None, "clean"), (None, "a1 b1 c1 d1 x a2 b2 c2 d2"), (7, "a3 b3 c3 d3"), (7, "a4 b4 c4 d4 a5 b5 c5 d5"), (7, "clean too"), (7, "a3 b3 c3 d3"), (8, None)]
+    rows = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    found = [decontaminate.contamination(rows, items, 3, block) for block in (500_000, 3, 1)]
+    one, several, many = (sorted(map(str, f.collect())) for f in found)
+    assert one == several == many and len(one) == len(texts)
+    assert sorted(str(r["text"]) for r in decontaminate.remove_documents(found[1]).collect()) == ["None", "clean", "clean too"]
