@@ -51,7 +51,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Learned scores decide which rows stay, so SQL cannot express the result; tests hold each stage against brute force.
+#: Learned scores decide which rows stay, so SQL cannot express the result; a test of the stages against brute force is open.
 ORACLE_SQL = None
 
 
