@@ -95,6 +95,34 @@ def test_packing_round_trip(docs, empty):
     assert packing.pack_documents(empty, default_tokenizer()).count() == 0
 
 
+def test_token_ids_are_the_tokenizers():
+    """Words, endings and marks by cache or at once, against the tokenizer on the whole text; twice, as the second answer comes from the cache."""
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = random.Random(3)
+    texts = ["İ. ß!", "A. é. É! J\u030c. ǰ, H\u0331?", "don't. DON'T! it's, 's.", "x...y. z... ...", "<|endoftext|>. A<|ENDOFTEXT|>b", "ǅ. ŉ! ﬁ? Σς. ΑΣ.", "1.5. 3,000! a1.", "\x00. \x1c a.\x85b.\u00a0c.", "漢字。 가각 हिन्दी.", "ÀÉÎÕÜ. àéîõüÿßæð÷×. ÷", '(a) "b." $$$ 9$ a$.', "a.\u0338 b.\n c,\t d;\r\ne:\v f!\f g?", None, ""]
+    alphabet = "aAbBzZ0 9.,;:!?$'\"()#*\n\t<|>éÉßÿñÑİıΣς\u0338\u0301\u030c\u00a0 漢가"
+    texts += ["".join(rng.choices(alphabet, k=rng.randrange(1, 60))) for _ in range(2000)]
+    texts += [" ".join(f"{chr(c)}. A{chr(c)} b{chr(c)}!" for c in range(a, a + 64)) for a in range(0, 0x3000, 64)]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = public_tokenizers.path(name)
+        tokenizer, ids = Tokenizer.from_file(path), packing.TokenIds(path, 2, remember=500)
+        assert ids.by_words == (name == "word_bpe_49k.json")
+        want = [tokenizer.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+        for _ in range(2):
+            assert [x.tolist() for a in range(0, len(texts), 50) for x in ids(texts[a : a + 50])] == want
+
+
+def test_packing_keeps_repeated_and_missing_ids(spark):
+    rows = spark.createDataFrame([(1, "a b", 5), (1, "a b", 6), (None, "c", 7), (2, None, 8)], "doc_id long, text string, length int").repartition(2)
+    got = packing.pack_documents(rows, default_tokenizer()).collect()
+    assert sorted((r["doc_id"] or 0, r["start"], r["doc_tokens"]) for r in got for _ in range(r["start"] == 0)) == [(0, 0, 2), (1, 0, 3), (1, 0, 3), (2, 0, 1)]
+    assert sum(r["length"] for r in got) == 9
+
+
 def test_language_model(docs, empty):
     rows = {r["doc_id"]: r for r in lm_score.scores(docs, unit_bytes=4096).collect()}
     assert len(rows) == len(TEXTS) and rows[0]["n_tokens"] == rows[1]["n_tokens"] == 1
