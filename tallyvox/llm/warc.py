@@ -1,8 +1,9 @@
 """WARC archives: write captures, read them back, join the records of each capture.
 
-Spark's text writer makes the files, one string of a request, a response or revisit, and a metadata record for each
-page; of pages with equal payloads only the one with the largest page_id is a response. Readers take whole files of
-bounded size, and captures are assembled from records by their concurrent-to identifiers.
+Each page gives a request, a response or revisit, and a metadata record; of pages with equal payloads only the one with
+the largest page_id is a response. Spark's text writer makes the files, one string of about FILE_BYTES of captures
+each, so that a reader holds at most that and one page. Captures are assembled from records by their concurrent-to
+identifiers.
 """
 
 from __future__ import annotations
@@ -19,11 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ensure_checkpoint_dir, small
+from .common import cut, shared_folder, small
 
 CRLF = "\r\n"
-#: Captures in a file: what a reader holds at once.
-PER_FILE = 2000
+END_OF_RECORD = CRLF * 2
+#: Bytes of captures after which a file ends.
+FILE_BYTES = 8 << 20
+#: A payload that more than one in so many of the repeated pages have is hot; there are fewer such payloads than this, so they are broadcast.
+HOT_SHARE = 1000
 RECORDS = "record_id string, record_type string, concurrent_to string, refers_to string, target_uri string, date string, payload_bytes long, payload_digest string, payload binary, fields map<string,string>"
 
 
@@ -31,8 +35,9 @@ def digest32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int, kind: str) -> str:
-    return f"<urn:tallyvox:page:{page_id}:{kind}>"
+def capture_id(page_id: int | None, digest: str, single: bool) -> str:
+    """The identifier of a page's response or revisit; that of a response that others revisit follows from page and payload, others are drawn."""
+    return f"urn:tallyvox:page:{'' if page_id is None else page_id}:{digest}" + ("" if single else f":{uuid.uuid4().hex}")
 
 
 def _record(kind: str, rid: str, block: str, **headers: str | None) -> str:
@@ -41,8 +46,8 @@ def _record(kind: str, rid: str, block: str, **headers: str | None) -> str:
     return CRLF.join([*lines, f"Content-Length: {len(block.encode())}", "", block])
 
 
-def capture_text(page_id: int, url: str | None, html: str | None, original: int) -> str:
-    """The records of one capture, without the end of the last; a page that is not its own original is a revisit of it."""
+def capture_text(page_id: int | None, url: str | None, html: str | None, original: int | None, holders: int) -> str:
+    """The records of one capture, without the end of the last. holders pages have the payload and the page_id original; 0: the payload is not repeated."""
     uri = quote(url or "about:blank", safe=":/?#[]@!$&'()*+,;=%~")
     payload = html or ""
     raw = payload.encode()
@@ -51,38 +56,64 @@ def capture_text(page_id: int, url: str | None, html: str | None, original: int)
         path, host = (parts.path or "/") + (f"?{parts.query}" if parts.query else ""), parts.netloc
     except ValueError:
         path, host = "/", ""
-    rid, revisit = record_id(page_id, "response"), original != page_id
-    sha = f"sha1:{digest32(raw)}"
+    revisit, digest = holders > 0 and original != page_id, digest32(raw)
+    own = capture_id(page_id, digest, holders == 1 and not revisit)
+    rid, sha = f"<{own}>", f"sha1:{digest}"
     head = CRLF.join(["HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8", f"Content-Length: {len(raw)}", "", ""])
     http = {"Content_Type": "application/http; msgtype=response", "WARC_Target_URI": uri, "WARC_Payload_Digest": sha}
     if revisit:
-        main = _record("revisit", rid, head, **http, WARC_Profile="http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", WARC_Refers_To=record_id(original, "response"))
+        main = _record("revisit", rid, head, **http, WARC_Profile="http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", WARC_Refers_To=f"<{capture_id(original, digest, True)}>")
     else:
         main = _record("response", rid, head + payload, **http)
-    request = _record("request", record_id(page_id, "request"), f"GET {path} HTTP/1.1{CRLF}Host: {host}{CRLF}{CRLF}", Content_Type="application/http; msgtype=request", WARC_Target_URI=uri, WARC_Concurrent_To=rid)
-    fields = f"page_id: {page_id}{CRLF}payload_bytes: {len(raw)}{CRLF}"
-    metadata = _record("metadata", record_id(page_id, "metadata"), fields, Content_Type="application/warc-fields", WARC_Target_URI=uri, WARC_Concurrent_To=rid)
-    return f"{CRLF}{CRLF}".join([request, main, metadata])
+    request = _record("request", f"<{own}:request>", f"GET {path} HTTP/1.1{CRLF}Host: {host}{CRLF}{CRLF}", Content_Type="application/http; msgtype=request", WARC_Target_URI=uri, WARC_Concurrent_To=rid)
+    fields = f"page_id: {'' if page_id is None else page_id}{CRLF}payload_bytes: {len(raw)}{CRLF}"
+    metadata = _record("metadata", f"<{own}:metadata>", fields, Content_Type="application/warc-fields", WARC_Target_URI=uri, WARC_Concurrent_To=rid)
+    return END_OF_RECORD.join([request, main, metadata])
 
 
-def write_archives(pages: DataFrame, folder: str, least_revisit_bytes: int = 0) -> None:
-    """Write pages (page_id, url, html) as gzip-compressed WARC files into folder.
+def _with_originals(rows: DataFrame, least_revisit_bytes: int) -> DataFrame:
+    """rows (page_id, url, html, sha, size) with the largest page_id of their payload (original) and how many rows have both (holders; 0 where the payload is not repeated).
 
-    Pages without page_id are not captured. A null html is an empty payload, a null url about:blank. Of pages with
-    equal payloads of at least least_revisit_bytes bytes, that with the largest page_id is written in full.
+    Payloads that are hot, as empty pages may be, meet their rows by broadcast; the others have few rows each.
     """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html")).where("page_id IS NOT NULL")
+    by_page = rows.where(F.col("size") >= least_revisit_bytes).groupBy("sha", "size", "page_id").agg(F.count("*").alias("n"))
+    repeated = by_page.groupBy("sha", "size").agg(F.max(F.struct("page_id", "n")).alias("top"), F.sum("n").alias("copies")).where("copies > 1")
+    repeated = cut(repeated.select("sha", "size", F.col("top.page_id").alias("original"), F.col("top.n").alias("holders"), "copies"))
+    total = repeated.agg(F.sum("copies")).first()[0] or 0
+    hot = F.col("copies") * HOT_SHARE > total
+    known = rows.join(F.broadcast(repeated.where(hot).select("sha", "size", F.col("original").alias("o"), F.col("holders").alias("h"))), ["sha", "size"], "left")
+    # A row that has met its payload gets a key that none of the others has, so hot rows do not meet again.
+    key = F.when(F.col("h").isNull(), F.concat_ws(":", "sha", "size")).otherwise(F.concat_ws(":", F.lit("hot"), F.xxhash64("page_id", "url")))
+    rest = repeated.where(~hot).select(F.concat_ws(":", "sha", "size").alias("key"), "original", "holders")
+    return known.withColumn("key", key).join(rest, "key", "left").select("page_id", "url", "html", F.when(F.col("h").isNull(), F.col("original")).otherwise(F.col("o")).alias("original"), F.coalesce("h", "holders", F.lit(0)).alias("holders"))
+
+
+def write_archives(pages: DataFrame, folder: str, least_revisit_bytes: int = 0, file_bytes: int = FILE_BYTES) -> None:
+    """Write pages (page_id, url, html; other columns are ignored) as gzip-compressed WARC files into folder, one capture for each row.
+
+    A null html is an empty payload, a null url about:blank; a null page_id stays unknown and is smaller than any other.
+    page_id may repeat. Of rows with equal payloads of at least least_revisit_bytes bytes, those with the largest
+    page_id are written in full, the others revisit them; usually that is one row, and its record identifier is what
+    the revisits refer to. Where several rows have both that page_id and that payload, each is written in full, and the
+    revisits refer to the page and payload that all of them have.
+    """
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumns({"sha": F.sha1("html"), "size": F.octet_length("html")})
-    originals = rows.groupBy("sha", "size").agg(F.max("page_id").alias("original"), F.count("*").alias("copies")).where((F.col("copies") > 1) & (F.col("size") >= least_revisit_bytes)).drop("copies")
-    joined = rows.join(originals, ["sha", "size"], "left").select("page_id", "url", "html", F.coalesce("original", "page_id").alias("original"))
+    joined = _with_originals(rows, least_revisit_bytes)
 
     def text_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches):
-            columns = [batch.column(c).to_pylist() for c in ("page_id", "url", "html", "original")]
-            for a in range(0, len(columns[0]), 500):
-                yield pa.RecordBatch.from_arrays([pa.array([capture_text(*x) for x in zip(*(c[a : a + 500] for c in columns), strict=True)], pa.string())], ["value"])
+        held, size = [], 0
+        for batch in small(batches, 200):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "original", "holders")), strict=True):
+                held.append(capture_text(*row))
+                size += len(held[-1])
+                if size >= file_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([END_OF_RECORD.join(held)], pa.string())], ["value"])
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([END_OF_RECORD.join(held)], pa.string())], ["value"])
 
-    joined.mapInArrow(text_of, "value string").write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", PER_FILE).text(folder)
+    joined.mapInArrow(text_of, "value string").write.option("lineSep", END_OF_RECORD).option("compression", "gzip").option("maxRecordsPerFile", 1).text(folder)
 
 
 _HEADER = re.compile(rb"([^\r\n:]+):[ \t]*([^\r\n]*)\r\n")
@@ -137,7 +168,10 @@ def read_records(spark: SparkSession, folder: str, with_payload: bool = True) ->
 
 
 def captures(records: DataFrame) -> DataFrame:
-    """One nested row per capture: its response or revisit, and the requests and metadata records that are concurrent to it."""
+    """One nested row per capture: its response or revisit, and the requests and metadata records that are concurrent to it.
+
+    Records that belong to no response or revisit give no row.
+    """
     main = F.col("record_type").isin("response", "revisit")
     key = F.when(main, F.col("record_id")).otherwise(F.col("concurrent_to"))
     response = F.struct("record_type", "target_uri", "date", "refers_to", "payload_bytes", "payload_digest", "payload")
@@ -147,16 +181,15 @@ def captures(records: DataFrame) -> DataFrame:
     return joined.where("response IS NOT NULL")
 
 
-def archive_round_trip(pages: DataFrame, with_payload: bool = False) -> DataFrame:
-    """Write pages as archives into the shared folder, read them back and give a row per page."""
+def archive_round_trip(pages: DataFrame, with_payload: bool = False, least_revisit_bytes: int = 0, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Write pages as archives into the shared folder, read them back and give a row per page, as write_archives defines them; none for an empty table."""
     spark = pages.sparkSession
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/warc-{uuid.uuid4().hex}"
-    write_archives(pages, folder)
+    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    write_archives(pages, folder, least_revisit_bytes, file_bytes)
     fields = F.col("metadata")[0]["fields"]
-    page_of = lambda rid: F.regexp_extract(rid, ":page:(-?[0-9]+):", 1).cast("long")
+    page_of = lambda rid: F.regexp_extract(rid, ":page:(-?[0-9]+):", 1).try_cast("long")
     return captures(read_records(spark, folder, with_payload)).select(
-        fields["page_id"].cast("long").alias("page_id"),
+        fields["page_id"].try_cast("long").alias("page_id"),
         F.coalesce("response.payload_bytes", fields["payload_bytes"].cast("long")).alias("payload_bytes"),
         F.col("response.payload_digest").alias("payload_digest"),
         F.col("response.record_type").alias("record_type"),
