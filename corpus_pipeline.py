@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyvox.llm import decontaminate, near_dup, packing, quality, toxicity
-from tallyvox.llm.common import ensure_checkpoint_dir, labelled_sample, table
+from tallyvox.llm.common import labelled_sample, shared_folder, table
 from tallyvox.llm.queries import TRAIN_PER_CLASS, default_tokenizer
 
 
@@ -57,8 +57,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each but the last is written to the shared folder and read again."""
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
