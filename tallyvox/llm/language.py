@@ -1,14 +1,17 @@
 """Language identification with a bidirectional gated recurrent network over bytes.
 
-The network reads runs of letters (ASCII letters and non-ASCII bytes), its state starting anew at each, and labels
-every byte. It is trained in numpy by backpropagation through time. A document's probabilities pool the logarithms
-of the label probabilities over all its positions. As a run's labels depend on the run alone, a task computes each
-distinct run once and remembers its sums.
+The network reads whole texts as UTF-8 (A-Z in lower case) and labels every byte, from a state carried forward and one
+carried backward. It is trained in numpy by backpropagation through time on windows drawn from whole texts. A
+document's probabilities pool the logarithms of the label probabilities over all its positions.
+
+Texts are read in spans, so that a task can take many steps at once: a span's states start CONTEXT bytes before and
+after it, long after which they have forgotten where they began. Spans depend on the text alone.
 """
 
 from __future__ import annotations
 
 import io
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,17 +19,17 @@ import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Words, byte_chunks, fold, mix, separators, small, text_list
+from .common import byte_chunks, fold, small, text_list
 
-HIDDEN, PIECE = 16, 24
-#: Learning takes at most so many documents (those of the smallest id hash) and steps of so many runs.
-TRAIN_DOCS, STEPS, BATCH = 4000, 500, 384
+HIDDEN, SPAN, CONTEXT = 8, 2048, 64
+#: Learning takes at most so many documents of each language (those of the smallest id hash) and windows of so many bytes from each,
+#: and takes steps of so many windows.
+TRAIN_DOCS, WINDOWS, WINDOW, STEPS, BATCH = 1000, 16, 64, 400, 192
 UNDETERMINED = "und"
-LETTERS = separators(bytes(range(0x41, 0x5B)), bytes(range(0x61, 0x7B)), bytes(range(0x80, 0x100)))
 _LETTER = regex.compile(r"\p{L}")
-_SLOT_BITS = 19
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -95,7 +98,7 @@ class BiGRU:
         g["v"], g["o"] = both.reshape(-1, 2 * n).T @ flat, flat.sum(axis=0)
         back = d @ self.p["v"].T
         for side, kept, part in (("f", kf, back[..., :n]), ("b", kb, back[..., n:])):
-            u, carry = self.p["u" + side], np.zeros((at.shape[1], n), np.float32)
+            u, carry, d_x = self.p["u" + side], np.zeros((at.shape[1], n), np.float32), np.empty((*at.shape, 3 * n), np.float32)
             for t, before, r, z, inner, new, on in reversed(kept):
                 dh = carry + part[t]
                 live = np.where(on, dh, 0)
@@ -104,10 +107,13 @@ class BiGRU:
                 d_inner = d_new * r
                 d_r = d_new * inner * r * (1 - r)
                 gates = np.concatenate([d_r, d_z, d_inner], axis=1)
-                np.add.at(g["x" + side], at[t], np.concatenate([d_r, d_z, d_new], axis=1))
+                d_x[t] = np.concatenate([d_r, d_z, d_new], axis=1)
                 g["u" + side] += before.T @ gates
                 g["c" + side] += d_inner.sum(axis=0)
                 carry = np.where(on, live * z, dh) + gates @ u.T
+            order = np.argsort(at, axis=None, kind="stable")
+            read, first = np.unique(at.reshape(-1)[order], return_index=True)
+            g["x" + side][read] = np.add.reduceat(d_x.reshape(-1, 3 * n)[order], first, axis=0)
         return g, loss
 
     def train(self, pieces: list[bytes], y: np.ndarray, steps: int = STEPS, batch: int = BATCH, rate: float = 0.02, seed: int = 3) -> float:
@@ -140,82 +146,126 @@ class BiGRU:
         return out
 
 
-def runs_of(raws: list[bytes]) -> Words:
-    return Words(raws, LETTERS)
-
-
 class Labeller:
-    """Sums of log probabilities over the positions of texts; remembers runs in a table of fixed size."""
+    """Sums of log probabilities over all positions of texts, by the same network as BiGRU.log_probs, many spans a step."""
 
     def __init__(self, net: BiGRU) -> None:
-        self.net, size = net, 1 << _SLOT_BITS
-        self.keys = np.zeros(size, np.uint64)
-        self.sums = np.zeros((size, len(net.labels)), np.float32)
-
-    def _label(self, runs: list[bytes]) -> np.ndarray:
-        pieces = [(i, r[a : a + PIECE]) for i, r in enumerate(runs) for a in range(0, len(r), PIECE)]
-        pieces.sort(key=lambda p: len(p[1]))
-        out = np.zeros((len(runs), len(self.net.labels)))
-        for a in range(0, len(pieces), 4096):
-            part = pieces[a : a + 4096]
-            at, mask = layout([p for _, p in part])
-            np.add.at(out, [i for i, _ in part], (self.net.log_probs(at, mask) * mask[..., None]).sum(axis=0))
-        return out.astype(np.float32)
+        self.net, n = net, net.hidden
+        # With q(x) = 1 / (1 + exp(x)) a sigmoid is q(-x) and a tanh 1 - 2 q(2 x); the factors are put into the weights.
+        factor = np.concatenate([np.full(2 * n, -1, np.float32), np.full(n, 2, np.float32)])
+        self.x = {s: np.ascontiguousarray((net.p["x" + s] * factor).T) for s in "fb"}
+        self.u = {s: np.ascontiguousarray((net.p["u" + s] * factor).T) for s in "fb"}
+        self.c = {s: 2 * net.p["c" + s][:, None] for s in "fb"}
+        self.v = {"f": np.ascontiguousarray(net.p["v"][:n].T), "b": np.ascontiguousarray(net.p["v"][n:].T)}
+
+    def _project(self, side: str, rows: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The share of this side in the outputs, (label, cell), and for each row its cells in order. Step t has the rows longer than t, the longest first."""
+        lengths = np.array([len(r) for r in rows])
+        order = np.argsort(-lengths, kind="stable")
+        live = len(rows) - np.cumsum(np.bincount(lengths))[:-1]
+        base = np.concatenate([[0], np.cumsum(live)])
+        held, cells = np.empty(base[-1], np.intp), [np.zeros(0, np.intp)] * len(rows)
+        for rank, i in enumerate(order):
+            cells[i] = base[: lengths[i]] + rank
+            held[cells[i]] = np.frombuffer(rows[i], np.uint8)
+        n, x, u, c = self.net.hidden, self.x[side], self.u[side], self.c[side]
+        h = np.zeros((n, len(rows)), np.float32)
+        states = np.empty((n, base[-1]), np.float32)
+        for a, b in zip(base[:-1].tolist(), base[1:].tolist(), strict=True):
+            if b - a < h.shape[1]:
+                h = np.ascontiguousarray(h[:, : b - a])
+            read, back = x[:, held[a:b]], u @ h
+            gates = read[: 2 * n]
+            gates += back[: 2 * n]
+            np.exp(gates, out=gates)
+            gates += 1
+            np.reciprocal(gates, out=gates)
+            new, inner = read[2 * n :], back[2 * n :]
+            inner += c
+            inner *= gates[:n]
+            new += inner
+            np.exp(new, out=new)
+            new += 1
+            np.divide(-2, new, out=new)
+            new += 1
+            h -= new
+            h *= gates[n:]
+            h += new
+            states[:, a:b] = h
+        return self.v[side] @ states, cells
 
     def __call__(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """For each text the sums by label, and the number of positions."""
-        words = runs_of(raws)
-        totals = np.zeros((len(raws), len(self.net.labels)))
-        positions = np.zeros(len(raws))
-        if not len(words.hashes):
+        totals, positions = np.zeros((len(raws), len(self.net.labels))), np.array([len(r) for r in raws], float)
+        raws = [r.lower() for r in raws]  # bytes.lower() touches A-Z only
+        spans = [(i, a, min(a + SPAN, len(r))) for i, r in enumerate(raws) for a in range(0, len(r), SPAN)]
+        if not spans:
             return totals, positions
-        distinct, first, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
-        slot = (mix(distinct) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
-        new = np.flatnonzero(self.keys[slot] != distinct)
-        found = self.sums[slot]
-        if len(new):
-            found[new] = self._label([words.word(first[i]) for i in new])
-            self.keys[slot[new]], self.sums[slot[new]] = distinct[new], found[new]
-            clash = np.unique(slot[new], return_counts=True)
-            self.keys[clash[0][clash[1] > 1]] = 0  # several wrote to one slot: keep none
-        filled = np.flatnonzero(np.diff(words.offsets))
-        totals[filled] = np.add.reduceat(found[inverse].astype(float), words.offsets[filled], axis=0)
-        positions[filled] = np.add.reduceat((words.ends - words.starts).astype(float), words.offsets[filled])
+        with np.errstate(over="ignore"):  # exp may be infinite, then q is 0
+            forward, at_f = self._project("f", [raws[i][max(0, a - CONTEXT) : b] for i, a, b in spans])
+            backward, at_b = self._project("b", [raws[i][a : b + CONTEXT][::-1] for i, a, b in spans])
+        z = forward[:, np.concatenate([cells[min(a, CONTEXT) :] for (_, a, _), cells in zip(spans, at_f, strict=True)])]
+        z += backward[:, np.concatenate([cells[::-1][: b - a] for (_, a, b), cells in zip(spans, at_b, strict=True)])]
+        z += self.net.p["o"][:, None]
+        z -= z.max(axis=0)
+        z -= np.log(np.exp(z).sum(axis=0))
+        filled = np.flatnonzero(positions)
+        totals[filled] = np.add.reduceat(z, np.concatenate([[0], np.cumsum(positions[filled])[:-1]]).astype(np.intp), axis=1, dtype=float).T
         return totals, positions
 
 
-def train_net(texts: list[str | None], langs: list[str]) -> BiGRU:
-    """A network from labelled texts; every label of the sample is learned, with equal numbers of runs where there are enough."""
+def windows_of(raw: bytes, seed: int = 0) -> list[bytes]:
+    """At most WINDOWS windows of WINDOW bytes, drawn from the whole text by its content; a shorter text is one."""
+    raw = raw.lower()
+    if len(raw) <= WINDOW:
+        return [raw] if raw else []
+    rng = np.random.default_rng([seed, zlib.crc32(raw)])
+    return [raw[a : a + WINDOW] for a in rng.integers(0, len(raw) - WINDOW + 1, min(WINDOWS, len(raw) // WINDOW))]
+
+
+def train_net(pieces: list[bytes], langs: list[str], steps: int = STEPS) -> BiGRU:
+    """A network from labelled windows; every label is learned, each from as many windows as the most frequent has, drawn again where there are fewer."""
     labels = sorted(set(langs)) or [UNDETERMINED]
     net, rng = BiGRU(labels), np.random.default_rng(1)
-    pieces, y = [], []
-    for k, label in enumerate(labels):
-        own = [r[a : a + PIECE] for t, x in zip(texts, langs, strict=True) if x == label for w in [runs_of([(t or "").encode()])] for i in range(len(w.hashes)) for r in [w.word(i)] for a in range(0, len(r), PIECE)]
-        if own:
-            chosen = rng.integers(0, len(own), 60_000 // len(labels))
-            pieces += [own[i] for i in chosen]
-            y += [k] * len(chosen)
-    if pieces:
-        order = rng.permutation(len(pieces))
-        net.train([pieces[i] for i in order], np.asarray(y)[order])
+    y = np.searchsorted(labels, langs)
+    if len(pieces):
+        most = int(np.bincount(y).max())
+        chosen = rng.permutation(np.concatenate([rng.permutation(np.resize(rng.permutation(np.flatnonzero(y == k)), most)) for k in range(len(labels))]))
+        net.train([pieces[i] for i in chosen], y[chosen], steps)
     return net
 
 
 def fit(docs: DataFrame, modulus: int = 5, held_out: int = 0, most_docs: int = TRAIN_DOCS) -> BiGRU:
-    """Train on text and lang of at most most_docs documents outside the held-out fold, in one task; the driver gets the network only."""
-    usable = docs.where((fold("doc_id", modulus) != held_out) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    chosen = usable.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs)
-    sample = usable.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id")
+    """Train on text and lang of documents outside the held-out fold, in one task; the driver gets the network only.
+
+    Of each language at most most_docs documents take part, those of the smallest id hash, with at most WINDOWS * WINDOW
+    bytes each. Null or empty texts, null languages and null ids are not learned from; without any row to learn from the
+    network knows `und` only. A doc_id with several languages or texts is learned from in each of them.
+    """
+    usable = docs.select("doc_id", "text", "lang").where((fold("doc_id", modulus) != held_out) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.col("text") != ""))
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = usable.select("doc_id", "lang").distinct().withColumn("rank", rank).where(F.col("rank") <= most_docs).drop("rank")
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            rows = [(doc, lang, w) for doc, lang, t in zip(batch.column("doc_id").to_pylist(), batch.column("lang").to_pylist(), text_list(batch), strict=True) for w in windows_of(t.encode())]
+            yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "lang", "piece"), r, strict=True)) for r in rows], pa.schema([("doc_id", pa.string()), ("lang", pa.string()), ("piece", pa.binary())]))
 
     def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = pd.concat([pd.DataFrame({"doc_id": [], "text": [], "lang": []}), *batches]).sort_values(["doc_id", "lang"])
-        yield pd.DataFrame({"net": [train_net(list(held["text"]), list(held["lang"])).dump()]})
+        held = pd.concat([pd.DataFrame({"doc_id": [], "lang": [], "piece": []}), *batches]).sort_values(["doc_id", "lang", "piece"])
+        yield pd.DataFrame({"net": [train_net([bytes(x) for x in held["piece"]], list(held["lang"])).dump()]})
 
-    return BiGRU.load(bytes(sample.repartition(1).mapInPandas(one, "net binary").collect()[0]["net"]))
+    sample = usable.join(chosen, ["doc_id", "lang"], "left_semi").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
+    pieces = sample.mapInArrow(draw, "doc_id string, lang string, piece binary")
+    return BiGRU.load(bytes(pieces.repartition(1).mapInPandas(one, "net binary").collect()[0]["net"]))
 
 
 def predict(docs: DataFrame, net: BiGRU) -> DataFrame:
-    """docs with lang_pred and score (the pooled probability). Null texts and texts without a letter: `und` and 0. Columns of these names are replaced."""
+    """docs with lang_pred and score (the pooled probability). Null texts and texts without a letter: `und` and 0.
+
+    Of equal probabilities the alphabetically first label is taken. Each row is labelled on its own, so rows may repeat;
+    other columns stay, but for two of these names, which are replaced. An empty table stays empty.
+    """
     docs = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(net.dump())
     schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
@@ -225,7 +275,7 @@ def predict(docs: DataFrame, net: BiGRU) -> DataFrame:
         names = labeller.net.labels
         for batch in small(batches):
             texts, langs, scores = text_list(batch), [], []
-            for first, raws in byte_chunks(texts, 1 << 20):
+            for first, raws in byte_chunks(texts, 1 << 20):  # about 100 MB of states
                 totals, positions = labeller(raws)
                 z = totals / np.maximum(positions, 1)[:, None]
                 p = np.exp(z - z.max(axis=1, keepdims=True))

@@ -7,7 +7,9 @@ import time
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyvox.llm import decontaminate, language, licenses, lm_score, media, near_dup, packing, quality, toxicity, warc
 from tallyvox.llm.queries import default_tokenizer
@@ -200,12 +202,74 @@ def test_quality(spark, docs, empty):
 
 
 def test_language(spark, docs, empty):
-    net = language.train_net(["the house and the garden"] * 30 + ["das haus und der garten"] * 30 + [None], ["en"] * 30 + ["de"] * 30 + ["en"])
-    rows = spark.createDataFrame([(0, "the garden"), (1, "das haus und"), (2, None), (3, "123 !!"), (4, "")], "doc_id long, text string")
-    assert [r["lang_pred"] for r in language.predict(rows, net).orderBy("doc_id").collect()] == ["en", "de", "und", "und", "und"]
+    pieces = [b"the house and the garden", b"das haus und der garten"] * 30
+    net = language.train_net(pieces, ["en", "de"] * 30, steps=150)
+    rows = spark.createDataFrame([(0, "the garden"), (1, "das haus und"), (2, None), (3, "123 !!"), (4, ""), (None, "the garden")], "doc_id long, text string")
+    assert [r["lang_pred"] for r in language.predict(rows, net).orderBy(F.col("doc_id").asc_nulls_last()).collect()] == ["en", "de", "und", "und", "und", "en"]
     assert language.predict(docs, net).count() == len(TEXTS) and language.predict(empty, net).count() == 0
 
 
+def test_language_labels_every_position_with_carried_state(monkeypatch):
+    """Sums by span against the plain network: over the whole text within one span, else with the bytes around a span; whatever texts share a step."""
+    net = language.train_net([b"the house and the garden", b"das haus und der garten"] * 30, ["en", "de"] * 30, steps=60)
+    texts = [b"", b"x", "The garden é und 12 das Haus".encode(), b"the garden and das haus und " * 200, b"und"]
+
+    def states(side, raw):
+        at, mask = language.layout([raw])
+        return net._run(side, at, mask)[0][:, 0]
+
+    def brute(raw, span, context):
+        raw, total = raw.lower(), np.zeros(2)
+        for a in range(0, len(raw), span):
+            b = min(a + span, len(raw))
+            start = max(0, a - context)
+            both = np.concatenate([states("f", raw[start:b])[a - start :], states("b", raw[a : b + context])[: b - a]], axis=1)
+            z = both @ net.p["v"] + net.p["o"]
+            total += (z - np.log(np.exp(z).sum(axis=1, keepdims=True))).sum(axis=0)
+        return total
+
+    for span, context in ((language.SPAN, language.CONTEXT), (7, 3), (1 << 20, 0)):
+        monkeypatch.setattr(language, "SPAN", span)
+        monkeypatch.setattr(language, "CONTEXT", context)
+        together, n = language.Labeller(net)(texts)
+        assert n.tolist() == [len(t) for t in texts] and not together[0].any()
+        for t, got in zip(texts[1:], together[1:], strict=True):
+            assert np.allclose(language.Labeller(net)([t])[0][0], got, rtol=1e-4, atol=1e-2)
+            assert np.allclose(brute(t, span, context), got, rtol=1e-3, atol=2e-2)
+    at, mask = language.layout([texts[3]])
+    assert np.allclose((net.log_probs(at, mask) * mask[..., None]).sum(axis=(0, 1)), together[3], rtol=1e-3)
+
+
+def test_language_gradients_are_those_of_the_loss():
+    net = language.BiGRU(["a", "b"], hidden=3)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    at, mask = language.layout([b"abca", b"ba", b"c"])
+    y = np.array([0, 1, 1])
+    found, _ = net.gradients(at, mask, y)
+    rng = np.random.default_rng(0)
+    for name, value in net.p.items():
+        for _ in range(12):
+            i = tuple(rng.integers(0, k) for k in value.shape) if name[0] != "x" else (int(rng.choice([97, 98, 99])), int(rng.integers(0, 9)))
+            held, losses = value[i], []
+            for step in (1e-2, -1e-2):
+                value[i] = held + step
+                losses.append(net.gradients(at, mask, y)[1])
+            value[i] = held
+            assert abs((losses[0] - losses[1]) / 2e-2 - found[name][i]) < 2e-3, (name, i)
+
+
+def test_language_learns_rare_languages(spark):
+    """A language of one in a hundred documents is learned; null and empty rows are not learned from, and no row at all gives `und`."""
+    said = {"en": "the house and the garden of the old man", "de": "das haus und der garten von dem mann"}
+    rows = [(i, said["de" if i % 100 == 1 else "en"], "de" if i % 100 == 1 else "en") for i in range(600)] + [(None, "x", "en"), (9001, None, "fr"), (9002, "", "fr"), (9003, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = language.fit(docs, most_docs=20)
+    assert net.labels == ["de", "en"]
+    got = {r["doc_id"]: r["lang_pred"] for r in language.predict(docs.drop("lang"), net).collect()}
+    assert all(got[i] == lang for i, _, lang in rows[:600])
+    assert language.fit(docs.limit(0)).labels == ["und"]
+
+
 def test_licences(spark, docs, empty):
     said = "Intro here.\nPermission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. All rights reserved."
     rows = spark.createDataFrame([(0, said), (1, None), (2, "Released under the MIT License."), (3, "the licence")], "doc_id long, text string")
