@@ -22,12 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import byte_chunks, fold, small, text_list
+from .common import byte_chunks, cut, fold, small, text_list
 
-HIDDEN, SPAN, CONTEXT = 8, 2048, 64
+HIDDEN, SPAN, CONTEXT = 6, 1024, 48
 #: Learning takes at most so many documents of each language (those of the smallest id hash) and windows of so many bytes from each,
 #: and takes steps of so many windows.
 TRAIN_DOCS, WINDOWS, WINDOW, STEPS, BATCH = 1000, 16, 64, 400, 192
+#: So many chosen ids (of about 30 bytes) are broadcast to find their texts; more are joined by a shuffle.
+BROADCAST_IDS = 200_000
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
 
@@ -243,8 +245,10 @@ def fit(docs: DataFrame, modulus: int = 5, held_out: int = 0, most_docs: int = T
     network knows `und` only. A doc_id with several languages or texts is learned from in each of them.
     """
     usable = docs.select("doc_id", "text", "lang").where((fold("doc_id", modulus) != held_out) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.col("text") != ""))
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = usable.select("doc_id", "lang").distinct().withColumn("rank", rank).where(F.col("rank") <= most_docs).drop("rank")
+    smallest = lambda df, *by: df.withColumn("rank", F.row_number().over(W.partitionBy("lang", *by).orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("rank") <= most_docs).drop("rank")
+    ids = usable.select("doc_id", "lang", F.pmod(F.hash("doc_id"), F.lit(64)).alias("part")).distinct()
+    chosen = cut(smallest(smallest(ids, "part")).select("doc_id", "lang"))  # first in parts, so that one frequent language is no single task's work
+    few = chosen.count() <= BROADCAST_IDS
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
@@ -255,7 +259,7 @@ def fit(docs: DataFrame, modulus: int = 5, held_out: int = 0, most_docs: int = T
         held = pd.concat([pd.DataFrame({"doc_id": [], "lang": [], "piece": []}), *batches]).sort_values(["doc_id", "lang", "piece"])
         yield pd.DataFrame({"net": [train_net([bytes(x) for x in held["piece"]], list(held["lang"])).dump()]})
 
-    sample = usable.join(chosen, ["doc_id", "lang"], "left_semi").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
+    sample = usable.join(F.broadcast(chosen) if few else chosen, ["doc_id", "lang"], "left_semi").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
     pieces = sample.mapInArrow(draw, "doc_id string, lang string, piece binary")
     return BiGRU.load(bytes(pieces.repartition(1).mapInPandas(one, "net binary").collect()[0]["net"]))
 
