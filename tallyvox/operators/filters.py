@@ -65,7 +65,7 @@ def filter_extra(df: DataFrame, specs: dict[str, dict]) -> DataFrame:
         elif kind == "contains":
             df = df.where(text.contains(spec["text"].lower()))
         elif kind == "tokens":
-            df = df.where(F.arrays_overlap(F.transform(F.split(text, r"\s*\|\s*"), F.trim), F.array(*[F.lit(v.lower()) for v in spec["values"]])))
+            df = df.where(F.arrays_overlap(F.transform(F.split(text, r"\s*\|\s*"), lambda x: F.trim(x)), F.array(*[F.lit(v.lower()) for v in spec["values"]])))
         else:
             df = df.where(c.cast("string").isin(spec["values"]))
     return df

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
+from urllib.parse import urlsplit
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.labels import blank_to_null, clean
 from .products import keep_first
 
 
@@ -16,13 +19,23 @@ def upsert_reviews(stored: DataFrame, incoming: DataFrame, order: list[str]) ->
     return stored.join(last.select("review_id"), "review_id", "left_anti").unionByName(last, allowMissingColumns=True)
 
 
+def loaded_from(df: DataFrame, index: int, url: str, label: str = "") -> DataFrame:
+    """df with where it came from: url, host without www, label (the url if blank) and batch (the index, from 1)."""
+    host = re.sub(r"^www\.", "", urlsplit(url).netloc.lower()) or "Unknown"
+    return df.withColumns({"loaded_from_url": F.lit(url), "loaded_from_host": F.lit(host), "loaded_from_label": F.lit(label.strip() or url), "loaded_from_batch": F.lit(f"Link {index}")})
+
+
 def merge_sources(sources: list[DataFrame], order: list[str]) -> DataFrame:
-    """All rows, the first of each (review_id, product_id, text); ids that still repeat get (2), (3) and so on.
+    """All rows, the first of each (review_id, product_id, text), trimmed; ids that still repeat get (2), (3) and so on.
 
-    Whole texts are compared, but keyed by a hash of them first, so that long texts do not travel as keys twice.
+    A blank id becomes review_ and 16 digits of a hash of product and text, which are unique by then, so that blank ids
+    do not meet in one partition. Whole texts are compared by a hash of them, so that long texts do not travel as keys.
     """
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [s.withColumn("_source", F.lit(i)) for i, s in enumerate(sources)])
-    rows = keep_first(rows.withColumn("_hash", F.sha2(F.coalesce("review_text", F.lit("")), 256)), ["review_id", "product_id", "_hash"], ["_source", *order]).drop("_hash")
+    text_hash = F.sha2(clean("review_text"), 256)
+    blank = F.concat(F.lit("review_"), F.substring(F.sha1(F.concat_ws("|", clean("product_id"), text_hash)), 1, 16))
+    rows = rows.withColumns({"_hash": text_hash, "_product": clean("product_id"), "review_id": F.coalesce(blank_to_null("review_id"), blank)})
+    rows = keep_first(rows, ["review_id", "_product", "_hash"], ["_source", *order]).drop("_hash", "_product")
     n = F.row_number().over(Window.partitionBy("review_id").orderBy("_source", *order))
     return rows.withColumn("_n", n).withColumn("review_id", F.when(F.col("_n") > 1, F.concat("review_id", F.lit(" ("), "_n", F.lit(")"))).otherwise(F.col("review_id"))).drop("_n", "_source")
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import blank_to_null, clean
+from ..functions.wording import likeness
 
 #: Probes in order: (column of the review, key of the catalog, name of the match).
 PROBES = [
@@ -70,18 +74,23 @@ def lookup_by(catalog: DataFrame, by: str, order: list[str]) -> DataFrame:
 def enrich_with_catalog(reviews: DataFrame, catalog: DataFrame, order: list[str] | None = None) -> DataFrame:
     """reviews with the catalog row that the first of six probes finds: match_type, match_key, mapped_* columns, base_model_number, master_item and mapping_detected.
 
-    Keys are compared trimmed and in upper case; blank keys never match. Each of the two lookups has one row per key, and
-    Spark broadcasts them if its statistics say that they are small.
+    Keys are compared trimmed and in upper case; blank keys never match. Both lookups, each with one row per key, are one
+    table, which all probes join in the same form, so Spark makes it once; it is broadcast if its statistics say that it
+    is small. In a shuffled join a blank key is dealt by the other columns, so that blank keys do not meet in one task.
     """
     order = order or ["brand", "category", "subcategory", "sku", "master_item", "description"]
+    kinds = list(dict.fromkeys(to for _, to, _ in PROBES))
+    parts = [lookup_by(catalog, to, order).select(F.concat(F.lit(f"{to}:"), to).alias("_key"), F.struct(F.col(to).alias("match_key"), *MAPPED).alias("_row")) for to in kinds]
+    lookup = reduce(DataFrame.unionByName, parts)
+    spread = F.concat(F.lit("blank:"), F.pmod(F.xxhash64(*[c for c in ("review_id", "product_id", "review_text") if c in reviews.columns]), F.lit(100_000)).cast("string"))
+    names = reviews.columns
     for i, (column, to, _) in enumerate(PROBES):
-        row = F.struct(F.lit(PROBES[i][2]).alias("match_type"), F.col(to).alias("match_key"), *MAPPED).alias(f"_m{i}")
-        found = lookup_by(catalog, to, order).select(F.col(to).alias(f"_k{i}"), row)
-        probe = key(column) if column in reviews.columns else F.lit(None).cast("string")
-        reviews = reviews.join(found, probe == F.col(f"_k{i}"), "left").drop(f"_k{i}")
+        found = lookup.alias(f"l{i}")
+        probe = F.coalesce(F.concat(F.lit(f"{to}:"), key(column)), spread) if column in names else spread
+        reviews = reviews.join(found, probe == F.col(f"l{i}._key"), "left").select(*names, *[f"_m{j}" for j in range(i)], F.when(F.col(f"l{i}._key").isNotNull(), F.struct(F.lit(PROBES[i][2]).alias("match_type"), f"l{i}._row.*")).alias(f"_m{i}"))
     match = F.coalesce(*[F.col(f"_m{i}") for i in range(len(PROBES))])
     out = reviews.withColumn("_m", match).drop(*[f"_m{i}" for i in range(len(PROBES))])
-    first = lambda *cols: F.coalesce(*[blank_to_null(c) for c in cols if c in reviews.columns])
+    first = lambda *cols: F.coalesce(*[blank_to_null(c) for c in cols if c in names])
     named = {f"mapped_{m}": F.col(f"_m.{m}") for m in MAPPED if m not in ("base_model_number", "master_item")}
     return out.withColumns(
         {"match_type": F.coalesce("_m.match_type", F.lit("unmatched")), "match_key": F.col("_m.match_key"), **named, "base_model_number": F.coalesce("_m.base_model_number", first("base_sku", "product_id")), "master_item": F.coalesce("_m.master_item", first("base_sku")), "mapping_detected": F.col("_m").isNotNull()}
@@ -124,7 +133,10 @@ def facet_options(directory: DataFrame, limit: int = 5000, **selection: list[str
     return reduce(DataFrame.unionByName, parts)
 
 
-def selection_count(directory: DataFrame, **selection: list[str]) -> DataFrame:
+def selection_count(directory: DataFrame | None, reviews: DataFrame | None = None, **selection: list[str]) -> DataFrame:
+    """The number of reviews of a selection, from the directory; without one, by counting reviews."""
+    if directory is None:
+        return selected(reviews, selection).agg(F.count(F.lit(1)).alias("review_count"))
     return selected(directory, selection).agg(F.coalesce(F.sum("row_count"), F.lit(0)).alias("review_count"))
 
 
@@ -132,3 +144,56 @@ def import_manifest(enriched: DataFrame) -> DataFrame:
     mapped = F.coalesce(F.col("mapping_detected"), F.lit(False))
     base = F.coalesce(blank_to_null("base_model_number"), F.lit("UNMAPPED"))
     return enriched.agg(F.count(F.lit(1)).alias("row_count"), F.countDistinct("product_id").alias("product_count"), F.countDistinct(base).alias("base_model_count"), F.count_if(mapped).alias("mapped_count"), F.count_if(~mapped).alias("unmatched_count"))
+
+
+#: Points of a search, for codes (base model, product) and for names: equal, equal letters, start, start of letters, inside, letters inside, each word, alike (base and factor), nearly alike.
+CODE_POINTS = {"equal": 420, "bare": 430, "starts": 300, "bare_starts": 310, "holds": 255, "bare_holds": 265, "word": 26, "alike": 150, "near": 80}
+NAME_POINTS = {"equal": 360, "bare": 370, "starts": 245, "bare_starts": 255, "holds": 205, "bare_holds": 215, "word": 16, "alike": 120, "near": 80}
+SEARCHED = ["base_model_number", "product_id", "original_product_name", "mapped_brand", "mapped_category", "mapped_subcategory"]
+FAR_NAMES = ["original_product_name", "mapped_category", "mapped_subcategory"]
+
+
+def entity_score(row: dict, query: str) -> float:
+    """Points of one directory row for a query: the best match of any field, and more for each word in common, for codes and for many reviews."""
+    text = " ".join(query.lower().split())
+    bare, words = re.sub(r"[^a-z0-9]+", "", text), {w for w in re.split(r"[^a-z0-9]+", text) if w}
+    best = 0.0
+    for name in SEARCHED:
+        value = (row.get(name) or "").strip().lower()
+        if not value:
+            continue
+        points, key = CODE_POINTS if name in ("base_model_number", "product_id") else NAME_POINTS, re.sub(r"[^a-z0-9]+", "", value)
+        ways = [("equal", value == text), ("starts", value.startswith(text)), ("holds", text in value)]
+        ways += [("bare", key == bare), ("bare_starts", key.startswith(bare)), ("bare_holds", bare in key)] if bare and key else []
+        best = max([best, *[points[way] for way, fits in ways if fits]])
+        best += points["word"] * len(words & {w for w in re.split(r"[^a-z0-9]+", value) if w})
+        ratio = likeness(bare, key) if bare and key else 0.0
+        if ratio >= 0.72:
+            best = max(best, 120 + ratio * points["alike"])
+        elif ratio >= 0.58:
+            best = max(best, 70 + ratio * (100 if name in FAR_NAMES else points["near"]))
+    code = re.search(r"[a-z].*\d|\d.*[a-z]", text) is not None
+    return best + (18 if code and row.get("entity_type") == "Base model" else 0) + min(float(row.get("review_count") or 0) / 500, 18.0)
+
+
+def search_entities(base_models: DataFrame, products: DataFrame, query: str = "", n: int = 25) -> DataFrame:
+    """The n best base models and products for a query, with score; without a query the base models with the most reviews.
+
+    Every row of both directories is scored, in Arrow batches; one row for each (entity_type, base_model_number,
+    product_id) counts. Ties go by reviews, base model and product.
+    """
+    shown = ["entity_type", *SEARCHED, "review_count", "avg_rating"]
+    text = lambda df, c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in df.columns else F.lit("")
+    as_rows = lambda df, kind, hide: df.select(F.lit(kind).alias("entity_type"), *[(F.lit("") if c in hide else text(df, c)).alias(c) for c in SEARCHED], F.col("review_count").cast("long"), F.col("avg_rating").cast("double"))
+    models = as_rows(base_models, "Base model", ("product_id", "original_product_name"))
+    if not query.strip():
+        return models.orderBy(F.desc("review_count"), "base_model_number").limit(n).withColumn("score", F.lit(0.0))
+
+    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield f.assign(score=[entity_score(r, query) for r in f.to_dict("records")])
+
+    rows = models.unionByName(as_rows(products, "Product", ())).mapInPandas(score, "entity_type string, " + ", ".join(f"{c} string" for c in SEARCHED) + ", review_count long, avg_rating double, score double")
+    key = ["entity_type", "base_model_number", "product_id"]
+    best = rows.where("score > 0").groupBy(*key).agg(F.max_by(F.struct(*[c for c in shown if c not in key], "score"), F.struct("review_count", "score")).alias("r"))
+    return best.select("entity_type", *[c if c in key else f"r.{c}" for c in SEARCHED], "r.review_count", "r.avg_rating", "r.score").orderBy(F.desc("score"), F.desc("review_count"), F.lower("base_model_number"), F.lower("product_id"), "entity_type").limit(n)

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.labels import OVERALL_LABELS, canonicalize_label, clean_symptom, severity_weight
+from ..functions.labels import OVERALL_LABELS, canonicalize_label, clean, clean_symptom, is_label, severity_weight
 
 
 def symptom_array(cols: list[str], canonical: bool = True) -> Column:
     """The distinct valid labels in the slots of a row."""
-    labels = [clean_symptom(c) for c in cols]
-    return F.array_distinct(F.array_compact(F.array(*([F.when(x.isNotNull(), canonicalize_label(x)) for x in labels] if canonical else labels))))
+    if not canonical:
+        return F.array_distinct(F.array_compact(F.array(*[clean_symptom(c) for c in cols])))
+    said = F.array_compact(F.array(*[F.when(is_label(c), clean(c)) for c in cols]))
+    return F.array_distinct(F.transform(said, canonicalize_label))  # which makes the title case too
 
 
 def symptom_long(df: DataFrame, cols: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -52,31 +54,55 @@ def _impact(by: DataFrame, label: str, kind: str, k: float, rounded: bool) -> Da
 
 
 def symptom_impact(df: DataFrame, cols: list[str], kind: str = "detractors", baseline: float | None = None, shrink_k: float = 3.0) -> DataFrame:
-    """The share of the star average that each label accounts for, from rows; baseline: the average rating if not given."""
-    long, tagged = symptom_long(df, cols)
-    average = F.coalesce(F.avg("rating"), F.lit(0.0)) if baseline is None else F.max(F.lit(float(baseline)))
-    facts = df.agg(F.count(F.lit(1)).alias("total"), average.alias("baseline"))
-    facts = facts.crossJoin(tagged)
-    rows = long.crossJoin(F.broadcast(facts)).withColumn("gap", _gap(F.col("star"), F.col("baseline"), kind))  # one row of facts
-    by = rows.groupBy("label", "total", "baseline", "tagged").agg(F.count(F.lit(1)).alias("mentions"), F.avg("star").alias("avg_star"), F.avg("tags").alias("avg_tags"), F.sum("weight").alias("weighted"), F.sum(F.col("weight") * F.col("gap")).alias("raw"))
+    """The share of the star average that each label accounts for, from rows; baseline: the average rating if not given.
+
+    df is read once, down to counts by (label, star, number of labels); all sums over rows follow from these counts.
+    """
+    counted = df.select(F.col("rating").alias("star"), symptom_array(cols).alias("labels")).groupBy("star", "labels").agg(F.count(F.lit(1)).alias("n"))
+    counted = counted.persist()  # a row for each set of labels and star
+    average = F.coalesce(F.sum(F.col("star") * F.col("n")) / F.sum(F.when(F.col("star").isNotNull(), F.col("n"))), F.lit(0.0)) if baseline is None else F.max(F.lit(float(baseline)))
+    facts = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), average.alias("baseline"), F.coalesce(F.sum(F.when(F.size("labels") > 0, F.col("n"))), F.lit(0)).alias("tagged"))
+    kept = counted.withColumn("labels", F.filter("labels", lambda x: ~x.isin(OVERALL_LABELS)))
+    rows = kept.select("star", "n", F.size("labels").alias("tags"), F.explode("labels").alias("label")).crossJoin(F.broadcast(facts))  # one row of facts
+    weight, n = F.col("n") / F.col("tags"), F.col("n")
+    gap = _gap(F.col("star"), F.col("baseline"), kind)
+    by = rows.groupBy("label", "total", "baseline", "tagged").agg(
+        F.sum("n").alias("mentions"), F.try_divide(F.sum(F.col("star") * n), F.sum(F.when(F.col("star").isNotNull(), n))).alias("avg_star"), (F.sum(F.col("tags") * n) / F.sum("n")).alias("avg_tags"), F.sum(weight).alias("weighted"), F.sum(weight * gap).alias("raw")
+    )
     return _impact(by.withColumn("severity", severity_weight("label", kind)), "label", kind, shrink_k, rounded=True)
 
 
+def symptom_impact_of_table(table: DataFrame, total: int, baseline: float, kind: str = "detractors", shrink_k: float = 3.0) -> DataFrame:
+    """Impact from a symptom table alone (label, mentions, avg_star, and pct_tagged and avg_tags if it has them), where the rows behind it are gone."""
+    sign, k = (1 if kind == "delighters" else -1), max(shrink_k, 0.1)
+    gap = _gap(F.col("avg_star"), F.lit(float(baseline)), kind)
+    align = 0.45 + 0.55 * F.least(gap / 1.25, F.lit(1.0))
+    out = table.withColumns({"severity": severity_weight("label", kind), "confidence": F.col("mentions") / (F.col("mentions") + k) * align, "net_hit": F.bround(sign * F.col("mentions") / max(total, 1) * gap, 3)})
+    out = out.withColumn("forecast", F.bround(F.col("net_hit") * F.col("confidence"), 3)).withColumn("impact", F.bround(F.col("forecast") * F.col("severity"), 3))
+    own = [c for c in ("pct_tagged", "avg_tags") if c in table.columns]
+    return out.select("label", "mentions", *own, "avg_star", F.bround(F.col("confidence") * 100, 1).alias("confidence_pct"), "net_hit", "forecast", "impact", "severity").orderBy(F.desc(F.greatest(F.abs("impact"), F.abs("forecast"), F.abs("net_hit"))), F.desc("mentions"), "label")
+
+
 def attach_theme(long: DataFrame, themes: DataFrame) -> DataFrame:
     """long with the theme of its label, Product Specific if it has none."""
     return long.join(themes, "label", "left").withColumn("theme", F.coalesce("theme", F.lit("Product Specific")))
 
 
-def theme_impact(df: DataFrame, cols: list[str], themes: DataFrame, kind: str = "detractors", shrink_k: float = 3.0, id_col: str = "review_id") -> DataFrame:
-    """Impact by theme: labels of a theme count once in a review, with the sum of their weights."""
-    tagged = df.select(id_col, F.col("rating").alias("star"), symptom_array(cols).alias("labels")).where(F.size("labels") > 0)
-    facts = df.agg(F.count(F.lit(1)).alias("total"), F.coalesce(F.avg("rating"), F.lit(0.0)).alias("baseline")).crossJoin(tagged.agg(F.count(F.lit(1)).alias("tagged")))
-    kept = tagged.withColumn("labels", F.filter("labels", lambda x: ~x.isin(OVERALL_LABELS)))
-    long = kept.select(id_col, "star", F.size("labels").alias("tags"), F.explode("labels").alias("label"))
+def theme_impact(df: DataFrame, cols: list[str], themes: DataFrame, kind: str = "detractors", shrink_k: float = 3.0) -> DataFrame:
+    """Impact by theme: labels of a theme count once in a review, with the sum of their weights. df is read once, as for symptom_impact."""
+    counted = df.select(F.col("rating").alias("star"), symptom_array(cols).alias("labels")).groupBy("star", "labels").agg(F.count(F.lit(1)).alias("n"))
+    counted = counted.persist()  # a row for each set of labels and star
+    average = F.coalesce(F.sum(F.col("star") * F.col("n")) / F.sum(F.when(F.col("star").isNotNull(), F.col("n"))), F.lit(0.0))
+    facts = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), average.alias("baseline"), F.coalesce(F.sum(F.when(F.size("labels") > 0, F.col("n"))), F.lit(0)).alias("tagged"))
+    kept = counted.select("star", "n", F.filter("labels", lambda x: ~x.isin(OVERALL_LABELS)).alias("labels"), F.col("labels").alias("set"))
+    long = kept.select("star", "n", "set", F.size("labels").alias("tags"), F.explode("labels").alias("label"))
     rows = attach_theme(long, themes).withColumn("severity", severity_weight("label", kind))
-    per = rows.groupBy(id_col, "theme").agg(F.max("star").alias("star"), F.max("tags").alias("tags"), F.sum(1 / F.col("tags")).alias("weight"), F.avg("severity").alias("severity"))
+    per = rows.groupBy("star", "n", "set", "theme").agg(F.max("tags").alias("tags"), F.sum(1 / F.col("tags")).alias("weight"), F.avg("severity").alias("severity"))
     per = per.crossJoin(F.broadcast(facts)).withColumn("gap", _gap(F.col("star"), F.col("baseline"), kind))  # one row of facts
-    by = per.groupBy("theme", "total", "baseline", "tagged").agg(F.count(F.lit(1)).alias("mentions"), F.avg("star").alias("avg_star"), F.avg("tags").alias("avg_tags"), F.sum("weight").alias("weighted"), F.sum(F.col("weight") * F.col("gap")).alias("raw"), F.avg("severity").alias("severity"))
+    n = F.col("n")
+    by = per.groupBy("theme", "total", "baseline", "tagged").agg(
+        F.sum("n").alias("mentions"), F.try_divide(F.sum(F.col("star") * n), F.sum(F.when(F.col("star").isNotNull(), n))).alias("avg_star"), (F.sum(F.col("tags") * n) / F.sum("n")).alias("avg_tags"), F.sum(F.col("weight") * n).alias("weighted"), F.sum(F.col("weight") * F.col("gap") * n).alias("raw"), (F.sum(F.col("severity") * n) / F.sum("n")).alias("severity")
+    )
     return _impact(by, "theme", kind, shrink_k, rounded=False)
 
 

@@ -165,7 +165,7 @@ _BC = ["mapped_brand", "mapped_category"]
 
 @query("a13_dimension_summary", _R + f", {_summary(_BC, 50)} SELECT mapped_brand, mapped_category, {_SUM_COLS} FROM s")
 def a13(spark: SparkSession, sf: str) -> DataFrame:
-    return action.summarize_dimension(_prepared(spark, sf), _BC)
+    return action.summarize_dimension(action.held(_prepared(spark, sf), *_BC), _BC)
 
 
 _MODE = "(SELECT mapped_brand, base_model_number, {c} AS v, row_number() OVER (PARTITION BY mapped_brand, base_model_number ORDER BY count(*) DESC, {c}) AS rn FROM prepared WHERE {c} IS NOT NULL GROUP BY 1, 2, 3)"
@@ -195,13 +195,17 @@ def w5(spark: SparkSession, sf: str) -> DataFrame:
 def _feed() -> str:
     parts = [_summary(["mapped_brand", col], 50, f"s{i}") for i, (_, col) in enumerate(action.SPECS)]
     rows = " UNION ALL ".join(f"SELECT '{kind}' AS entity_kind, coalesce({col}, 'Unknown') AS entity_label, coalesce(mapped_brand, 'Unknown') AS brand, segment, review_count, avg_rating, rating_delta, low_star_share, volume_delta_pct FROM s{i}" for i, (kind, col) in enumerate(action.SPECS))
+    stars, change = "coalesce(printf('%.2f stars', round(avg_rating::DECIMAL(18, 6), 2)), 'no rating')", "coalesce(printf('%+.2f', round(rating_delta::DECIMAL(18, 6), 2)), 'unknown')"
     return _R + f""", {', '.join(parts)}, u AS ({rows}) SELECT entity_kind, entity_label, brand, segment, review_count, round(avg_rating, 6) AS avg_rating, round(rating_delta, 6) AS rating_delta, round(low_star_share, 6) AS low_star_share, round(volume_delta_pct, 6) AS volume_delta_pct,
-CASE WHEN segment = 'Fix now' AND (review_count >= 200 OR low_star_share >= 0.30) THEN 'Critical' WHEN segment IN ('Fix now', 'Protect') THEN 'High' WHEN segment IN ('Scale', 'Watch') THEN 'Medium' ELSE 'Low' END AS priority FROM u"""
+CASE WHEN segment = 'Fix now' AND (review_count >= 200 OR low_star_share >= 0.30) THEN 'Critical' WHEN segment IN ('Fix now', 'Protect') THEN 'High' WHEN segment IN ('Scale', 'Watch') THEN 'Medium' ELSE 'Low' END AS priority,
+CASE WHEN segment = 'Fix now' THEN {stars} || ' on average, ' || printf('%.1f%%', round((low_star_share * 100)::DECIMAL(18, 6), 1)) || ' of ' || review_count || ' reviews low' WHEN segment = 'Protect' THEN 'rating change of ' || {change} || ' against the baseline' WHEN segment = 'Scale' THEN {stars} || ' on average, rating change ' || {change}
+WHEN segment = 'Watch' AND abs(rating_delta) >= 0.08 THEN 'rating change of ' || {change} || ' to follow' WHEN segment = 'Watch' AND volume_delta_pct IS NOT NULL THEN 'number of reviews changed by ' || printf('%+.0f%%', round((volume_delta_pct * 100)::DECIMAL(18, 6), 0)) WHEN segment = 'Watch' THEN 'small change' ELSE 'no change to speak of' END AS reason,
+CASE segment WHEN 'Fix now' THEN 'read the low reviews of ' || entity_label || ' and name the cause' WHEN 'Protect' THEN 'find what changed for ' || entity_label WHEN 'Scale' THEN 'learn from ' || entity_label || ' for others' WHEN 'Watch' THEN 'look at ' || entity_label || ' again next period' ELSE 'nothing to do for ' || entity_label END AS recommended_action FROM u"""
 
 
 @query("w7_alert_feed", _feed())
 def w7(spark: SparkSession, sf: str) -> DataFrame:
-    return action.alert_feed(_prepared(spark, sf)).drop("reason", "recommended_action")
+    return action.alert_feed(_prepared(spark, sf))
 
 
 @query("w1_cumulative_trend", _R + """, r AS (SELECT date_trunc('day', submission_time)::TIMESTAMP AS day, upper(right(content_locale, 2)) AS c, rating FROM reviews WHERE rating IS NOT NULL),
@@ -228,7 +232,7 @@ _SEV = {"Loud": 1.18, "Hard To Clean": 1.18, "Wrong Size": 1.18}
 
 
 def _long(side: str) -> str:
-    return f"""a AS (SELECT review_id, rating AS star, list_distinct(list_filter([{_LAB(side + '1')}, {_LAB(side + '2')}], lambda x: x IS NOT NULL)) AS labels FROM reviews), t AS (SELECT * FROM a WHERE len(labels) > 0),
+    return f"""a AS (SELECT row_number() OVER () AS review_id, rating AS star, list_distinct(list_filter([{_LAB(side + '1')}, {_LAB(side + '2')}], lambda x: x IS NOT NULL)) AS labels FROM reviews), t AS (SELECT * FROM a WHERE len(labels) > 0),
 k AS (SELECT review_id, star, list_filter(labels, lambda x: x NOT IN ('Overall Dissatisfaction', 'Overall Satisfaction')) AS labels FROM t), l AS (SELECT review_id, star, len(labels) AS tags, unnest(labels) AS label FROM k)"""
 
 
@@ -316,17 +320,21 @@ def n16(spark: SparkSession, sf: str) -> DataFrame:
     return reviews(spark, sf).groupBy(L.region_label("content_locale").alias("region")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("x1_fragments", None)
+_TURNS = "|".join(p.replace(" ", r"\s+") for p in sorted(L.CONTRAST, key=len, reverse=True))
+
+
+@query("x1_fragments", rf"""WITH s AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[ \t\n\r\f\v]+', ' ', 'g'), ' ') AS t FROM documents), p AS (SELECT doc_id, string_split(regexp_replace(t, '([.!?]) ', '\1' || chr(1), 'g'), chr(1)) AS parts FROM s),
+f AS (SELECT doc_id, flatten(list_transform(parts, lambda x: string_split_regex(trim(x, ' ,;'), '(?i)\s+(?:{_TURNS})\s+|[;•|–—]'))) AS pieces FROM p) SELECT doc_id, len(list_distinct(list_filter(list_transform(pieces, lambda x: trim(x, ' ,;')), lambda x: length(x) >= 8)))::INT AS n FROM f""")
 def x1(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.size(L.split_fragments("text")).alias("n"))
 
 
 @query("t2_relevance", _T + """, s AS (SELECT review_id, rating, submission_time, lower(regexp_replace(title_and_text, '\\s+', ' ', 'g')) AS x, incentivized_review AS i, review_length_words AS w FROM texts),
-z AS (SELECT review_id, rating, submission_time, """ + " + ".join(f"CASE WHEN contains(x, '{t}') THEN 3 ELSE 0 END + (length(x) - length(replace(x, '{t}', ''))) / {len(t)}" for t in ("broken", "thing", "with")) + """ + coalesce(greatest(6 - rating, 0), 0) + CASE WHEN i THEN 0 ELSE 0.5 END + least(w / 60, 2) AS score FROM s),
+z AS (SELECT review_id, rating, submission_time, """ + " + ".join(f"CASE WHEN contains(x, '{t}') THEN 3 ELSE 0 END + (length(x) - length(replace(x, '{t}', ''))) / {len(t)}" for t in ("broken", "thing", "broken")) + """ + coalesce(greatest(6 - rating, 0), 0) + CASE WHEN i THEN 0 ELSE 0.5 END + least(w / 60, 2) AS score FROM s),
 p AS (SELECT * FROM (SELECT *, 0 AS part FROM z ORDER BY score DESC, submission_time DESC, review_id LIMIT 22) UNION ALL SELECT * FROM (SELECT *, 1 AS part FROM z WHERE rating BETWEEN 1 AND 2 ORDER BY submission_time DESC, review_id LIMIT 7) UNION ALL SELECT * FROM (SELECT *, 2 AS part FROM z WHERE rating BETWEEN 4 AND 5 ORDER BY submission_time DESC, review_id LIMIT 7)),
 o AS (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY part) AS rn FROM p) SELECT review_id, round(score, 6) AS score FROM o WHERE rn = 1 ORDER BY part, o.score DESC, submission_time DESC, review_id LIMIT 22""")
 def t2(spark: SparkSession, sf: str) -> DataFrame:
-    return rank.select_relevant(review_texts(spark, sf), "broken thing with", 22).select("review_id", "score")
+    return rank.select_relevant(review_texts(spark, sf), "broken thing with broken", 22).select("review_id", "score")
 
 
 def _two(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -343,9 +351,11 @@ def j3(spark: SparkSession, sf: str) -> DataFrame:
     return merge.upsert_reviews(*_two(spark, sf), ["row_key"])
 
 
-@query("u1_merge_sources", _R + f", {_TWO}, k AS (SELECT *, row_number() OVER (PARTITION BY review_id, product_id, review_text ORDER BY src, row_key) AS rn FROM x), m AS (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY src, row_key) AS n FROM k WHERE rn = 1) SELECT CASE WHEN n > 1 THEN review_id || ' (' || n || ')' ELSE review_id END AS review_id, product_id, review_text, rating, row_key FROM m")
+@query("u1_merge_sources", _R + f", {_TWO}, y AS (SELECT * REPLACE (CASE WHEN review_id LIKE '%0-1' THEN 'review_' || substring(sha1(trim(product_id) || '|' || sha256(trim(review_text))), 1, 16) ELSE review_id END AS review_id) FROM x), k AS (SELECT *, row_number() OVER (PARTITION BY review_id, product_id, review_text ORDER BY src, row_key) AS rn FROM y), m AS (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY src, row_key) AS n FROM k WHERE rn = 1) SELECT CASE WHEN n > 1 THEN review_id || ' (' || n || ')' ELSE review_id END AS review_id, product_id, review_text, rating, row_key, CASE WHEN src = 0 THEN 'shop.example' ELSE 'Unknown' END AS loaded_from_host, 'Link ' || (src + 1) AS loaded_from_batch FROM m")
 def u1(spark: SparkSession, sf: str) -> DataFrame:
-    return merge.merge_sources(list(_two(spark, sf)), ["row_key"])
+    blank = lambda df: df.withColumn("review_id", F.when(F.col("review_id").like("%0-1"), " ").otherwise(F.col("review_id")))
+    sources = [merge.loaded_from(blank(df), i, url) for i, (df, url) in enumerate(zip(_two(spark, sf), ("https://www.shop.example/reviews", ""), strict=True), 1)]
+    return merge.merge_sources(sources, ["row_key"]).drop("loaded_from_url", "loaded_from_label")
 
 
 @query("u2_merge_uploads", _R + f", {_TWO}, k AS (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY src, row_key) AS rn FROM x) SELECT review_id, product_id, review_text, rating, row_key FROM k WHERE rn = 1")
@@ -368,31 +378,52 @@ def j1(spark: SparkSession, sf: str) -> DataFrame:
     return products.enrich_with_catalog(reviews(spark, sf).drop("mapped_brand", "mapped_category", "mapped_subcategory", "base_model_number", "master_item"), _sku_catalog(spark, sf)).select("review_id", "match_type", "mapped_brand")
 
 
-@query("m1_posts", _M + "SELECT id, platform, engagement, row_number() OVER (PARTITION BY platform ORDER BY engagement DESC, id) AS rank FROM mentions")
+_TOP50 = "top AS (SELECT * FROM mentions ORDER BY engagement DESC, id LIMIT 50)"
+_TOP4 = f"spikes AS (SELECT * REPLACE (CASE WHEN list_contains({social.CAUSES}, cause) THEN cause ELSE 'Unknown' END AS cause) FROM mentions ORDER BY velocity_pct DESC, engagement DESC, id LIMIT 4)"
+
+
+@query("m1_posts", _M + f", {_TOP50} SELECT id, row_number() OVER (ORDER BY engagement DESC, id) AS rank, 'social' AS platform, platform AS source, platform AS headline, author, strftime(published, '%Y-%m-%d') AS submission_date, upper(sentiment[1]) || sentiment[2:] AS sentiment, reach AS views, engagement, velocity_pct, classification, cause, substring(trim(body), 1, 220) AS snippet FROM top")
 def m1(spark: SparkSession, sf: str) -> DataFrame:
-    return social.mention_posts(mentions(spark, sf)).select("id", "platform", "engagement", "rank")
+    return social.mention_posts(mentions(spark, sf)).select("id", "rank", "platform", "source", "headline", "author", "submission_date", "sentiment", "views", "engagement", "velocity_pct", "classification", "cause", "snippet")
+
+
+@query("m2_fetch", _M + "SELECT id, published, engagement, reach FROM mentions WHERE published >= (SELECT max(published) FROM mentions) - INTERVAL 40 DAY AND platform IN ('click', 'view', 'purchase') AND sentiment IN ('positive', 'negative') ORDER BY reach DESC, id LIMIT 50")
+def m2(spark: SparkSession, sf: str) -> DataFrame:
+    docs = mentions(spark, sf)
+    last = docs.agg(F.max("published").cast("string")).first()[0] or "2000-01-01"
+    return social.fetch_mentions(docs, last, 40, ["click", "view", "purchase"], ["positive", "negative"], "reach").select("id", "published", "metrics.engagement", "metrics.reach")
 
 
-@query("m3_spikes", _M + "SELECT id, velocity_pct::INT AS velocity_pct FROM mentions ORDER BY velocity_pct DESC, engagement DESC, id LIMIT 4")
+@query("m3_spikes", _M + f", {_TOP4} SELECT id, strftime(published, '%Y-%m-%d') AS date, cause, engagement, reach, pi_flag, velocity_pct::INT AS velocity_pct FROM spikes")
 def m3(spark: SparkSession, sf: str) -> DataFrame:
-    return social.spike_events(mentions(spark, sf)).select("id", "velocity_pct")
+    return social.spike_events(mentions(spark, sf)).drop("title", "summary")
 
 
-@query("m3_causes", _M + "SELECT cause, count(*) AS mentions, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM mentions GROUP BY 1")
+@query("m3_causes", _M + f", {_TOP4}, c AS (SELECT unnest({social.CAUSES}) AS cause), k AS (SELECT cause, count(*) AS n FROM spikes GROUP BY 1) SELECT cause, coalesce(n, 0)::BIGINT AS events, round_even(coalesce(n, 0) * 100.0 / greatest((SELECT count(*) FROM spikes), 1), 0)::INT AS share_pct FROM c LEFT JOIN k USING (cause)")
 def m3b(spark: SparkSession, sf: str) -> DataFrame:
     return social.cause_breakdown(mentions(spark, sf))
 
 
-@query("m4_paid_vs_organic", _M + "SELECT CASE WHEN pi_flag THEN 'Incentivized' ELSE 'Organic' END AS kind, count(*) AS mentions, round(avg(engagement), 6) AS avg_engagement, round(avg((sentiment = 'positive')::INT), 6) AS positive_share FROM mentions GROUP BY 1")
+_PAID = f"classification IN ('{social.EXPLICIT}', '{social.INFERRED}')"
+
+
+@query("m4_paid_vs_organic", _M + f", {_TOP50} SELECT count(*) AS total, count(*) FILTER (NOT {_PAID}) AS organic, count(*) FILTER (classification = '{social.EXPLICIT}') AS incentivized_explicit, count(*) FILTER (classification = '{social.INFERRED}') AS incentivized_inferred, coalesce(round_even(avg(engagement) FILTER (NOT {_PAID}), 0), 0)::BIGINT AS organic_avg_engagement, coalesce(round_even(avg(engagement) FILTER ({_PAID}), 0), 0)::BIGINT AS incentivized_avg_engagement FROM top")
 def m4(spark: SparkSession, sf: str) -> DataFrame:
     return social.paid_vs_organic(mentions(spark, sf))
 
 
-@query("m5_themes", _M + ", e AS (SELECT id, body, engagement, unnest(positive_themes) AS theme FROM mentions) SELECT theme, count(*) AS mentions, (array_agg(body ORDER BY engagement DESC, id DESC))[1] AS best_quote FROM e GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 6")
-def m5(spark: SparkSession, sf: str) -> DataFrame:
-    return social.theme_counts(mentions(spark, sf), "positive_themes", 6)
+@query("m4_top_organic", _M + "SELECT id, platform AS title, engagement FROM mentions WHERE classification = 'ORGANIC' ORDER BY engagement DESC, id LIMIT 3")
+def m4b(spark: SparkSession, sf: str) -> DataFrame:
+    return social.top_organic(mentions(spark, sf)).select("id", "title", "engagement")
+
+
+for _field, _n in (("positive_themes", 6), ("improvement_themes", 7)):
+
+    @query(f"m5_{_field}", _M + f", e AS (SELECT id, trim(body) AS body, platform, engagement, unnest({_field}) AS theme FROM mentions) SELECT theme, count(*) AS mentions, round_even(count(*) * 100.0 / (SELECT count(*) FROM mentions), 0)::INT AS share_pct, substring((array_agg(body ORDER BY engagement DESC, id DESC))[1], 1, 160) AS best_quote, (array_agg(platform ORDER BY engagement DESC, id DESC))[1] AS quote_source, max(engagement) AS quote_engagement FROM e GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT {_n}")
+    def m5(spark: SparkSession, sf: str, field: str = _field, n: int = _n) -> DataFrame:
+        return social.theme_counts(mentions(spark, sf), field, n)
 
 
-@query("m7_social_metrics", _M + ", t AS (SELECT platform, sum(engagement)::BIGINT AS e FROM mentions GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1) SELECT count(*) AS mentions, round(avg((sentiment = 'positive')::INT), 6) AS positive_share, round(avg((NOT pi_flag)::INT), 6) AS organic_share, (SELECT platform FROM t) AS top_platform, (SELECT e FROM t) AS top_engagement FROM mentions")
+@query("m7_social_metrics", _M + f", {_TOP50}, {_TOP4} SELECT count(*) AS mentions, round_even(count(*) FILTER (sentiment = 'positive') * 100.0 / count(*), 0)::INT AS positive_pct, (SELECT count(*) FROM spikes) AS viral_posts, CASE WHEN (SELECT bool_or(pi_flag) FROM spikes) THEN 'High' ELSE 'Medium' END AS risk, round_even(count(*) FILTER (NOT {_PAID}) * 100.0 / count(*), 0)::INT AS organic_share_pct, 'social' AS top_platform FROM top")
 def m7(spark: SparkSession, sf: str) -> DataFrame:
     return social.social_metrics(mentions(spark, sf))

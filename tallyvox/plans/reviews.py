@@ -95,13 +95,14 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_id") % 3
     return e.select(
         F.col("event_id").cast("string").alias("id"), F.col("user_id").cast("string").alias("author"), F.lit("post").alias("content_type"), F.when(kind == 0, "positive").when(kind == 1, "negative").otherwise("neutral").alias("sentiment"), F.col("ts").alias("published"), F.lit("").alias("url"), F.lit("").alias("theme"),
-        F.concat(F.lit("cause"), (F.col("user_id") % 5).cast("string")).alias("cause"), F.lit("").alias("classification"), F.struct(F.lit("social").alias("source_type"), F.col("event_type").alias("name")).alias("source"), F.struct(F.col("event_type").alias("title"), F.coalesce("props", F.lit("")).alias("body")).alias("content"),
+        _pick(["Creator Organic", "Press/Editorial", "Complaint Cluster", "Weather"], F.col("user_id") % 4).alias("cause"), _pick(["ORGANIC", "INCENTIVIZED_EXPLICIT", "", "INCENTIVIZED_INFERRED"], F.col("event_id") % 4).alias("classification"),
+        *[F.lit(None).cast(kind).alias(c) for c, kind in (("voc_takeaway", "string"), ("why_notable", "string"), ("viral_status", "string"), ("top_comment", "string"), ("top_comment_author", "string"), ("top_comment_likes", "long"), ("representative_quote", "string"))], F.struct(F.lit("social").alias("source_type"), F.col("event_type").alias("name")).alias("source"), F.struct(F.col("event_type").alias("title"), F.coalesce("props", F.lit("")).alias("body")).alias("content"),
         F.struct(n(100).alias("engagement"), n(10).alias("reach"), n(1).alias("likes"), n(2).alias("comments"), n(3).alias("shares")).alias("metrics"), (F.col("event_id") % 97).cast("int").alias("velocity_pct"), (F.col("user_id") % 4 == 0).alias("pi_flag"),
         F.array(F.concat(F.lit("t"), (F.col("user_id") % 9).cast("string")), F.concat(F.lit("u"), (F.col("event_id") % 4).cast("string"))).alias("positive_themes"), F.array(F.concat(F.lit("i"), (F.col("event_id") % 12).cast("string"))).alias("improvement_themes"),
     )
 
 
 MENTIONS_SQL = """
-mentions AS (SELECT event_id::VARCHAR AS id, CASE event_id % 3 WHEN 0 THEN 'positive' WHEN 1 THEN 'negative' ELSE 'neutral' END AS sentiment, ts AS published, 'cause' || (user_id % 5) AS cause, event_type AS platform, coalesce(props, '') AS body, floor(coalesce(value, 0) * 100)::BIGINT AS engagement, floor(coalesce(value, 0) * 10)::BIGINT AS reach,
-event_id % 97 AS velocity_pct, user_id % 4 = 0 AS pi_flag, ['t' || (user_id % 9), 'u' || (event_id % 4)] AS positive_themes FROM events)
+mentions AS (SELECT event_id::VARCHAR AS id, CASE event_id % 3 WHEN 0 THEN 'positive' WHEN 1 THEN 'negative' ELSE 'neutral' END AS sentiment, ts AS published, CASE user_id % 4 WHEN 0 THEN 'Creator Organic' WHEN 1 THEN 'Press/Editorial' WHEN 2 THEN 'Complaint Cluster' ELSE 'Weather' END AS cause, CASE event_id % 4 WHEN 1 THEN 'INCENTIVIZED_EXPLICIT' WHEN 3 THEN 'INCENTIVIZED_INFERRED' ELSE 'ORGANIC' END AS classification, user_id::VARCHAR AS author, event_type AS platform, coalesce(props, '') AS body, floor(coalesce(value, 0) * 100)::BIGINT AS engagement, floor(coalesce(value, 0) * 10)::BIGINT AS reach,
+event_id % 97 AS velocity_pct, user_id % 4 = 0 AS pi_flag, ['t' || (user_id % 9), 'u' || (event_id % 4)] AS positive_themes, ['i' || (event_id % 12)] AS improvement_themes FROM events)
 """

@@ -47,12 +47,49 @@ FLAGS = {
 SLOT = r"(?i)^(ai )?symptom( (detractor|delighter))? \d+$"
 
 
-def read_review_csv(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
-    """Text columns of CSV files with a header and quoted multi-line fields; source_file and an order of rows (_ord) beside them."""
+def read_review_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+    """Text columns of CSV files with a header and quoted multi-line fields; source_file and an order of rows (_ord) beside them.
+
+    Without an encoding files are read as UTF-8, or as Latin-1 where any of their bytes are no UTF-8; a mark at the
+    start (BOM) is not part of the first header.
+    """
+    if encoding is None:
+        lines = spark.read.text(path).select(F.max((~F.is_valid_utf8("value")).cast("int")).alias("bad"))
+        encoding = "ISO-8859-1" if lines.first()["bad"] else "UTF-8"
     rows = spark.read.options(header=True, multiLine=True, escape='"', encoding=encoding, inferSchema=False).csv(path)
+    rows = rows.toDF(*[c.removeprefix("\ufeff").removeprefix("ï»¿") for c in rows.columns])
     return rows.withColumns({"source_file": F.col("_metadata.file_name"), "_ord": F.monotonically_increasing_id()})
 
 
+def normalize_vendor_file_reviews(df: DataFrame, catalog: DataFrame, vendor: str, default_brand: str) -> DataFrame:
+    """Review rows from a vendor's files (with source_file and _ord), one product a file: its id is what follows two underscores in the file's name.
+
+    Names, base model and brand come from the catalog (sku, base_model_number, master_item, description, brand), else
+    from the id and default_brand; retailer and source are the vendor, and reviews are approved where nothing else is
+    said. Rows without an id are vendor__product__number, counted within a file in the order of _ord. Only the
+    catalog's first row for a product counts.
+    """
+    stem = F.regexp_replace(F.col("source_file"), r"\.[^.]*$", "")
+    marked = F.lower(stem).startswith(f"{vendor.lower()}__")
+    rows = df.withColumn("_pid", F.lower(F.trim(F.when(marked, F.regexp_replace(stem, r"(?s)^.*?__", "")).otherwise(stem))))
+    order = [F.asc_nulls_last(c) for c in ("base_model_number", "description") if c in catalog.columns]
+    named = catalog.withColumn("_pid", F.lower(F.trim("sku"))).where("_pid != ''").withColumn("_rn", F.row_number().over(Window.partitionBy("_pid").orderBy(*order))).where("_rn = 1")
+    of = lambda *cols: F.coalesce(*[L.blank_to_null(c) for c in cols if c in catalog.columns], F.lit(None).cast("string"))
+    named = named.select("_pid", of("base_model_number", "master_item").alias("_base"), of("description").alias("_name"), of("brand").alias("_brand"))
+    rows = rows.join(named, "_pid", "left")
+    number = F.row_number().over(Window.partitionBy("source_file").orderBy("_ord"))
+    given = {
+        "Product ID": F.col("_pid"), "Base SKU": F.coalesce("_base", "_pid"), "SKU Item": F.col("_pid"), "Product Name": F.coalesce("_name", "_pid"), "Brand": F.coalesce("_brand", F.lit(default_brand)),
+        "Retailer": F.lit(vendor), "Source": F.lit(vendor), "Moderation Status": F.lit("APPROVED"),
+    }
+    headers = {c.strip().lower(): c for c in df.columns}
+    fill = {headers.get(h.lower(), h): F.coalesce(L.blank_to_null(F.col(f"`{headers[h.lower()]}`")), v) if h.lower() in headers else v for h, v in given.items()}
+    if "review id" not in headers:
+        fill["Review ID"] = F.concat_ws("__", F.lit(vendor.lower()), "_pid", number.cast("string"))
+    out = normalize_reviews(rows.withColumns(fill).drop("_pid", "_base", "_name", "_brand", "_ord"))
+    return out.withColumn("source_system", F.lit(f"{vendor} uploaded file"))
+
+
 def collapse_duplicate_columns(df: DataFrame) -> DataFrame:
     """Columns of the same name become one: the first value from the left that is not blank. Other columns stay as they are."""
     names = [c.strip() for c in df.columns]
