@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import byte_chunks, cut, fold, small, text_list
 
-HIDDEN, SPAN, CONTEXT = 6, 1024, 48
+HIDDEN, SPAN, CONTEXT = 8, 1024, 64
 #: Learning takes at most so many documents of each language (those of the smallest id hash) and windows of so many bytes from each,
 #: and takes steps of so many windows.
 TRAIN_DOCS, WINDOWS, WINDOW, STEPS, BATCH = 1000, 16, 64, 400, 192
@@ -176,7 +176,7 @@ class Labeller:
         for a, b in zip(base[:-1].tolist(), base[1:].tolist(), strict=True):
             if b - a < h.shape[1]:
                 h = np.ascontiguousarray(h[:, : b - a])
-            read, back = x[:, held[a:b]], u @ h
+            read, back = np.take(x, held[a:b], axis=1, mode="clip"), u @ h  # take keeps rows together, which x[:, ...] does not
             gates = read[: 2 * n]
             gates += back[: 2 * n]
             np.exp(gates, out=gates)
@@ -240,14 +240,16 @@ def train_net(pieces: list[bytes], langs: list[str], steps: int = STEPS) -> BiGR
 def fit(docs: DataFrame, modulus: int = 5, held_out: int = 0, most_docs: int = TRAIN_DOCS) -> BiGRU:
     """Train on text and lang of documents outside the held-out fold, in one task; the driver gets the network only.
 
-    Of each language at most most_docs documents take part, those of the smallest id hash, with at most WINDOWS * WINDOW
-    bytes each. Null or empty texts, null languages and null ids are not learned from; without any row to learn from the
+    Of each language about most_docs documents at most take part, those of the smallest id hash in each of up to 64 parts,
+    with at most WINDOWS * WINDOW bytes each. Null or empty texts, null languages and null ids are not learned from; without any row to learn from the
     network knows `und` only. A doc_id with several languages or texts is learned from in each of them.
     """
     usable = docs.select("doc_id", "text", "lang").where((fold("doc_id", modulus) != held_out) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.col("text") != ""))
-    smallest = lambda df, *by: df.withColumn("rank", F.row_number().over(W.partitionBy("lang", *by).orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("rank") <= most_docs).drop("rank")
-    ids = usable.select("doc_id", "lang", F.pmod(F.hash("doc_id"), F.lit(64)).alias("part")).distinct()
-    chosen = cut(smallest(smallest(ids, "part")).select("doc_id", "lang"))  # first in parts, so that one frequent language is no single task's work
+    parts = max(1, min(64, most_docs))
+    part = F.pmod(F.hash("doc_id"), F.lit(parts))
+    rank = F.row_number().over(W.partitionBy("lang", "part").orderBy(F.xxhash64("doc_id"), "doc_id"))  # in parts, so that one frequent language is no single task's work
+    chosen = usable.select("doc_id", "lang", part.alias("part")).distinct().withColumn("rank", rank).where(F.col("rank") <= -(-most_docs // parts))
+    chosen = cut(chosen.select("doc_id", "lang"))
     few = chosen.count() <= BROADCAST_IDS
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
