@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.labels import OVERALL_LABELS, region_label
+from ..functions.labels import OVERALL_LABELS, any_phrase, region_label
+from ..functions.wording import stems
+from .matching import NEGATIVE, POSITIVE
 
 ALL, UNTAGGED = "(all)", "(untagged)"
 
@@ -137,6 +142,22 @@ def plan_batches(reviews: DataFrame, target_tokens: int = 4000, long_chars: int
     return reviews.select("review_id", tokens.alias("tokens"), F.when(chars > long_chars, "long").otherwise("short").alias("route"), F.least(F.greatest(F.floor(F.lit(target_tokens) / tokens), F.lit(least)), F.lit(most)).alias("batch_size"))
 
 
+def number_batches(reviews: DataFrame, shards: int = 64, **limits: int) -> DataFrame:
+    """plan_batches with shard and batch: reviews of one route and batch size, in order of review_id, so many to a batch. Reviews are dealt to shards by a hash of their id, so no order over all of them is needed; a batch is (shard, route, batch_size, batch)."""
+    planned = plan_batches(reviews, **limits).withColumn("shard", F.pmod(F.xxhash64("review_id"), F.lit(shards)).cast("int"))
+    place = F.row_number().over(Window.partitionBy("shard", "route", "batch_size").orderBy("review_id"))
+    return planned.withColumn("batch", F.floor((place - 1) / F.col("batch_size")))
+
+
+def flag_missed_side(tags: DataFrame, reviews: DataFrame) -> DataFrame:
+    """tags with missed_dets and missed_dels: sides to look at again. Both where there is no label; a side without labels where the stars (three without any) or words of the text speak for it."""
+    both = tags.join(reviews.select("key", "rating", "review_text"), "key", "left")
+    stars, text = F.coalesce(F.col("rating").try_cast("double"), F.lit(3.0)), F.lower(F.coalesce("review_text", F.lit("")))
+    dets, dels = F.size(_list("dets")) == 0, F.size(_list("dels")) == 0
+    missed = lambda none, by_stars, words: (dets & dels) | (none & (by_stars | text.rlike(any_phrase(words))))
+    return both.withColumns({"missed_dets": missed(dets, stars <= 3, NEGATIVE), "missed_dels": missed(dels, stars >= 3, POSITIVE)}).drop("rating", "review_text")
+
+
 def reuse_tags(reviews: DataFrame, cache: DataFrame, catalog_hash: str, model: str) -> tuple[DataFrame, DataFrame]:
     """(known, open): reviews whose text, catalog and model are in the cache (cache_key, result), with the result; and one review for each text that is not."""
     keyed = reviews.withColumn("cache_key", F.sha2(F.concat_ws("\u0001", F.trim(F.coalesce("review_text", F.lit(""))), F.lit(catalog_hash), F.lit(model)), 256))
@@ -160,7 +181,7 @@ def flag_for_verification(tags: DataFrame, reviews: DataFrame) -> DataFrame:
 
 
 def taxonomy_recommendations(tags: DataFrame, catalog: DataFrame) -> DataFrame:
-    """action, side, label, count and priority: labels of the catalog without hits (15 reviews at least) go, those on over 40 % are split, and unlisted labels (unl_dets, unl_dels) on 5 % and three reviews are promoted. None under five reviews."""
+    """action, side, label, count and priority: labels of the catalog without hits (15 reviews at least) go, those on over 40 % are split, labels that share their stems are merged (keep / merge), and unlisted labels (unl_dets, unl_dels) on 5 % and three reviews are promoted. None under five reviews."""
     total = tags.agg(F.count(F.lit(1)).alias("total")).where("total >= 5")
     hits = tag_long(tags).groupBy("side", "label").agg(F.count(F.lit(1)).alias("count"))
     known = catalog.select("side", "label").distinct().join(hits, ["side", "label"], "left").fillna(0, ["count"])
@@ -170,4 +191,30 @@ def taxonomy_recommendations(tags: DataFrame, catalog: DataFrame) -> DataFrame:
     new = tags.select(F.inline(F.concat(side("unl_dets", "detractor"), side("unl_dels", "delighter")))).groupBy("side", "label").agg(F.count(F.lit(1)).alias("count"))
     up = new.crossJoin(F.broadcast(total)).where("count >= greatest(3, total * 0.05)").select(F.lit("promote").alias("action"), "side", "label", "count", F.when(F.col("count") >= F.col("total") * 0.1, "high").otherwise("medium").alias("priority"))
     order = lambda c, names: F.array_position(F.array(*map(F.lit, names)), F.col(c))
-    return gone.unionByName(wide).unionByName(up).orderBy(order("priority", ["high", "medium"]), order("action", ["promote", "split", "remove"]), F.desc("count"), "side", "label")
+    same = similar_labels(known.where("count > 0")).select(F.lit("merge").alias("action"), "side", F.concat_ws(" / ", "keep", "merge").alias("label"), F.col("merge_count").alias("count"), F.lit("medium").alias("priority"))
+    return gone.unionByName(wide).unionByName(same).unionByName(up).orderBy(order("priority", ["high", "medium"]), order("action", ["promote", "split", "merge", "remove"]), F.desc("count"), "side", "label")
+
+
+def similar_labels(counts: DataFrame, threshold: float = 0.55) -> DataFrame:
+    """(side, keep, merge, merge_count): pairs of labels (side, label, count) that share stems; the more frequent is kept, of equal ones the first.
+
+    Labels meet by a stem that both have, not each with each.
+    """
+
+    def stemmed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield f.assign(stems=[sorted(stems(x)) for x in f["label"]])
+
+    rows = counts.select("side", "label", F.col("count").cast("long")).mapInPandas(stemmed, "side string, label string, count long, stems array<string>")
+    each = rows.withColumn("stem", F.explode("stems"))
+    a, b = (each.select("side", "stem", F.col("label").alias(f"label_{x}"), F.col("count").alias(f"count_{x}"), F.col("stems").alias(f"stems_{x}")) for x in "ab")
+    pairs = a.join(b, ["side", "stem"]).where("label_a < label_b").drop("stem").distinct()
+    shared = F.size(F.array_intersect("stems_a", "stems_b")) / F.greatest(F.size("stems_a"), F.size("stems_b"))
+    first = F.col("count_a") >= F.col("count_b")
+    return pairs.where(shared >= threshold).select("side", F.when(first, F.col("label_a")).otherwise(F.col("label_b")).alias("keep"), F.when(first, F.col("label_b")).otherwise(F.col("label_a")).alias("merge"), F.least("count_a", "count_b").alias("merge_count"))
+
+
+def merged_candidates(candidates: DataFrame) -> DataFrame:
+    """candidate_labels with near-duplicates of a side as merged_into: the more frequent label that shares its stems, null where there is none."""
+    into = similar_labels(candidates.select("side", "label", "count")).groupBy("side", F.col("merge").alias("label")).agg(F.min("keep").alias("merged_into"))
+    return candidates.join(into, ["side", "label"], "left")

@@ -115,6 +115,32 @@ def watch_trend(rows: DataFrame) -> DataFrame:
     return rows.where("date IS NOT NULL").groupBy("Retailer", "Region", F.date_trunc("week", "date").alias("week")).agg(F.count(F.lit(1)).alias("reviews"), F.avg("rating").alias("avg_rating"))
 
 
+def watch_alerts(rows: DataFrame, drop: float = 0.3, min_reviews: int = 5, baseline: int = 4) -> DataFrame:
+    """Retailers and regions whose average of the last week with reviews is lower by drop or more than that of the baseline weeks before it; deepest first.
+
+    Each side of the comparison needs min_reviews reviews. Weeks are those that occur at all, the same for all groups.
+    """
+    weeks = rows.where("date IS NOT NULL AND rating IS NOT NULL").groupBy("Retailer", "Region", F.date_trunc("week", "date").alias("week")).agg(F.count(F.lit(1)).alias("n"), F.sum("rating").alias("stars"))
+    few = weeks.select("week").distinct().orderBy(F.desc("week")).limit(baseline + 1)
+    last = few.agg(F.max("week").alias("last"))
+    kept = weeks.join(F.broadcast(few), "week").crossJoin(F.broadcast(last))  # a few weeks, one row
+    new = F.col("week") == F.col("last")
+    total = lambda c, when: F.coalesce(F.sum(F.when(when, F.col(c))), F.lit(0))
+    by = kept.groupBy("Retailer", "Region").agg(F.max("last").alias("week"), total("n", new).alias("reviews"), total("n", ~new).alias("baseline_reviews"), total("stars", new).alias("s"), total("stars", ~new).alias("b"))
+    by = by.where((F.col("reviews") >= min_reviews) & (F.col("baseline_reviews") >= min_reviews))
+    by = by.withColumns({"avg_rating": F.col("s") / F.col("reviews"), "baseline_avg": F.col("b") / F.col("baseline_reviews")}).drop("s", "b")
+    out = by.withColumn("change", F.round(F.col("avg_rating") - F.col("baseline_avg"), 6))
+    return out.where(F.col("change") <= -drop).orderBy("change", "Retailer", "Region")
+
+
+def watch_symptoms(df: DataFrame, source_col: str, region_col: str, cols: list[str], n: int = 5) -> DataFrame:
+    """The n most frequent labels in the slots of each retailer and region: Retailer, Region, label, mentions, avg_rating, rank; ties by label."""
+    rows = df.select(F.trim(F.col(source_col)).alias("Retailer"), watch_region(region_col).alias("Region"), F.col("rating").cast("double").alias("rating"), F.explode(symptom_array(cols)).alias("label")).where("Retailer != ''")
+    by = rows.groupBy("Retailer", "Region", "label").agg(F.count(F.lit(1)).alias("mentions"), F.avg("rating").alias("avg_rating"))
+    rank = F.row_number().over(Window.partitionBy("Retailer", "Region").orderBy(F.desc("mentions"), "label"))
+    return by.withColumn("rank", rank).where(F.col("rank") <= n)
+
+
 def use_cases(docs: DataFrame) -> DataFrame:
     """By hack_name of social mentions: how many posts, the most engaging one (ties: the largest id), its novelty and implications."""
     best = F.max_by(F.struct(F.col("content.body").alias("quote"), F.col("source.name").alias("source"), F.coalesce("metrics.engagement", F.lit(0)).alias("engagement"), "hack_implications"), F.struct(F.coalesce("metrics.engagement", F.lit(0)), "id"))

@@ -52,12 +52,29 @@ def filter_dimensions(df: DataFrame, wanted: dict[str, list[str]]) -> DataFrame:
     return df
 
 
+#: A column with more distinct values than this is searched, not chosen from.
+MOST_CHOICES = 600
+
+
+def infer_kinds(df: DataFrame, cols: list[str], most: int = MOST_CHOICES) -> dict[str, str]:
+    """The kind of filter that fits each column: number or date if nine tenths of its filled values are one, tokens if some hold a bar, contains if there are more than most distinct values, else values. One row of facts comes to the driver."""
+    text = {c: F.nullif(F.trim(F.col(f"`{c}`").cast("string")), F.lit("")) for c in cols}
+    facts = []
+    for i, c in enumerate(cols):
+        facts += [F.count(text[c]).alias(f"n{i}"), F.count(text[c].try_cast("double")).alias(f"number{i}"), F.count(F.when(text[c].rlike("[-/]"), text[c].try_cast("timestamp"))).alias(f"date{i}"), F.count_if(text[c].contains("|")).alias(f"bar{i}"), F.approx_count_distinct(text[c]).alias(f"distinct{i}")]
+    r = df.agg(*facts).first()
+    kind = lambda i: "values" if not r[f"n{i}"] else "number" if r[f"number{i}"] >= 0.9 * r[f"n{i}"] else "date" if r[f"date{i}"] >= 0.9 * r[f"n{i}"] else "tokens" if r[f"bar{i}"] else "contains" if r[f"distinct{i}"] > most else "values"
+    return {c: kind(i) for i, c in enumerate(cols)}
+
+
 def filter_extra(df: DataFrame, specs: dict[str, dict]) -> DataFrame:
-    """Filters by kind: number (min, max), date (start, end), contains (text), tokens (values of a |-separated list), values."""
+    """Filters by kind: number (min, max), date (start, end), contains (text), tokens (values of a |-separated list), values. A spec without a kind takes the one that infer_kinds finds."""
+    open_ = [name for name, spec in specs.items() if "kind" not in spec]
+    kinds = infer_kinds(df, open_) if open_ else {}
     for name, spec in specs.items():
         c = F.col(f"`{name}`")
         text = F.lower(F.coalesce(c.cast("string"), F.lit("")))
-        kind = spec["kind"]
+        kind = spec.get("kind") or kinds[name]
         if kind == "number":
             df = df.where(c.try_cast("double").between(spec.get("min", float("-inf")), spec.get("max", float("inf"))))
         elif kind == "date":
@@ -96,11 +113,17 @@ class FilterSpec:
     dimensions: dict[str, list[str]] = field(default_factory=dict)
     extra: dict[str, dict] = field(default_factory=dict)
     keyword: str = ""
+    detractors: list[str] = field(default_factory=list)
+    delighters: list[str] = field(default_factory=list)
+    det_cols: list[str] = field(default_factory=list)
+    del_cols: list[str] = field(default_factory=list)
 
 
 def apply_review_filters(df: DataFrame, spec: FilterSpec) -> DataFrame:
+    """All filters of the spec, in any order: a row stays if it passes each."""
     out = filter_timeframe(df, spec.timeframe, spec.as_of, spec.start, spec.end)
-    return filter_keyword(filter_extra(filter_dimensions(filter_stars(out, spec.stars), spec.dimensions), spec.extra), spec.keyword)
+    out = filter_extra(filter_dimensions(filter_stars(out, spec.stars), spec.dimensions), spec.extra)
+    return filter_keyword(filter_symptoms(out, spec.detractors, spec.delighters, spec.det_cols, spec.del_cols), spec.keyword)
 
 
 def describe_filters(spec: FilterSpec) -> list[tuple[str, str]]:
@@ -109,6 +132,7 @@ def describe_filters(spec: FilterSpec) -> list[tuple[str, str]]:
     rows += [("Stars", ", ".join(map(str, spec.stars)))] if spec.stars else []
     rows += [(k, ", ".join(v)) for k, v in spec.dimensions.items() if v]
     rows += [(k, str({a: b for a, b in v.items() if a != "kind"})) for k, v in spec.extra.items()]
+    rows += [(name, ", ".join(v)) for name, v in (("Detractors", spec.detractors), ("Delighters", spec.delighters)) if v]
     return rows + ([("Keyword", spec.keyword)] if spec.keyword.strip() else [])
 
 
@@ -121,8 +145,13 @@ def newest_first(df: DataFrame) -> list[Column]:
     return [F.desc_nulls_last("submission_time"), F.desc_nulls_last("review_id")]
 
 
+def workspace_total(df: DataFrame, **selection: list[str]) -> DataFrame:
+    """One row: how many rows the selection has, before any limit."""
+    return selected(df, selection).agg(F.count(F.lit(1)).alias("total"))
+
+
 def load_workspace(df: DataFrame, limit: int | None = None, **selection: list[str]) -> DataFrame:
-    """Selected rows without heavy columns, newest first."""
+    """Selected rows without heavy columns, newest first; workspace_total counts them."""
     out = selected(df, selection).drop(*[c for c in HEAVY if c in df.columns]).orderBy(*newest_first(df))
     return out.limit(limit) if limit else out
 

@@ -57,9 +57,10 @@ def a21(spark: SparkSession, sf: str) -> DataFrame:
     return audit.tag_distribution(tags(spark, sf))
 
 
-@query("a21_polarity", _TAGS + ", p AS (SELECT key, rating, CASE WHEN rating >= 5 AND len(dets) > 0 AND len(dels) = 0 THEN '5star_only_detractors' WHEN rating <= 2 AND len(dels) > 0 AND len(dets) = 0 THEN 'low_star_only_delighters' END AS issue FROM tags) SELECT * FROM p WHERE issue IS NOT NULL")
+@query("a21_polarity", _TAGS + ", q AS (SELECT key, rating, CASE WHEN key LIKE '%2' THEN [] ELSE dets END AS dets, CASE WHEN key LIKE '%1' THEN [] ELSE dels END AS dels FROM tags), p AS (SELECT key, rating, CASE WHEN rating >= 5 AND len(dets) > 0 AND len(dels) = 0 THEN '5star_only_detractors' WHEN rating <= 2 AND len(dels) > 0 AND len(dets) = 0 THEN 'low_star_only_delighters' END AS issue FROM q) SELECT * FROM p WHERE issue IS NOT NULL")
 def a21b(spark: SparkSession, sf: str) -> DataFrame:
-    rows = tags(spark, sf)
+    none = F.array().cast("array<string>")
+    rows = tags(spark, sf).withColumns({"dels": F.when(F.col("key").like("%1"), none).otherwise(F.col("dels")), "dets": F.when(F.col("key").like("%2"), none).otherwise(F.col("dets"))})
     return audit.polarity_mismatches(rows.drop("rating"), rows).select("key", "rating", "issue")
 
 
@@ -107,9 +108,11 @@ def x18(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _work(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared checkpoint folder, or a folder of our own where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-streams-")
-    return f"{shared}/streams-{uuid.uuid4().hex}"
+    """A new folder below the cluster's shared checkpoint folder; only a session whose tasks run in the driver's process may do without one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and (not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{shared or tempfile.mkdtemp(prefix='spark-streams-')}/streams-{uuid.uuid4().hex}"
 
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
