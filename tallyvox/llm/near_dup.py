@@ -8,9 +8,11 @@
    cost one row from here on.
 3. Representatives that agree on a band meet in a bucket. First each is tested against the smallest of its bucket, a
    number of pairs in proportion to the rows. Union-find joins what passes. Then, only where a bucket still holds
-   several groups, pairs of different groups are tested: pairs inside a group cannot change the result. A parity
-   sketch of each set first rules out pairs that cannot be alike enough: every element in just one of two sets turns
-   one bit, so that the sketches never differ in more bits than the sets differ in elements.
+   several groups, pairs of different groups are tested: pairs inside a group cannot change the result. They meet by
+   size class, as sets that are alike have nearly equal sizes, and a large bucket is dealt to many tasks, so that it
+   is no single task's work. A parity sketch of each set first rules out pairs that cannot be alike enough: every
+   element in just one of two sets turns one bit, so that the sketches never differ in more bits than the sets differ
+   in elements.
 4. A test compares the full sets. Union-find runs in every partition over its own links, and large-star / small-star
    rounds join the partitions' forests.
 """
@@ -18,6 +20,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +32,8 @@ from .common import GAMMA, SPACED, Words, byte_chunks, cut, list_array, mix, sma
 
 BANDS, ROWS = 36, 5
 SKETCH_BITS = 2048
+#: Rows of a bucket for each part that its pairs are dealt to.
+SPLIT = 1000
 _HIGH, _LOW = np.uint64(32), np.uint64(0xFFFFFFFF)
 
 
@@ -147,12 +152,32 @@ def union_find(links: DataFrame) -> DataFrame:
     return nodes.select(F.col("v").alias("node")).distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
+def _pairs_of_groups(rest: DataFrame, percent: int) -> DataFrame:
+    """Pairs a < b of rest (bucket, parts, doc_id, n, root, sketch) that share a bucket, are in different groups and may be alike by size and sketch.
+
+    Sets that are alike are in the same size class or the next (classes grow by the similarity; one more allows for
+    rounding). The row of the lower class is in one part of its bucket, that of the higher class in all parts.
+    """
+    size_class = F.floor(F.log("n") / math.log(100 / percent)).cast("int") if percent < 100 else F.col("n").cast("int")
+    rows = rest.withColumn("class", size_class)
+    side = lambda x, *more: rows.select("bucket", F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("root").alias(f"r{x}"), F.col("sketch").alias(f"k{x}"), F.col("class").alias(f"c{x}"), "parts", *more)
+    low = side("a", F.explode(F.array(*[F.col("class") + i for i in range(3)])).alias("class")).withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).drop("parts")
+    high = side("b", "class").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    bits = F.aggregate(F.zip_with("ka", "kb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    once = (F.col("ca") < F.col("cb")) | (F.col("a") < F.col("b"))
+    near = once & (F.col("ra") != F.col("rb")) & fits & (bits * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
+    met = low.join(high, ["bucket", "class", "part"]).where(near)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity_percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text; other columns are ignored).
 
     Two texts are linked if 100 * |A & B| >= similarity_percent * |A | B| for their sets of shingles; component_id is
     the smallest doc_id reachable over links. Null, empty and blank texts have an empty set, no links and are kept.
-    Rows are taken as distinct by doc_id; a null doc_id gets null for component_id and is kept.
+    Rows are taken as distinct by doc_id: texts under one doc_id are one node, and each of their rows is returned. A null
+    doc_id gets null for component_id, links nothing and is kept. An empty table gives no rows.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = cut(_signed(texts, shingle_words, bands, rows))
@@ -175,12 +200,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity_percent:
     links = cut(confirmed(first))
     roots = cut(union_find(links))
     grouped = met.join(roots, met["doc_id"] == roots["node"], "left").select("bucket", "doc_id", "n", F.coalesce("root", "doc_id").alias("root"))
-    mixed = grouped.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
+    mixed = grouped.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")).where("lo < hi").select("bucket", F.ceil(F.col("members") / SPLIT).cast("int").alias("parts"))
     rest = cut(grouped.join(mixed, "bucket").join(sets.select("doc_id", "sketch"), "doc_id"))
-    one, two = (rest.select("bucket", F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("root").alias(f"r{x}"), F.col("sketch").alias(f"k{x}")) for x in "ab")
-    bits = F.aggregate(F.zip_with("ka", "kb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    near = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & fits & (bits * (100 + similarity_percent) <= (F.col("na") + F.col("nb")) * (100 - similarity_percent))
-    second = one.join(two, (one["bucket"] == two["bucket"]) & near).select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
+    second = _pairs_of_groups(rest, similarity_percent).join(first, ["a", "b"], "left_anti")
     more = cut(confirmed(cut(second)))
     if not more.isEmpty():
         links = links.unionByName(more)

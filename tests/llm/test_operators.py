@@ -65,6 +65,35 @@ def test_near_duplicates(spark, docs, empty, size):
     assert near_dup.near_duplicates(twice, size).count() == len(texts) + 4
 
 
+def test_near_duplicates_in_crowded_buckets(spark, monkeypatch):
+    """Texts that share much but are not alike, and some that are: every link is found, however buckets are dealt."""
+    rng = np.random.default_rng(5)
+    common = [f"c{i}" for i in range(60)]
+    texts = []
+    for k in range(60):
+        own = [f"o{k}x{i}" for i in range(int(rng.integers(8, 25)))]
+        texts.append(" ".join(common + own))
+        if k % 4 == 0:
+            texts.append(" ".join([*common[3:], *own]))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute_components(texts, 2, 80)
+    for split in (1000, 7):
+        monkeypatch.setattr(near_dup, "SPLIT", split)
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.near_duplicates(rows, 2, 80).collect()} == want
+    assert len({c for _, c in want.values()}) < len(texts)
+    pairs = near_dup._pairs_of_groups(spark.createDataFrame([("b", 3, i, 100 + i, i, [0]) for i in range(60)], "bucket string, parts int, doc_id long, n long, root long, sketch array<long>"), 80)
+    assert {(r["a"], r["b"]) for r in pairs.collect()} == {(a, b) for a in range(60) for b in range(a + 1, 60) if (100 + a) * 100 >= (100 + b) * 80}
+
+
+def test_near_duplicates_of_documents_against_all_pairs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()
+    ids, texts = [r["doc_id"] for r in docs], [r["text"] for r in docs]
+    rows = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    for size in (2, 5):
+        want = {ids[i]: (n, ids[c]) for i, (n, c) in brute_components(texts, size, 80).items()}
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.near_duplicates(rows, size, 80).collect()} == want
+
+
 @pytest.mark.parametrize("block", [500_000, 3])
 def test_decontamination(spark, docs, empty, block):
     items = spark.createDataFrame([(1, "B c d e f g h i j k l"), (2, "one"), (3, None), (4, "..."), (5, "zz yy")], "item_id long, text string")
@@ -134,6 +163,43 @@ def test_language_model(docs, empty):
     assert abs(weights[3].sum() - 1) < 1e-6 and weights[3][0] > 0.8
 
 
+def test_language_model_against_counts(spark):
+    """Counts, base scores and model scores of documents against a plain computation with the learned weights."""
+    import math
+    from collections import Counter
+
+    words = "the river ran past old stone houses and people walked along it".split()
+    rng = np.random.default_rng(2)
+    run = lambda: [words[(start + k) % len(words)] for start in [rng.integers(0, 12)] for k in range(rng.integers(1, 30))]
+    texts = [None, "", *[" ".join(run()) + (" Rare%d" % i if i % 9 == 0 else "") for i in range(250)]]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(7, texts[7]), (None, "the river")]
+    got = lm_score.scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), unit_bytes=2000).collect()
+    tokens = lambda t: [w.decode() for w in (t or "").encode().lower().split()] + ["</s>"]
+    part = lambda i: -1 if i is None else zlib.crc32(str(i).encode()) % 7
+    train = [tokens(t) for i, t in rows if part(i) != 2]
+    uni = Counter(w for t in train for w in t)
+    n, v = sum(uni.values()), len(uni)
+    assert len(got) == len(rows)
+    base = lambda t: sum(math.log10((uni[w] + 1) / (n + v + 1)) for w in tokens(t))
+    want = sorted((i or -1, part(i) == 2, len(tokens(t)), sum(uni[w] > 0 for w in tokens(t)), n, round(base(t), 6)) for i, t in rows)
+    assert sorted((r["doc_id"] or -1, r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == want
+    held = [r for r in got if r["held_out"]]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+    # The model: weights from EM on fold 3 against counts without it, scores from all counts.
+    grams = lambda ts: Counter(p for t in ts for p in zip(["</s>", *t[:-1]], t, strict=True))
+    fit = [tokens(t) for i, t in rows if part(i) not in (2, 3)]
+    f1, f2, total = Counter(w for t in fit for w in t), grams(fit), sum(len(t) for t in fit)
+    level = lambda c: min(int(math.log2(c)) + 1, lm_score.FREQUENCY_BUCKETS - 1) if c else 0
+    q = lambda a, b: round(4 * math.log2(a / b * (v + 1))) if a and b else -999
+    met = Counter((level(f1[a]), q(f2[a, b], f1[a]), q(f1[b], total)) for i, t in rows if part(i) == 3 for a, b in zip(["</s>", *tokens(t)[:-1]], tokens(t), strict=True))
+    weights = lm_score.learn_weights([(*k, c) for k, c in met.items()])
+    bi = grams(train)
+    for r in got:
+        t = tokens(dict(rows)[r["doc_id"]])
+        p = [weights[level(uni[a])] @ np.array([bi[a, b] / max(uni[a], 1), uni[b] / n, 1 / (v + 1)]) for a, b in zip(["</s>", *t[:-1]], t, strict=True)]
+        assert abs(r["score"] - np.log10(p).sum()) < 1e-3 * len(t), r
+
+
 def test_media_round_trip(docs, empty):
     for r in media.read_media(media.media_column(docs)).collect():
         payload = media.padded(TEXTS[r["doc_id"]])
@@ -148,6 +214,24 @@ def test_media_round_trip(docs, empty):
     assert media.crc_mpeg(b"") == 0xFFFFFFFF and media.demux(whole).gaps == 0
 
 
+def test_media_follows_changed_tables():
+    """A later program map moves the elementary stream to another pid; a damaged later table is noticed."""
+    first, second = media.mux(b"a" * 192 * 70), bytearray(media.mux(b"b" * 192 * 3))
+    body = (0xE000 | 0x0222).to_bytes(2, "big") + b"\xf0\x00" + bytes([media.PRIVATE_DATA]) + (0xE000 | 0x0222).to_bytes(2, "big") + b"\xf0\x00"
+    moved = media._table_packet(media.PMT_PID, media._section(2, media.PROGRAM, body))
+    for at in range(0, len(second), media.PACKET):
+        pid = int.from_bytes(second[at + 1 : at + 3], "big") & 0x1FFF
+        if pid == media.PMT_PID:
+            second[at : at + media.PACKET] = moved
+        elif pid == media.MEDIA_PID:
+            second[at + 1 : at + 3] = (second[at + 1] << 8 & 0xE000 | 0x0222).to_bytes(2, "big")
+    read = media.demux(first + bytes(second))
+    assert read.payload == b"a" * 192 * 70 + b"b" * 192 * 3 and read.gaps == 0
+    second[media.PACKET + 20] ^= 1  # in the second stream's map
+    with pytest.raises(ValueError):
+        media.demux(first + bytes(second))
+
+
 def test_archives(spark):
     html = [None, "", "<p>a</p>", "<p>a</p>", "<p>é</p>\r\n\r\nx", "<p>a</p>"]
     pages = spark.createDataFrame([(i, None if i == 1 else f"http://h/ü {i}\r\n", h, "x") for i, h in enumerate(html)] + [(None, "u", "h", "x")], "page_id long, url string, html string, digest string")
