@@ -139,9 +139,9 @@ def sent(stored: DataFrame, buckets: int) -> DataFrame:
 
 
 def totalled(parts: DataFrame) -> DataFrame:
-    """(unit, kind, bucket, total, fitted): for each unit the counts of its keys over all training texts, and over those outside the EM fold.
+    """(unit, kind, bucket, total, fitted, types, tokens, fit_tokens): for each unit the counts of its keys over all training texts, and over those outside the EM fold.
 
-    A row of unit -1 for each bucket has four numbers in total: unigram types and tokens, both over all and fitted.
+    The last three are filled in a row of unit -1 for each bucket of unigrams: types and tokens over all, and tokens fitted.
     """
 
     def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -156,11 +156,12 @@ def totalled(parts: DataFrame) -> DataFrame:
         for unit, role, k in zip(rows["unit"], roles, keys, strict=True):
             own = place[at : at + len(k)]
             at += len(k)
-            out.append((unit, kind, bucket, _squeeze(every[own]), _squeeze(fitted[own]) if role == EM else b""))
-        facts = np.array([(every > 0).sum(), every.sum(), (fitted > 0).sum(), fitted.sum()] if kind == 0 else [0] * 4, "<u8")
-        return pd.DataFrame([*out, (-1, kind, bucket, _squeeze(facts), b"")], columns=["unit", "kind", "bucket", "total", "fitted"])
+            out.append((unit, kind, bucket, _squeeze(every[own]), _squeeze(fitted[own]) if role == EM else b"", 0, 0, 0))
+        if kind == 0:
+            out.append((-1, kind, bucket, b"", b"", int((every > 0).sum()), int(every.sum()), int(fitted.sum())))
+        return pd.DataFrame(out, columns=["unit", "kind", "bucket", "total", "fitted", "types", "tokens", "fit_tokens"])
 
-    return parts.groupBy("kind", "bucket").applyInPandas(add, "unit long, kind int, bucket int, total binary, fitted binary")
+    return parts.groupBy("kind", "bucket").applyInPandas(add, "unit long, kind int, bucket int, total binary, fitted binary, types long, tokens long, fit_tokens long")
 
 
 def _counts(texts: list[bytes], answers: pd.DataFrame, column: str) -> tuple[Tokens, np.ndarray, np.ndarray, np.ndarray]:
@@ -209,16 +210,19 @@ def scores(docs: DataFrame, unit_bytes: int = UNIT_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row of docs (doc_id, text; other columns are ignored).
 
     Null and empty texts are one token, the end. Rows of fold HELD_OUT are not learned from; a null doc_id is learned
-    from. Without any training token base and model are uniform.
+    from. Rows that repeat count and are scored each time. Without any training token base and model are uniform; an
+    empty table gives no rows. For the weights the estimates of held-out tokens are rounded to quarters of a binary
+    order, which bounds what the driver gets; scores use unrounded estimates.
+
+    Rows that are shuffled: one for each unit and bucket that meet, so at most units * buckets, and at most one for
+    each distinct key of each unit, which is what it comes to when buckets are far more than a unit's keys.
     """
     size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
     buckets = max(1, math.ceil(size / unit_bytes))
     stored = cut(units(docs, unit_bytes))
     totals = cut(totalled(sent(stored, buckets)))
-    facts = np.zeros(4)
-    for row in totals.where("unit = -1 AND kind = 0").select("total").toLocalIterator():  # four numbers a bucket
-        facts += _spread(bytes(row["total"]), np.uint64)
-    types, tokens_all, _, tokens_fit = facts
+    facts = totals.where("unit = -1").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("types", "tokens", "fit_tokens")]).first()
+    types, tokens_all, tokens_fit = facts["types"], facts["tokens"], facts["fit_tokens"]
     uniform = 1 / (types + 1)
 
     def meet(key: tuple, unit: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
@@ -230,10 +234,10 @@ def scores(docs: DataFrame, unit_bytes: int = UNIT_BYTES) -> DataFrame:
         rows, n = np.unique(np.stack([_levels(context), q(bi, context), q(uni, np.full(len(uni), tokens_fit))]), axis=1, return_counts=True)
         return pd.DataFrame({"level": rows[0], "q2": rows[1], "q1": rows[2], "n": n})
 
-    answers = totals.where("unit != -1")
+    answers = totals.where("unit != -1").drop("types", "tokens", "fit_tokens")
     em_units = stored.where(F.col("role") == EM)
     met = em_units.groupBy("unit").cogroup(answers.where("length(fitted) > 0").groupBy("unit")).applyInPandas(meet, "level long, q2 long, q1 long, n long")
-    weights = learn_weights([tuple(r) for r in met.groupBy("level", "q2", "q1").agg(F.sum("n")).collect()])  # at most a few hundred thousand rows: logarithms in steps
+    weights = learn_weights([tuple(r) for r in met.groupBy("level", "q2", "q1").agg(F.sum("n")).collect()])  # a grid: 20 levels, and q in steps of a quarter over the 60 binary orders of counts
 
     def score(key: tuple, unit: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         ids, texts = _open(unit["texts"].iloc[0])
