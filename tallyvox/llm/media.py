@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -122,29 +122,42 @@ def _section_of(packet: np.ndarray, table: int) -> bytes:
     return _READ[key]
 
 
+def _map_pid(pat: bytes) -> int | None:
+    """Where the map of our program is, by an association table."""
+    programs = {int.from_bytes(pat[k : k + 2], "big"): int.from_bytes(pat[k + 2 : k + 4], "big") & 0x1FFF for k in range(8, len(pat) - 4, 4)}
+    return programs.get(PROGRAM)
+
+
+def _media_pid(pmt: bytes) -> int:
+    """Where the first elementary stream is, by a program map."""
+    info = int.from_bytes(pmt[10:12], "big") & 0xFFF
+    return int.from_bytes(pmt[13 + info : 15 + info], "big") & 0x1FFF
+
+
+def _in_force(at: np.ndarray, pid_of: Callable[[int], int | None], packets: int, missing: str) -> np.ndarray:
+    """For each packet the pid that the last table before it names; the first table also holds for what comes before it. Every table is read and its checksum tested."""
+    named = [pid_of(i) for i in at]
+    if not named or None in named:
+        raise ValueError(missing)
+    return np.asarray(named)[np.maximum(np.searchsorted(at, np.arange(packets), side="right") - 1, 0)]
+
+
 def demux(media: bytes) -> Stream:
-    """Read a transport stream back; raises ValueError if it is damaged, counts gaps in the continuity counters."""
+    """Read a transport stream back; raises ValueError if it is damaged, counts gaps in the continuity counters of a pid.
+
+    All program tables are read; where a later one names another pid, the packets of that pid go on from there.
+    """
     if not media or len(media) % PACKET:
         raise ValueError("not a whole number of packets")
     rows = np.frombuffer(media, np.uint8).reshape(-1, PACKET)
     if (rows[:, 0] != SYNC).any():
         raise ValueError("a sync byte is missing")
     pids = (rows[:, 1].astype(np.int32) & 0x1F) << 8 | rows[:, 2]
-    tables = {}
-    for i in np.flatnonzero(pids == 0)[:1]:
-        pat = _section_of(rows[i], 0)
-        tables = {int.from_bytes(pat[k : k + 2], "big"): int.from_bytes(pat[k + 2 : k + 4], "big") & 0x1FFF for k in range(8, len(pat) - 4, 4)}
-    if PROGRAM not in tables:
-        raise ValueError("no program")
-    found = np.flatnonzero(pids == tables[PROGRAM])
-    if not len(found):
-        raise ValueError("no program map")
-    pmt = _section_of(rows[found[0]], 2)
-    info = int.from_bytes(pmt[10:12], "big") & 0xFFF
-    pid = int.from_bytes(pmt[13 + info : 15 + info], "big") & 0x1FFF
-    own = rows[numbers := np.flatnonzero(pids == pid)]
-    counters = own[:, 3] & 15
-    out = Stream(packets=len(rows), gaps=int((np.diff(counters.astype(np.int16)) % 16 != 1).sum()))
+    maps = _in_force(np.flatnonzero(pids == 0), lambda i: _map_pid(_section_of(rows[i], 0)), len(rows), "no program")
+    streams = _in_force(np.flatnonzero((pids == maps) & (pids != 0)), lambda i: _media_pid(_section_of(rows[i], 2)), len(rows), "no program map")
+    own = rows[numbers := np.flatnonzero(pids == streams)]
+    counters, same = (own[:, 3] & 15).astype(np.int16), np.diff(pids[numbers]) == 0
+    out = Stream(packets=len(rows), gaps=int(((np.diff(counters) % 16 != 1) & same).sum()))
     adapted = (own[:, 3] & 0x20) > 0
     begin = np.where(adapted, 5 + own[:, 4].astype(np.int64), 4)
     body = own[np.arange(PACKET) >= begin[:, None]].tobytes()
@@ -172,7 +185,11 @@ def padded(text: str | None) -> bytes:
 
 
 def media_column(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and media for every row of docs (doc_id, text): the UTF-8 text (null: empty), padded with spaces, as a transport stream."""
+    """doc_id, n_bytes and media for every row of docs (doc_id, text): the UTF-8 text (null: empty), padded with spaces, as a transport stream.
+
+    Each row is written on its own, so rows may repeat and equal texts give equal streams; other columns of docs are
+    ignored, and an empty table stays empty.
+    """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches, 100):

@@ -29,47 +29,57 @@ def default_tokenizer() -> str:
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents by 2-word shingles and 80 % similarity; see near_dup.near_duplicates."""
     return near_dup.near_duplicates(_documents(spark, sf_dir), shingle_words=2, similarity_percent=80)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learned from at most TRAIN_PER_CLASS labelled rows of each class outside fold 2 of 4; see quality.score."""
     docs = _documents(spark, sf_dir)
     model = quality.fit(labelled_sample(docs, table(spark, sf_dir, "labels"), "quality", TRAIN_PER_CLASS, 4, 2))
     return quality.score(docs, model).select("doc_id", _held_out(4, 2), "score", "predicted")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces of sequences of 4096 tokens; see packing.pack_documents."""
     return packing.pack_documents(_documents(spark, sf_dir), default_tokenizer())
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents under a model of those outside fold 2 of 7; see lm_score.scores."""
     return lm_score.scores(_documents(spark, sf_dir))
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.read_media(media.media_column(_documents(spark, sf_dir))).drop("stamps")
+    """All documents as transport streams and back; stamps has the time stamp and random-access mark of each access unit. See media.media_column and read_media."""
+    return media.read_media(media.media_column(_documents(spark, sf_dir)))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learned from documents outside fold 0 of 5; see language.fit and predict."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return language.predict(docs.drop("lang"), language.fit(docs)).select("doc_id", _held_out(5, 0), "lang_pred", "score")
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC archives and back; see warc.archive_round_trip."""
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents, learned from at most TRAIN_PER_CLASS labelled rows of each class outside fold 1 of 3; see toxicity.score."""
     docs = _documents(spark, sf_dir)
     model = toxicity.fit(labelled_sample(docs, table(spark, sf_dir, "labels"), "toxic", TRAIN_PER_CLASS, 3, 1))
     return toxicity.score(docs, model).select("doc_id", _held_out(3, 1), "score", "predicted")
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences named or quoted in all documents; see licenses.license_scan."""
     return licenses.license_scan(_documents(spark, sf_dir))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in all documents; see decontaminate.contamination and report."""
     return decontaminate.report(decontaminate.contamination(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark")))
 
 
