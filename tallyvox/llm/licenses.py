@@ -120,7 +120,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
 
     n_sentences counts the pieces. sentence_ids joins the identifiers of known sentences with commas; unknown pieces in
     between part a rule's sentences, but for those of digits only (list and page numbers). licenses has the distinct licences found, sorted, joined with commas; empty if none. Null and empty
-    texts have no sentences.
+    texts have no sentences. Each row is scanned on its own, so rows may repeat; an empty table stays empty.
     """
     known = F.create_map(*chain.from_iterable((F.lit(f"<{said}>"), F.lit(f"<{name}>")) for name, said in SENTENCES.items()))
     lower = F.translate("text", _UPPER, _LOWER)

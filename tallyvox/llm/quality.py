@@ -109,7 +109,12 @@ def fit(sample: DataFrame) -> tuple[np.ndarray, float]:
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """Add score (0 to 1, null and empty texts too) and predicted (score >= threshold) to every row; other columns stay, but for two of these names."""
+    """Add score (0 to 1, null and empty texts too) and predicted (score >= threshold) to every row; other columns stay, but for two of these names.
+
+    Each row is scored by its text alone, so rows may repeat and equal texts get equal scores; a score of just the
+    threshold is predicted as 1. An empty table stays empty. A model that was trained without both labels gives one
+    score to all texts.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("score", "predicted")
     schema = docs.select("*", F.lit(0.0).alias("score")).schema
