@@ -113,6 +113,7 @@ def cumulative_region_trend(df: DataFrame, top_n: int | None = 2, smoothing_days
     if organic_only:
         rows = rows.where(~_flag("incentivized_review"))
     daily = rows.groupBy(F.date_trunc("day", "submission_time").alias("day"), region_label(region_from).alias("region")).agg(F.count("review_id").alias("n"), F.sum("rating").alias("stars"))
+    daily = daily.persist()  # a row for each day and region, read several times below
     totals = daily.groupBy("region").agg(F.sum("n").alias("total")).withColumn("known", (F.col("region") != "Unknown").cast("int"))
     ranked = totals.withColumn("best", F.max("known").over(Window.partitionBy())).where("known = best").orderBy(F.desc("total"), "region")
     regions = (ranked if top_n is None else ranked.limit(top_n)).select("region")

@@ -287,3 +287,44 @@ def x18b(spark: SparkSession, sf: str) -> DataFrame:
     rows = audit.number_batches(review_texts(spark, sf))
     by = rows.groupBy("shard", "route", "batch_size", "batch").agg(F.count("*").alias("n"))
     return by.groupBy("route", "batch_size").agg(F.sum("n").alias("reviews"), F.bool_and(F.col("n") <= F.col("batch_size")).alias("full"))
+
+
+#: For each of SAID what an external tagger might have written: (label, quoted span) by side.
+WRITTEN = [
+    ([("LOUD", "motor is loud")], []), ([("Loud", "noise")], [("quiet", "no issues with noise")]), ([], [("Quiet!", "It is quiet")]), ([("too loud", "not as quiet as hoped")], [("Quiet", "quiet")]),
+    ([], [("Easy To Clean", "easy to clean")]), ([("hard to clean", "hard to clean and dirty")], []), ([("Loud", "box is blue")], []),
+]
+
+
+def _payload(at: int) -> str:
+    import json
+
+    side = lambda tags: [{"label": a, "evidence": [b]} for a, b in tags]
+    return json.dumps({"detractors": side(WRITTEN[at][0]), "delighters": side(WRITTEN[at][1]), "safety": "positive" if at == 2 else "??"})
+
+
+@query("x10_postprocessed", _SAID + f" SELECT review_id, {_labels_sql(1)} AS dets, {_labels_sql(2)} AS dels, CASE i WHEN 2 THEN 'Positive' ELSE 'Not Mentioned' END AS safety FROM k")
+def x10(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _said(spark, sf)
+    at = F.array_position(F.array(*[F.lit(s) for s, _, _ in SAID]), F.col("review_text")) - 1
+    raw = rows.select("review_id", _pick([_payload(i) for i in range(len(SAID))], at).alias("payload"))
+    return matching.postprocess_tags(raw, rows, CATALOG).select("review_id", "dets", "dels", "safety")
+
+
+@query("x8_valid_spans", _SAID + " SELECT CASE i WHEN 0 THEN 'motor is loud' WHEN 2 THEN 'quiet' WHEN 3 THEN '' ELSE '' END AS span, count(*) AS n FROM k GROUP BY 1")
+def x8(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _said(spark, sf)
+    said = F.when(F.col("review_text").contains("motor"), "Motor  is loud").when(F.col("review_text").contains("quiet"), "quiet").otherwise("nowhere in it")
+    checked = matching.validate_evidence(rows.select("review_id", F.lit("Quiet").alias("label"), F.array(said).alias("evidence")), rows)
+    return checked.select(F.coalesce(F.try_element_at("spans", F.lit(1)), F.lit("")).alias("span")).groupBy("span").agg(F.count("*").alias("n"))
+
+
+@query("x2_negated", _SAID + " SELECT i = 1 AS noise, i = 3 AS quiet, false AS loud, count(*) AS n FROM k GROUP BY ALL")
+def x2(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _said(spark, sf).select(*[tagging.negated(p, F.col("review_text")).alias(p) for p in ("noise", "quiet", "loud")])
+    return rows.groupBy("noise", "quiet", "loud").agg(F.count("*").alias("n"))
+
+
+@query("x15_catalog", _R.rstrip() + f", {_RAW} SELECT DISTINCT side, {_STANDARD} AS label FROM raw WHERE {_STANDARD} <> ''")
+def x15(spark: SparkSession, sf: str) -> DataFrame:
+    return taxonomy.canonical_catalog(_raw(spark, sf).withColumnRenamed("raw_label", "label")).select("side", "label")
