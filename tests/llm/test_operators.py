@@ -473,3 +473,17 @@ def test_decontamination_blocks_keep_null_and_repeated_ids(spark):
     one, several, many = (sorted(map(str, f.collect())) for f in found)
     assert one == several == many and len(one) == len(texts)
     assert sorted(str(r["text"]) for r in decontaminate.remove_documents(found[1]).collect()) == ["None", "clean", "clean too"]
+
+
+def test_toxicity_filter_loses_no_feature():
+    """What is ruled out before decoding would not have been a feature."""
+    words = "you are an idiot and a clown what an audio radio said the stupid good folk ass of hit shit letter bottle".split()
+    model = toxicity.CharModel(toxicity.CharModel.count(words))
+    rng = np.random.default_rng(4)
+    weights = dict.fromkeys(["idiot", "clown", "clown~", "stupi~", "ass", "good", "lette~", "shit"], 1.0)
+    every, some = toxicity.Restorer(model, Everything()), toxicity.Restorer(model, weights)
+    swaps = {"i": "1!", "s": "$5", "o": "0", "a": "@4", "t": "+7", "l": "|1", "e": "3"}
+    for _ in range(3000):
+        w = "".join(rng.choice(list(swaps[c])) if c in swaps and rng.random() < 0.3 else c * int(rng.integers(1, 4)) if rng.random() < 0.3 else c for c in rng.choice(words))
+        w = "".join(rng.choice(list("(.!'\"$*")) for _ in range(rng.integers(0, 3))) + w + "".join(rng.choice(list(").!,$+*")) for _ in range(rng.integers(0, 3)))
+        assert set(some(w)) == set(every(w)) & set(weights), w
