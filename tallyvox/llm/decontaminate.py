@@ -13,6 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -70,12 +71,16 @@ class Lookup:
         return at[self.sorted[place] == h[at]]
 
 
-def _scan(docs: DataFrame, rows: list) -> DataFrame:
-    """For each row of docs: n_words, the hit runs of words (start, end, with their byte offsets in the UTF-8 text) and the items."""
+def _block(windows: DataFrame) -> Broadcast:
+    """The lookups of a block of windows, of at most about block_windows rows, on every executor."""
     by_size = defaultdict(list)
-    for r in rows:
+    for r in windows.collect():
         by_size[r["size"]].append(r)
-    shared = docs.sparkSession.sparkContext.broadcast({n: Lookup(x) for n, x in sorted(by_size.items())})
+    return windows.sparkSession.sparkContext.broadcast({n: Lookup(x) for n, x in sorted(by_size.items())})
+
+
+def _scan(docs: DataFrame, shared: Broadcast) -> DataFrame:
+    """For each row of docs: n_words, the hit runs of words (start, end, with their byte offsets in the UTF-8 text) and the items."""
     run = pa.struct([("first", pa.int64()), ("end", pa.int64()), ("from_byte", pa.int64()), ("to_byte", pa.int64())])
     names = [*docs.columns, "n_words", "runs", "items"]
 
@@ -121,22 +126,31 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window_words: int = 10,
     """docs with n_words, runs (word and byte ranges inside any occurrence of a window) and items (ids as sorted strings) added.
 
     An item of fewer words is one window; one without words has none. Null and empty texts have no words. Columns of
-    docs with these names are replaced. Several blocks are joined by a row key that a checkpoint fixes, so doc_id may be null or repeat.
+    docs with these names are replaced. Several blocks are joined by a row key that a checkpoint fixes, so doc_id may be
+    null or repeat; they are scanned one after the other, and each but the first is dropped once its hits are written,
+    so neither the driver nor an executor holds more than two blocks, however large the benchmark is. An empty table of
+    documents stays empty; with an empty benchmark no row has hits.
     """
     docs = docs.drop("n_words", "runs", "items")
     windows = _windows(benchmark, window_words)
+    windows = cut(windows)
     n = windows.count()
     blocks = max(1, -(-n // block_windows))
     if blocks == 1:
-        return _scan(docs, windows.collect())
+        return _scan(docs, _block(windows))
     key = "_row"
     while key in docs.columns:
         key += "_"
     keyed = cut(docs.withColumn(key, F.monotonically_increasing_id()))
-    parts = [_scan(keyed, windows.where(F.pmod("hash", F.lit(blocks)) == i).collect()) for i in range(blocks)]
-    hits = reduce(DataFrame.unionByName, [part.where(F.size("runs") > 0).select(key, "runs", "items") for part in parts[1:]])
+    first, *others = [windows.where(F.pmod("hash", F.lit(blocks)) == i) for i in range(blocks)]
+    found = []
+    for block in others:
+        shared = _block(block)
+        found.append(cut(_scan(keyed, shared).where(F.size("runs") > 0).select(key, "runs", "items")))
+        shared.destroy()
+    hits = reduce(DataFrame.unionByName, found)
     more = hits.groupBy(key).agg(F.flatten(F.collect_list("runs")).alias("runs2"), F.flatten(F.collect_list("items")).alias("items2"))
-    whole = parts[0].join(more, key, "left").select(
+    whole = _scan(keyed, _block(first)).join(more, key, "left").select(
         *docs.columns,
         "n_words",
         F.when(F.col("runs2").isNull(), F.col("runs")).otherwise(F.concat("runs", "runs2")).alias("runs"),
