@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, licenses, lm_score, media, near_dup, packing, quality, toxicity, warc
+from . import chat, decontaminate, importance, language, licenses, lm_score, media, near_dup, packing, quality, toxicity, warc
 from .common import fold, labelled_sample, table
 
 #: Largest number of labelled rows of each class that a classifier learns from.
@@ -83,15 +83,28 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(decontaminate.contamination(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark")))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of all documents of at least 20 words, drawn towards the benchmark's words; see importance.resample."""
+    drawn = importance.resample(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), percent=10, buckets=10_000, longest=1, min_words=20, seed=2024)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one that holds the template's own strings, formatted and read back; see chat.format_conversations and read_back."""
+    return chat.read_back(chat.format_conversations(chat.with_probe(table(spark, sf_dir, "conversations"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_minhash_dedup, op2_quality, op3_packing, op4_lm_scoring, op5_media, op6_language_id, op7_warc, op8_toxicity, op9_licenses, op10_decontamination)
+    for f in (op1_minhash_dedup, op2_quality, op3_packing, op4_lm_scoring, op5_media, op6_language_id, op7_warc, op8_toxicity, op9_licenses, op10_decontamination, op11_importance_resampling, op12_chat_formatting)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL: dict[str, str] = {
     "op9_licenses": licenses.oracle(),
+    "op11_importance_resampling": importance.oracle(),
+    "op12_chat_formatting": chat.oracle(),
     "op1_minhash_dedup": rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
 s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) < 2 THEN ws ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS sh FROM w),
