@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, importance, language, licenses, lm_score, media, near_dup, packing, quality, toxicity, warc
+from . import align, chat, decontaminate, importance, language, licenses, lm_score, media, near_dup, packing, quality, toxicity, warc
 from .common import fold, labelled_sample, table
 
 #: Largest number of labelled rows of each class that a classifier learns from.
@@ -94,9 +94,16 @@ def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(chat.with_probe(table(spark, sf_dir, "conversations"))))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents aligned between a byte-level and a sentence-piece vocabulary; see align.align."""
+    import public_tokenizers
+
+    return align.align(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_minhash_dedup, op2_quality, op3_packing, op4_lm_scoring, op5_media, op6_language_id, op7_warc, op8_toxicity, op9_licenses, op10_decontamination, op11_importance_resampling, op12_chat_formatting)
+    for f in (op1_minhash_dedup, op2_quality, op3_packing, op4_lm_scoring, op5_media, op6_language_id, op7_warc, op8_toxicity, op9_licenses, op10_decontamination, op11_importance_resampling, op12_chat_formatting, op13_token_alignment)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
