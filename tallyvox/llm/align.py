@@ -37,7 +37,7 @@ _LEVELS = 40
 #: Tokens of texts aligned together.
 CHUNK_TOKENS = 200_000
 #: Where a segment may start: a single space before what is not white space.
-_ODD, _SEGMENT = re.compile(r"^ | (?:\s|$)"), re.compile(r"(?<! ) (?=\S)")
+_ODD, _SEGMENT = re.compile(r"^ | (?:\s|$)"), re.compile(r"(?<=[^ ]) (?=\S)")
 _LETTERS = re.compile("[A-Za-z]+")
 
 

@@ -1,7 +1,8 @@
 r"""Chat formatting with a grammar round trip, in DataFrame functions only.
 
 A conversation becomes one text of turns, each "### role: text</turn>" and a line end. The grammar is deterministic: a
-turn ends at the first "</turn>" and line end, its role at the first ": ", and no "### " stands in a text. Each turn is
+turn ends at the first "</turn>" and line end, its role at the first ": ", and neither "### " nor "</turn>" stands in a
+text. Each turn is
 rendered as it is and parsed again; where the parser does not give back the same role and text, the conflicting strings
 are escaped. An escape puts one backslash into the string ("### " becomes "###\ ", "</turn>" becomes "<\/turn>", ": "
 in a role becomes ":\ ") and one more where some stand there already; the parser takes one out, so nothing is lost.
@@ -49,7 +50,7 @@ def _turn(piece: Column) -> Column:
     """The role and text of a rendered turn; null if it does not follow the grammar."""
     head = F.substring_index(piece, AFTER_ROLE, 1)
     body = F.substr(piece, F.length(head) + len(AFTER_ROLE) + 1)
-    fits = piece.startswith(HEADER) & F.contains(piece, F.lit(AFTER_ROLE)) & (F.locate(HEADER, piece, len(HEADER) + 1) == 0)
+    fits = piece.startswith(HEADER) & F.contains(piece, F.lit(AFTER_ROLE)) & (F.locate(HEADER, piece, len(HEADER) + 1) == 0) & ~F.contains(piece, F.lit(END.strip()))
     return F.when(fits, F.struct(unescape(F.substr(head, F.lit(len(HEADER) + 1)), ROLE_CONTROLS).alias("role"), unescape(body, CONTROLS).alias("text")))
 
 
