@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import products
 from . import uploads
+from .csv_files import read_csv_files
 from .exports import source_signature
 
 TABLES = ["reviews", "catalog", "base_models", "products"]
@@ -40,7 +41,7 @@ def sync_reviews(spark: SparkSession, review_folder: str, catalog_folder: str, o
     last = last_manifest(spark, out_dir)
     if last and last["signature"] == signature and not force:
         return {**last, "skipped": True}
-    catalog = products.combine_catalogs(products.load_sku_catalog(spark.read.options(header=True, multiLine=True, escape='"').csv(catalog_folder)))
+    catalog = products.combine_catalogs(products.load_sku_catalog(read_csv_files(spark, catalog_folder)))
     reviews = uploads.normalize_reviews(uploads.read_review_csv(spark, review_folder).drop("_ord"), include_tags=True)
     run = f"{out_dir}/{signature}-{spark.sql('SELECT uuid()').first()[0][:8]}"
     catalog.write.parquet(f"{run}/catalog")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
+from .csv_files import read_csv_files
 
 #: For each column the headers that stand for it, in the order in which they are tried.
 ALIASES = {
@@ -47,18 +48,9 @@ FLAGS = {
 SLOT = r"(?i)^(ai )?symptom( (detractor|delighter))? \d+$"
 
 
-def read_review_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
-    """Text columns of CSV files with a header and quoted multi-line fields; source_file and an order of rows (_ord) beside them.
-
-    Without an encoding files are read as UTF-8, or as Latin-1 where any of their bytes are no UTF-8; a mark at the
-    start (BOM) is not part of the first header.
-    """
-    if encoding is None:
-        lines = spark.read.text(path).select(F.max((~F.is_valid_utf8("value")).cast("int")).alias("bad"))
-        encoding = "ISO-8859-1" if lines.first()["bad"] else "UTF-8"
-    rows = spark.read.options(header=True, multiLine=True, escape='"', encoding=encoding, inferSchema=False).csv(path)
-    rows = rows.toDF(*[c.removeprefix("\ufeff").removeprefix("ï»¿") for c in rows.columns])
-    return rows.withColumns({"source_file": F.col("_metadata.file_name"), "_ord": F.monotonically_increasing_id()})
+def read_review_csv(spark: SparkSession, path: str | list[str], encoding: str | None = None) -> DataFrame:
+    """Review files, each read by its own header and encoding and united by column name; see csv_files.read_csv_files."""
+    return read_csv_files(spark, path, encoding)
 
 
 def normalize_vendor_file_reviews(df: DataFrame, catalog: DataFrame, vendor: str, default_brand: str) -> DataFrame:
