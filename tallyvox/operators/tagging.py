@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import CONTRAST, OVERALL_LABELS
-from ..functions.wording import fragments, is_negated, negation, plain, says, stem
+from ..functions.negation import is_negated
+from ..functions.wording import fragments, plain, says, stem
 
 #: Words and phrases of a concept: what names it, what praises it, what blames it. A table of our own; pass another to score by it.
 CONCEPTS = {
@@ -69,11 +70,6 @@ class TagConfig:
     per_side: int = 10
 
 
-def negated(phrase: str, text: Column) -> Column:
-    """Whether text denies the phrase, as a column."""
-    return F.coalesce(text.rlike("(?i)" + negation(phrase)), F.lit(False))
-
-
 def concept_of(label: str, aliases: list[str] = (), concepts: dict = CONCEPTS) -> str | None:
     """The concept whose word or phrase the label or an alias holds, the longest first; ties in the order of the table."""
     if label in OVERALL_LABELS:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
+from ..functions import negation as N
 from ..functions.context import review_context
 from ..functions.wording import ENDINGS, stem
 from ..operators import audit, evidence, filters, matching, merge, products, rank, symptoms, tagging, taxonomy
@@ -13,7 +14,7 @@ from .catalog import _LAB, _R, _T, Query, _sku_catalog, six
 from .catalog import ORACLE_SQL as CATALOG_SQL
 from .evidence import _WATCH, REGION, _watched
 from .reports import _TAGS, tags
-from .reviews import DEL_COLS, DELIGHTERS, DET_COLS, DETRACTORS, _pick, review_texts, reviews
+from .reviews import DEL_COLS, DELIGHTERS, DET_COLS, DETRACTORS, _pick, review_texts, reviews, table
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -319,10 +320,38 @@ def x8(spark: SparkSession, sf: str) -> DataFrame:
     return checked.select(F.coalesce(F.try_element_at("spans", F.lit(1)), F.lit("")).alias("span")).groupBy("span").agg(F.count("*").alias("n"))
 
 
-@query("x2_negated", _SAID + " SELECT i = 1 AS noise, i = 3 AS quiet, false AS loud, count(*) AS n FROM k GROUP BY ALL")
+#: Frequent words of the documents and the word of a denial that each is read as, so that whole texts hold every kind of denial.
+READ_AS = {"of": "not", "and": "very", "to": "no", "a": "problem", "in": "with", "is": "missing", "that": "never", "it": "noticed", "for": "without", "was": "any", "on": "only", "as": "at", "this": "free", "be": "but", "by": "supposed", "are": "to", "at": "as", "from": "could", "with": "be", "an": "better"}
+DENIED_WORDS = ["the", "th", "er"]
+_OR = lambda words: "(" + "|".join(words) + ")"
+
+
+def _denied_sql(p: str) -> str:
+    """The rules of denial as patterns over the tokens of a text, joined with spaces."""
+    upto = lambda n: f"( [^., ]+){{0,{n}}}"
+    ways = [
+        rf" {_OR(N.DENIALS)}( {_OR(N.DEGREES)})* {p} ", rf" without( {_OR(N.DEGREES)})* {_OR(N.ARTICLES)}( {_OR(N.DEGREES)})* {p} ", rf" ({'|'.join(N.LACKS)}|free of|{_OR(N.NEEDS)} more) {p} ", rf" no {_OR(N.TROUBLES)} {_OR(N.ABOUT)}{upto(5)} {p} ",
+        rf" never {_OR(N.MET)}{upto(3)} {p} ", rf" zero{upto(3)} {p} ", rf" not as {p} as ", rf" {p} free ", rf" no {p}( [^. ]+){{0,4}} (at all|whatsoever|to speak of) ", rf" {_OR(N.WISHES)} (be|[^. ]+ been) {_OR(N.BETTER)}( [^. ]+){{0,9}} {p} ",
+        rf" {_OR(N.CLAIMS)} to( be)? {p} (.* )?{_OR(N.TURNS)} ", rf" {_OR(N.ONLY)} {p} {_OR(N.TIMES)} ",
+    ]
+    return " OR ".join(f"regexp_matches(s, '{w}')" for w in (x.replace("'", "''") for x in ways))
+
+
+def _tokens_sql() -> str:
+    text = "lower(coalesce(text, ''))"
+    for pattern, said in N._MARKS:
+        text = f"regexp_replace({text}, '{pattern.replace(chr(39), chr(39) * 2)}', '{said.replace(chr(39), chr(39) * 2)}', 'g')"
+    return f"list_filter(string_split({text}, ' '), lambda w: w <> '')"
+
+
+@query("x2_negated", f"""WITH t AS (SELECT doc_id, {_tokens_sql()} AS w FROM documents),
+s AS (SELECT doc_id, ' ' || array_to_string(list_transform(w, lambda x: CASE x {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in READ_AS.items())} ELSE x END), ' ') || ' ' AS s FROM t)
+SELECT doc_id, {', '.join(f"{_denied_sql(p)} AS {p}" for p in DENIED_WORDS)} FROM s""")
 def x2(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _said(spark, sf).select(*[tagging.negated(p, F.col("review_text")).alias(p) for p in ("noise", "quiet", "loud")])
-    return rows.groupBy("noise", "quiet", "loud").agg(F.count("*").alias("n"))
+    read_as = F.create_map(*[F.lit(x) for pair in READ_AS.items() for x in pair])
+    words = F.transform(N.token_array(F.col("text")), lambda w: F.coalesce(F.try_element_at(read_as, w), w))
+    rows = table(spark, sf, "documents").select("doc_id", words.alias("words"))
+    return rows.select("doc_id", *[N.negated(p, F.col("words")).alias(p) for p in DENIED_WORDS])
 
 
 @query("x15_catalog", _R.rstrip() + f", {_RAW} SELECT DISTINCT side, {_STANDARD} AS label FROM raw WHERE {_STANDARD} <> ''")

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyvox.functions.labels import split_fragments
-from tallyvox.functions.wording import fragments, is_negated
+from tallyvox.functions.negation import is_negated, negated, token_array
+from tallyvox.functions.wording import fragments
 from tallyvox.operators import tagging
 
 PAIR = [("Loud", "detractor", []), ("Quiet", "delighter", [])]
@@ -41,7 +42,7 @@ def test_negation():
 
 def test_fragments_are_those_of_the_column(spark):
     texts = ["It works well, but it is loud; heavy too. Short!", "a" * 9 + " even though " + "b" * 9 + "\n\nnext line here", None, "", "no. yes. ok", "On the other hand it shines — brightly • and often"]
-    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", split_fragments("t").alias("f"), tagging.negated("loud", F.col("t")).alias("n")).orderBy("i").collect()
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", split_fragments("t").alias("f"), negated("loud", token_array(F.col("t"))).alias("n")).orderBy("i").collect()
     assert [r["f"] for r in got] == [fragments(t) for t in texts]
     assert got[0]["f"] == ["It works well", "it is loud", "heavy too."] and not got[2]["n"]
 
