@@ -146,40 +146,63 @@ def import_manifest(enriched: DataFrame) -> DataFrame:
     return enriched.agg(F.count(F.lit(1)).alias("row_count"), F.countDistinct("product_id").alias("product_count"), F.countDistinct(base).alias("base_model_count"), F.count_if(mapped).alias("mapped_count"), F.count_if(~mapped).alias("unmatched_count"))
 
 
-#: Points of a search, for codes (base model, product) and for names: equal, equal letters, start, start of letters, inside, letters inside, each word, alike (base and factor), nearly alike.
-CODE_POINTS = {"equal": 420, "bare": 430, "starts": 300, "bare_starts": 310, "holds": 255, "bare_holds": 265, "word": 26, "alike": 150, "near": 80}
-NAME_POINTS = {"equal": 360, "bare": 370, "starts": 245, "bare_starts": 255, "holds": 205, "bare_holds": 215, "word": 16, "alike": 120, "near": 80}
 SEARCHED = ["base_model_number", "product_id", "original_product_name", "mapped_brand", "mapped_category", "mapped_subcategory"]
-FAR_NAMES = ["original_product_name", "mapped_category", "mapped_subcategory"]
+CODES, FAR_NAMES = ("base_model_number", "product_id"), ("original_product_name", "mapped_category", "mapped_subcategory")
+#: Points of a field that is, starts with or holds the query, as written or by its letters and digits, for codes and for names.
+TIERS = [
+    ("written", "is", 420, 360), ("written", "starts", 300, 245), ("written", "holds", 255, 205),
+    ("letters", "is", 430, 370), ("letters", "starts", 310, 255), ("letters", "holds", 265, 215),
+]
+#: Points of a word in common (codes, names); likeness that counts, with points and factor (codes, names) or (far names, others); points of a base model for a code; reviews a point, at most.
+WORD_POINTS = (26, 16)
+ALIKE, ALIKE_POINTS, ALIKE_FACTOR = 0.72, 120, (150, 120)
+NEAR, NEAR_POINTS, NEAR_FACTOR = 0.58, 70, (100, 80)
+CODE_BONUS, REVIEWS_A_POINT, MOST_OF_REVIEWS = 18, 500, 18
+
+
+def _alike(keys: DataFrame, letters: str) -> DataFrame:
+    """(key, ratio) of the distinct keys whose likeness to letters is NEAR or more; keys whose length forbids it are not compared."""
+
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield f.assign(ratio=[likeness(letters, k) for k in f["key"]])
+
+    n, own = F.length("key"), len(letters)
+    able = (n > 0) & (2 * F.least(n, F.lit(own)) >= NEAR * (n + own))
+    return keys.where(able).distinct().mapInPandas(compare, "key string, ratio double").where(F.col("ratio") >= NEAR)
+
 
+def entity_scores(rows: DataFrame, query: str) -> DataFrame:
+    """rows (entity_type, SEARCHED, review_count) with score, the points of a query.
 
-def entity_score(row: dict, query: str) -> float:
-    """Points of one directory row for a query: the best match of any field, and more for each word in common, for codes and for many reviews."""
+    Each field is a row of its own for a while, with its points as columns; the fields' points meet in the order of
+    SEARCHED: the higher of what was there and the field's tier, and its words in common, at least its likeness. Only
+    distinct keys of fitting length are compared by likeness.
+    """
     text = " ".join(query.lower().split())
-    bare, words = re.sub(r"[^a-z0-9]+", "", text), {w for w in re.split(r"[^a-z0-9]+", text) if w}
-    best = 0.0
-    for name in SEARCHED:
-        value = (row.get(name) or "").strip().lower()
-        if not value:
-            continue
-        points, key = CODE_POINTS if name in ("base_model_number", "product_id") else NAME_POINTS, re.sub(r"[^a-z0-9]+", "", value)
-        ways = [("equal", value == text), ("starts", value.startswith(text)), ("holds", text in value)]
-        ways += [("bare", key == bare), ("bare_starts", key.startswith(bare)), ("bare_holds", bare in key)] if bare and key else []
-        best = max([best, *[points[way] for way, fits in ways if fits]])
-        best += points["word"] * len(words & {w for w in re.split(r"[^a-z0-9]+", value) if w})
-        ratio = likeness(bare, key) if bare and key else 0.0
-        if ratio >= 0.72:
-            best = max(best, 120 + ratio * points["alike"])
-        elif ratio >= 0.58:
-            best = max(best, 70 + ratio * (100 if name in FAR_NAMES else points["near"]))
-    code = re.search(r"[a-z].*\d|\d.*[a-z]", text) is not None
-    return best + (18 if code and row.get("entity_type") == "Base model" else 0) + min(float(row.get("review_count") or 0) / 500, 18.0)
+    letters, words = re.sub(r"[^a-z0-9]+", "", text), sorted({w for w in re.split(r"[^a-z0-9]+", text) if w})
+    names = rows.columns
+    field = F.inline(F.array(*[F.struct(F.lit(i).alias("place"), F.lit(c in CODES).alias("code"), F.lit(c in FAR_NAMES).alias("far"), F.lower(F.trim(F.coalesce(c, F.lit("")))).alias("written")) for i, c in enumerate(SEARCHED)]))
+    fields = rows.withColumn("_row", F.monotonically_increasing_id()).select("*", field).withColumn("letters", F.regexp_replace("written", "[^a-z0-9]+", ""))
+    either = lambda pair: F.when(F.col("code"), pair[0]).otherwise(pair[1])
+    fits = {"is": lambda c, q: F.col(c) == q, "starts": lambda c, q: F.col(c).startswith(q), "holds": lambda c, q: F.col(c).contains(q)}
+    queries = {"written": text, "letters": letters}
+    tier = F.greatest(F.lit(0), *[F.when(fits[how](c, queries[c]) & (F.col(c) != ""), either(points)).otherwise(0) for c, how, *points in TIERS if queries[c]])
+    shared = F.size(F.array_intersect(F.split("written", "[^a-z0-9]+"), F.array(*map(F.lit, words)).cast("array<string>")))
+    ratio = F.col("ratio")
+    alike = F.when(ratio >= ALIKE, ALIKE_POINTS + ratio * either(ALIKE_FACTOR)).when(ratio >= NEAR, NEAR_POINTS + ratio * F.when(F.col("far"), NEAR_FACTOR[0]).otherwise(NEAR_FACTOR[1])).otherwise(0.0)
+    near = _alike(fields.select(F.col("letters").alias("key")), letters)
+    pointed = fields.join(near, F.col("letters") == F.col("key"), "left").withColumns({"tier": tier, "shared": shared * either(WORD_POINTS), "alike": alike})
+    by_field = F.array_sort(F.collect_list(F.struct("place", F.col("tier").cast("double").alias("tier"), F.col("shared").cast("double").alias("shared"), "alike")))
+    met = pointed.groupBy("_row", *names).agg(F.aggregate(by_field, F.lit(0.0), lambda s, x: F.greatest(F.greatest(s, x["tier"]) + x["shared"], x["alike"])).alias("score"))
+    of_model = F.lit(CODE_BONUS if re.search(r"[a-z].*\d|\d.*[a-z]", text) else 0) * (F.col("entity_type") == "Base model").cast("int")
+    return met.select(*names, (F.col("score") + of_model + F.least(F.coalesce("review_count", F.lit(0)) / REVIEWS_A_POINT, F.lit(float(MOST_OF_REVIEWS)))).alias("score"))
 
 
 def search_entities(base_models: DataFrame, products: DataFrame, query: str = "", n: int = 25) -> DataFrame:
     """The n best base models and products for a query, with score; without a query the base models with the most reviews.
 
-    Every row of both directories is scored, in Arrow batches; one row for each (entity_type, base_model_number,
+    Every row of both directories is scored, see entity_scores; one row for each (entity_type, base_model_number,
     product_id) counts. Ties go by reviews, base model and product.
     """
     shown = ["entity_type", *SEARCHED, "review_count", "avg_rating"]
@@ -189,11 +212,7 @@ def search_entities(base_models: DataFrame, products: DataFrame, query: str = ""
     if not query.strip():
         return models.orderBy(F.desc("review_count"), "base_model_number").limit(n).withColumn("score", F.lit(0.0))
 
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield f.assign(score=[entity_score(r, query) for r in f.to_dict("records")])
-
-    rows = models.unionByName(as_rows(products, "Product", ())).mapInPandas(score, "entity_type string, " + ", ".join(f"{c} string" for c in SEARCHED) + ", review_count long, avg_rating double, score double")
+    rows = entity_scores(models.unionByName(as_rows(products, "Product", ())), query)
     key = ["entity_type", "base_model_number", "product_id"]
     best = rows.where("score > 0").groupBy(*key).agg(F.max_by(F.struct(*[c for c in shown if c not in key], "score"), F.struct("review_count", "score")).alias("r"))
     return best.select("entity_type", *[c if c in key else f"r.{c}" for c in SEARCHED], "r.review_count", "r.avg_rating", "r.score").orderBy(F.desc("score"), F.desc("review_count"), F.lower("base_model_number"), F.lower("product_id"), "entity_type").limit(n)

@@ -126,3 +126,41 @@ def test_impact_without_rows(spark):
     got = {r["label"]: r for r in symptoms.symptom_impact_of_table(table, 100, 4.0).collect()}
     assert (got["Loud"]["net_hit"], got["Loud"]["forecast"], got["Loud"]["severity"]) == (-0.2, -0.154, 1.18) and got["Quiet"]["net_hit"] == 0
     assert [r["label"] for r in rank.opportunity_top(table, baseline=4.0).collect()] == ["Loud"]
+
+
+def plain_score(row, query):
+    """The points of a query for one directory row, by the rule: fields in order, the higher of before and tier, words in common, likeness."""
+    from tallyvox.functions.wording import likeness
+
+    text = " ".join(query.lower().split())
+    squeeze = lambda x: "".join(c for c in x if c.isascii() and c.isalnum())
+    words = lambda x: {w for w in "".join(c if c.isascii() and c.isalnum() else " " for c in x).split()}
+    score, key = 0.0, squeeze(text)
+    for name in products.SEARCHED:
+        value = (row[name] or "").strip().lower()
+        if not value:
+            continue
+        code, own = name in products.CODES, squeeze(value)
+        for how, fits, *points in products.TIERS:
+            a, b = (value, text) if how == "written" else (own, key)
+            if a and b and {"is": a == b, "starts": a.startswith(b), "holds": b in a}[fits]:
+                score = max(score, points[not code])
+        score += len(words(text) & words(value)) * products.WORD_POINTS[not code]
+        ratio = likeness(key, own) if key and own else 0.0
+        if ratio >= 0.72:
+            score = max(score, 120 + ratio * (150 if code else 120))
+        elif ratio >= 0.58:
+            score = max(score, 70 + ratio * (100 if name in products.FAR_NAMES else 80))
+    bonus = 18 if math.isfinite(score) and any(c.isdigit() for c in text) and any(c.isalpha() for c in text) and row["entity_type"] == "Base model" else 0
+    return score + bonus + min((row["review_count"] or 0) / 500, 18.0)
+
+
+@pytest.mark.parametrize("query", ["AB-100", "ab100", "vacuum shark", "quiet vacum", "x9 blend", "(%", "zz"])
+def test_entity_scores_by_the_rule(spark, query):
+    values = ["AB-100", "ab 100", "AB-1000", "X9", "Quiet Vacuum", "Shark", "vacum", "Blender X9", "", None, "  ", "É zz", "100"]
+    rows = [("Base model" if i % 2 else "Product", *[values[(i * k + k) % len(values)] for k in range(1, 7)], i * 700 if i % 5 else None) for i in range(60)]
+    table = spark.createDataFrame(rows + rows[:2], "entity_type string, " + ", ".join(f"{c} string" for c in products.SEARCHED) + ", review_count long")
+    got = products.entity_scores(table, query).collect()
+    assert len(got) == 62
+    for r in got:
+        assert abs(r["score"] - plain_score(r, query)) < 1e-9, r
