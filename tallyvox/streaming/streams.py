@@ -8,12 +8,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from ..operators.audit import alerts_of_counts, sides_long
-from ..operators.merge import upsert_reviews
 from ..operators.products import enrich_with_catalog
+from . import merge_table
 
+#: A label tracker's tables are small: a row for each label and side.
+TRACKER_BUCKETS = 4
 #: Fixed windows by period; weeks start on Monday, the epoch's first day was a Thursday.
 WINDOWS = {"D": ("1 day", "0 days"), "W": ("7 days", "4 days")}
 
@@ -25,35 +27,6 @@ def stream_reviews(spark: SparkSession, folder: str, schema: StructType | str, c
     return enrich_with_catalog(rows, catalog) if catalog is not None else rows
 
 
-def stream_upsert(incoming: DataFrame, out: str, order: list[str], checkpoint: str, buckets: int = 64) -> StreamingQuery:
-    """Keep a Parquet table with one row for each review_id, the last that arrived; of one batch the last in order.
-
-    The table is laid out in buckets of the id's hash. A batch rewrites the buckets that it touches only, by way of a
-    staging folder, and a batch that is repeated after a failure gives the same table.
-    """
-    schema = incoming.schema
-
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.withColumn("_bucket", F.pmod(F.xxhash64("review_id"), F.lit(buckets)).cast("int"))
-        touched = [r["_bucket"] for r in rows.select("_bucket").distinct().collect()]  # at most buckets values
-        if not touched:
-            return
-        stored = spark.read.schema(StructType([*schema.fields, StructField("_bucket", IntegerType())])).parquet(out) if _exists(spark, out) else rows.limit(0)
-        merged = upsert_reviews(stored.where(F.col("_bucket").isin(touched)), rows, order)
-        stage = f"{checkpoint}/stage/{batch_id}"
-        merged.write.mode("overwrite").parquet(stage)
-        again = spark.read.schema(merged.schema).parquet(stage)
-        again.repartition("_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(out)
-
-    return incoming.writeStream.foreachBatch(apply).option("checkpointLocation", f"{checkpoint}/log").trigger(availableNow=True).start()
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-
-
 def stream_dedupe(rows: DataFrame, delay: str = "1 day", time_col: str = "submission_time", keys: list[str] | None = None) -> DataFrame:
     """The first arrival of each key; state is dropped once the watermark has passed it by delay."""
     return rows.withWatermark(time_col, delay).dropDuplicatesWithinWatermark(keys or ["review_id"])
@@ -78,6 +51,11 @@ def run_updates(stream: DataFrame, out: str, checkpoint: str) -> None:
     stream.writeStream.outputMode("update").foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def run_appends(stream: DataFrame, out: str, checkpoint: str) -> None:
+    """Run over all input that is there, in append mode, to Parquet files below out."""
+    stream.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def latest(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
     """The last state of each key of a table of updates."""
     rows = spark.read.parquet(out).drop("step")
@@ -90,13 +68,43 @@ def stream_label_counts(tags: DataFrame) -> DataFrame:
     return sides_long(tags).groupBy("side", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _alert_changes(now: DataFrame, then: DataFrame | None) -> DataFrame:
+    """(alert, label, side, issue, pct, count, change): alerts that are new, say something else than before, or have ended."""
+    facts = ["label", "side", "issue", "pct", "count"]
+    now = now.select(F.to_json(F.struct("side", "label", "issue")).alias("alert"), *facts)
+    if then is None:
+        return now.withColumn("change", F.lit("new"))
+    both = now.alias("n").join(then.alias("t"), "alert", "full_outer")
+    change = F.when(F.col("t.label").isNull(), "new").when(F.col("n.label").isNull(), "ended").when((F.col("n.pct") != F.col("t.pct")) | (F.col("n.count") != F.col("t.count")), "changed")
+    return both.select("alert", *[F.coalesce(f"n.{c}", f"t.{c}").alias(c) for c in facts], change.alias("change")).where("change IS NOT NULL")
+
+
 def stream_label_tracker(tags: DataFrame, catalog: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Write the label alerts after each batch of tags to out, by batch number."""
+    """Follow the label alerts over a stream of tags: each batch adds the alerts that it changed, with its number, to out/changes.
+
+    The running counts come in update mode, so a batch brings the labels that it has met only; they go to a merged table
+    (out/counts), as do the alerts that hold (out/alerts). A batch that is repeated after a failure looks at the tables
+    as they were before it and writes the same.
+    """
+
+    def track(batch: DataFrame, batch_id: int) -> None:
+        spark, counts, alerts = batch.sparkSession, f"{out}/counts", f"{out}/alerts"
+        for table, key in ((counts, "key"), (alerts, "alert")):
+            merge_table.compact(spark, table, key, before=batch_id)
+        merge_table.write_delta(batch.withColumn("key", F.to_json(F.struct("side", "label"))), counts, batch_id, "key", ["n"], TRACKER_BUCKETS)
+        now = alerts_of_counts(merge_table.read_table(spark, counts, "key").drop("key"), catalog)
+        then = None if merge_table.is_empty(spark, alerts, batch_id) else merge_table.read_table(spark, alerts, "alert", batch_id)
+        changes = _alert_changes(now, then)
+        changes.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/changes/step={batch_id}")
+        kept = spark.read.parquet(f"{out}/changes/step={batch_id}")
+        merge_table.write_delta(kept.withColumn(merge_table.DELETED, F.col("change") == "ended").drop("batch", "change"), alerts, batch_id, "alert", ["issue"], TRACKER_BUCKETS)
+
+    return stream_label_counts(tags).writeStream.outputMode("update").foreachBatch(track).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    def alert(batch: DataFrame, batch_id: int) -> None:
-        alerts_of_counts(batch, catalog).withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/step={batch_id}")
 
-    return stream_label_counts(tags).writeStream.outputMode("complete").foreachBatch(alert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def standing_alerts(spark: SparkSession, out: str) -> DataFrame:
+    """The alerts that hold after the last batch of a label tracker."""
+    return merge_table.read_table(spark, f"{out}/alerts", "alert").drop("alert")
 
 
 def union_streams(streams: list[DataFrame]) -> DataFrame:

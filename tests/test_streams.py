@@ -1,29 +1,60 @@
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from tallyvox.operators import audit
-from tallyvox.streaming import streams
+from tallyvox.streaming import streams, timed
 
 TAGS = "key string, dets array<string>, dels array<string>, ev_det map<string,array<string>>, ev_del map<string,array<string>>"
 
 
-def test_upsert_keeps_the_last_arrival(spark, tmp_path):
-    schema, land, out, log = "review_id string, product_id string, n int", str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "log")
-    for rows in ([("a", "p", 1), ("b", "p", 2), ("b", "p", 3)], [("a", "q", 4), ("c", "q", 5)]):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(land)
-        streams.stream_upsert(streams.stream_reviews(spark, land, schema), out, ["n"], log, buckets=4).awaitTermination()
-    assert sorted((r["review_id"], r["n"]) for r in spark.read.parquet(out).collect()) == [("a", 4), ("b", 3), ("c", 5)]
+def test_label_tracker_equals_the_batch_report(spark, tmp_path):
+    """Over three runs with restarts: the standing alerts are the batch report's, and a batch says only what it changed."""
+    catalog = spark.createDataFrame([("Loud", "detractor"), ("Quiet", "delighter"), ("Good", "delighter")], "label string, side string")
+    land, out, log = (str(tmp_path / x) for x in ("in", "out", "log"))
+    steps = [[(["Loud"] if i % 2 else [], []) for i in range(30)], [([], ["Good"]) for _ in range(4)], [([], ["Quiet"] * (i == 0)) for i in range(60)]]
+    rows, seen = [], []
+    for step in steps:
+        new = [(str(len(rows) + i), dets, dels, None, None) for i, (dets, dels) in enumerate(step)]
+        rows += new
+        spark.createDataFrame(new, TAGS).coalesce(1).write.mode("append").parquet(land)
+        streams.stream_label_tracker(spark.readStream.schema(TAGS).parquet(land), catalog, out, log).awaitTermination()
+        want = {tuple(r) for r in audit.label_alerts(spark.createDataFrame(rows, TAGS), catalog).collect()}
+        assert {tuple(r) for r in streams.standing_alerts(spark, out).select("label", "side", "issue", "pct", "count").collect()} == want
+        seen.append({(r["label"], r["issue"], r["change"]) for r in spark.read.parquet(f"{out}/changes").where(F.col("batch") == len(seen)).collect()})
+    assert seen[0] == {("Loud", "too_broad", "new"), ("Quiet", "zero_hits", "new"), ("Good", "zero_hits", "new")}
+    assert seen[1] == {("Loud", "too_broad", "ended"), ("Good", "zero_hits", "ended")} or ("Good", "zero_hits", "ended") in seen[1]
+    assert ("Quiet", "zero_hits", "ended") in seen[2] and ("(overall)", "high_zero_rate", "new") in seen[2] and not any(c == "new" and label == "Loud" for label, _, c in seen[2])
 
 
-def test_label_tracker_equals_the_batch_report(spark, tmp_path):
-    rows = spark.createDataFrame([(str(i), ["Loud"] if i % 2 else [], [], None, None) for i in range(30)], TAGS)
-    catalog = spark.createDataFrame([("Loud", "detractor"), ("Quiet", "delighter")], "label string, side string")
-    land, out = str(tmp_path / "in"), str(tmp_path / "out")
-    rows.repartition(2).write.parquet(land)
-    streams.stream_label_tracker(spark.readStream.schema(TAGS).parquet(land), catalog, out, str(tmp_path / "log")).awaitTermination()
-    seen = spark.read.parquet(out)
-    last = seen.where(F.col("batch") == seen.agg(F.max("batch")).first()[0])
-    want = {tuple(r) for r in audit.label_alerts(rows, catalog).collect()}
-    assert {tuple(r) for r in last.select("label", "side", "issue", "pct", "count").collect()} == want == {("Loud", "detractor", "too_broad", 50.0, 15), ("Quiet", "delighter", "zero_hits", 0.0, 0)}
+def test_last_arrival_and_months_end(spark, tmp_path):
+    """What the watermark has passed is given out once and its state dropped; the results are those of the batch."""
+    spark.conf.set(*timed.STATE_STORE)
+    try:
+        start, schema = dt.datetime(2024, 1, 1), "_k string, ts timestamp, v double"
+        rows = [(None if i % 11 == 10 else f"k{i % 7}", start + dt.timedelta(days=i), None if i % 5 == 0 else float(i)) for i in range(120)] + [("k0", None, 1.0)]
+        land = str(tmp_path / "in")
+        for part in (rows[:50], rows[50:90], rows[90:], [("late", start, 0.0)], [("end", dt.datetime(2025, 1, 1), 0.0)], [("end", dt.datetime(2026, 1, 1), 0.0)]):
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(land)
+        source = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(land)
+        got, total = {}, {}
+        for name, df in (("months", timed.stream_months(source(), ["_k"], ["v"], "5 days", "ts")), ("last_rows", timed.stream_last(source(), ["_k"], ["ts"], 86_400 * 20, "ts"))):
+            q = df.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+            q.awaitTermination()
+            got[name] = sorted(map(tuple, spark.table(name).collect()), key=str)
+            total[name] = sum(s["numRowsTotal"] for s in q.lastProgress["stateOperators"])
+        months, last = {}, {}
+        for k, t, v in rows:
+            if t:
+                x = months.setdefault((k, t.replace(day=1)), [0.0, 0.0, 0.0])
+                months[k, t.replace(day=1)] = [x[0] + 1, x[1] + (v or 0), x[2] + (v is not None)]
+                last[k] = (k, t, v)
+        months["end", dt.datetime(2025, 1, 1)] = [1.0, 0.0, 1.0]
+        assert got["months"] == sorted([(*key, *x) for key, x in months.items()], key=str)
+        assert [r for r in got["last_rows"] if r[0] not in ("end", "late")] == sorted(last.values(), key=str)
+        assert total["months"] <= 2 and total["last_rows"] <= 1  # only the last row of all is open
+    finally:
+        spark.conf.unset(timed.STATE_STORE[0])
 
 
 def test_reports_on_edge_rows(spark):
