@@ -71,30 +71,43 @@ def lookup_by(catalog: DataFrame, by: str, order: list[str]) -> DataFrame:
     return keep_first(catalog.where(F.col(by).isNotNull()), [by], order)
 
 
+def _matches(keyed: DataFrame, catalog: DataFrame, order: list[str]) -> DataFrame:
+    """For each distinct set of the probed keys that has a match: the keys, and _m with the row of the first probe that finds one.
+
+    Reviews name few products many times, so their keys are made distinct first, by partial aggregation; what follows
+    grows with the distinct keys. Each set of keys gives a row for each probe, all probes meet both lookups in one
+    join, and of a set's hits the lowest probe stays.
+    """
+    names = list(dict.fromkeys(column for column, _, _ in PROBES))
+    sets = keyed.select(*[f"_{c}" for c in names]).distinct()
+    probe = F.inline(F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(name).alias("match_type"), F.lit(to).alias("kind"), F.col(f"_{column}").alias("match_key")) for i, (column, to, name) in enumerate(PROBES)]))
+    probes = sets.select("*", probe).where("match_key != ''")
+    kinds = list(dict.fromkeys(to for _, to, _ in PROBES))
+    parts = [lookup_by(catalog, to, order).select(F.lit(to).alias("kind"), F.col(to).alias("match_key"), *MAPPED) for to in kinds]
+    hits = probes.join(reduce(DataFrame.unionByName, parts), ["kind", "match_key"])
+    return hits.groupBy(*[f"_{c}" for c in names]).agg(F.min_by(F.struct("match_type", "match_key", *MAPPED), "rank").alias("_m"))
+
+
 def enrich_with_catalog(reviews: DataFrame, catalog: DataFrame, order: list[str] | None = None) -> DataFrame:
     """reviews with the catalog row that the first of six probes finds: match_type, match_key, mapped_* columns, base_model_number, master_item and mapping_detected.
 
-    Keys are compared trimmed and in upper case; blank keys never match. Both lookups, each with one row per key, are one
-    table, which all probes join in the same form, so Spark makes it once; it is broadcast if its statistics say that it
-    is small. In a shuffled join a blank key is dealt by the other columns, so that blank keys do not meet in one task.
+    Keys are compared trimmed and in upper case; blank keys never match. Whole reviews take part in one join only, with
+    the distinct keys that have a match (see _matches); Spark broadcasts those if they are small and splits the parts of
+    frequent keys if not. Reviews whose keys are all blank, which match nothing, are dealt by other columns there.
     """
     order = order or ["brand", "category", "subcategory", "sku", "master_item", "description"]
-    kinds = list(dict.fromkeys(to for _, to, _ in PROBES))
-    parts = [lookup_by(catalog, to, order).select(F.concat(F.lit(f"{to}:"), to).alias("_key"), F.struct(F.col(to).alias("match_key"), *MAPPED).alias("_row")) for to in kinds]
-    lookup = reduce(DataFrame.unionByName, parts)
-    spread = F.concat(F.lit("blank:"), F.pmod(F.xxhash64(*[c for c in ("review_id", "product_id", "review_text") if c in reviews.columns]), F.lit(100_000)).cast("string"))
-    names = reviews.columns
-    for i, (column, to, _) in enumerate(PROBES):
-        found = lookup.alias(f"l{i}")
-        probe = F.coalesce(F.concat(F.lit(f"{to}:"), key(column)), spread) if column in names else spread
-        reviews = reviews.join(found, probe == F.col(f"l{i}._key"), "left").select(*names, *[f"_m{j}" for j in range(i)], F.when(F.col(f"l{i}._key").isNotNull(), F.struct(F.lit(PROBES[i][2]).alias("match_type"), f"l{i}._row.*")).alias(f"_m{i}"))
-    match = F.coalesce(*[F.col(f"_m{i}") for i in range(len(PROBES))])
-    out = reviews.withColumn("_m", match).drop(*[f"_m{i}" for i in range(len(PROBES))])
-    first = lambda *cols: F.coalesce(*[blank_to_null(c) for c in cols if c in names])
+    names, probed = reviews.columns, list(dict.fromkeys(column for column, _, _ in PROBES))
+    keyed = reviews.withColumns({f"_{c}": F.coalesce(key(c), F.lit("")) if c in names else F.lit("") for c in probed})
+    found = _matches(keyed, catalog, order)
+    spread = F.concat(F.lit("blank:"), F.pmod(F.xxhash64(*[c for c in ("review_id", "product_id", "review_text") if c in names]), F.lit(100_000)).cast("string"))
+    blank = F.concat(*[f"_{c}" for c in probed]) == ""
+    dealt = keyed.withColumn(f"_{probed[0]}", F.when(blank, spread).otherwise(F.col(f"_{probed[0]}")))
+    out = dealt.join(found, [f"_{c}" for c in probed], "left")
+    first = lambda *cols: F.coalesce(*[blank_to_null(c) for c in cols if c in names], F.lit(None).cast("string"))
     named = {f"mapped_{m}": F.col(f"_m.{m}") for m in MAPPED if m not in ("base_model_number", "master_item")}
     return out.withColumns(
         {"match_type": F.coalesce("_m.match_type", F.lit("unmatched")), "match_key": F.col("_m.match_key"), **named, "base_model_number": F.coalesce("_m.base_model_number", first("base_sku", "product_id")), "master_item": F.coalesce("_m.master_item", first("base_sku")), "mapping_detected": F.col("_m").isNotNull()}
-    ).drop("_m")
+    ).drop("_m", *[f"_{c}" for c in probed])
 
 
 def _directory(enriched: DataFrame, cols: list[str]) -> DataFrame:
