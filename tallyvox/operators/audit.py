@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import OVERALL_LABELS, any_phrase, region_label
 from ..functions.wording import stems
+from .links import components
 from .matching import NEGATIVE, POSITIVE
 
 ALL, UNTAGGED = "(all)", "(untagged)"
@@ -215,6 +216,10 @@ def similar_labels(counts: DataFrame, threshold: float = 0.55) -> DataFrame:
 
 
 def merged_candidates(candidates: DataFrame) -> DataFrame:
-    """candidate_labels with near-duplicates of a side as merged_into: the more frequent label that shares its stems, null where there is none."""
-    into = similar_labels(candidates.select("side", "label", "count")).groupBy("side", F.col("merge").alias("label")).agg(F.min("keep").alias("merged_into"))
+    """candidate_labels with near-duplicates of a side as merged_into: of all labels that hang together through shared stems the most frequent, of equal ones the first; null for that one and for labels without a near-duplicate."""
+    node = lambda label: F.to_json(F.struct("side", F.col(label).alias("label")))
+    near = similar_labels(candidates.select("side", "label", "count")).select(node("keep").alias("a"), node("merge").alias("b"))
+    rooted = candidates.withColumn("node", node("label")).join(components(near), "node")
+    best = rooted.groupBy("root").agg(F.min(F.struct((-F.col("count")).alias("n"), "label"))["label"].alias("merged_into"))
+    into = rooted.join(best, "root").where("label != merged_into").select("side", "label", "merged_into")
     return candidates.join(into, ["side", "label"], "left")

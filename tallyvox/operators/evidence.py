@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import region_label
+from ..functions.phrases import phrases_said
 from .rank import select_relevant
 from .symptoms import symptom_array
 
@@ -28,18 +29,20 @@ def canon(col: Column | str) -> Column:
 
 
 def _phrases(label: str, aliases: list[str]) -> list[str]:
-    return [p for p in dict.fromkeys(" ".join(x.lower().split()) for x in (label, *aliases)) if p]
+    return [p for p in dict.fromkeys(" ".join(x.lower().split()) for x in (label, *(aliases or []))) if p]
 
 
 def supported_pack(reviews: DataFrame, pack: list[tuple[str, str, list[str]]], min_hits: int = 1, max_per_side: int = 6) -> DataFrame:
     """Of a pack's (label, side, aliases), the first max_per_side of each side that at least min_hits reviews contain, with hits.
 
-    All labels are counted in one pass over the reviews; the pack is a list at hand, a few dozen entries.
+    All phrases are looked for in one pass over a text, whatever their number; a review counts once for a label.
     """
-    said = reviews.select(canon("review_text").alias("said"))
-    hit = lambda label, aliases: reduce(lambda a, p: a | F.contains("said", F.lit(p)), _phrases(label, aliases), F.lit(False))
-    rows = [F.struct(F.lit(i).alias("position"), F.lit(label).alias("label"), F.lit(side).alias("side"), F.count_if(hit(label, aliases)).alias("hits")) for i, (label, side, aliases) in enumerate(pack)]
-    kept = said.agg(F.array(*rows).alias("rows")).select(F.inline("rows")).where(F.col("hits") >= max(min_hits, 1))
+    phrases = [(i, p) for i, (label, _, aliases) in enumerate(pack) for p in _phrases(label, aliases)]
+    number = F.array(*[F.lit(i) for i, _ in phrases]).cast("array<int>")
+    met = F.array_distinct(F.transform(phrases_said(canon("review_text"), [p for _, p in phrases]), lambda at: F.get(number, at)))
+    hits = reviews.select(F.explode(met).alias("position")).groupBy("position").agg(F.count(F.lit(1)).alias("hits"))
+    labels = reviews.sparkSession.createDataFrame([(i, label, side) for i, (label, side, _) in enumerate(pack)], "position int, label string, side string")
+    kept = labels.join(hits, "position").where(F.col("hits") >= max(min_hits, 1))
     return kept.withColumn("_rn", F.row_number().over(Window.partitionBy("side").orderBy("position"))).where(F.col("_rn") <= max_per_side).drop("_rn")
 
 

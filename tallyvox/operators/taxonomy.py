@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import CANONICAL, NON_VALUES, OVERALL_LABELS, any_phrase
-from ..functions.wording import likeness, overlap, plain, stem, stems
+from ..functions.phrases import LabelIndex, label_entry, labels_said, plain_text
+from ..functions.wording import likeness, overlap, plain, stems
+from .links import alike_candidates
 
 #: Standard labels and the wordings that stand for them, by side. A table of our own; pass another to standardise by it.
 _GOOD = {"Quiet", "Easy To Use", "Easy To Clean", "Fast Charging", "Clear Instructions", "Easy Setup"}
@@ -114,55 +116,47 @@ def label_bucket(label: Column | str, pack: list[str], universal: set[str] = fro
     return F.when(name.isin(sorted(universal)), "Universal Neutral").when(name.isin(sorted(pack)), "Category Driver").otherwise("Product Specific")
 
 
-def _said(phrase: str, text: str) -> bool:
-    """A phrase of several words anywhere in the text, a single word of 5 letters at least as a whole word."""
-    return phrase in text if " " in phrase else len(phrase) >= 5 and f" {phrase} " in f" {text} "
+def _example(label_phrases: list[tuple[str, ...]]):  # noqa: ANN202
+    """Of each row's text the first sentence that says a phrase of its label, else the first, cut at 140 characters."""
 
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for at, text in zip(f["at"], f["text"], strict=True):
+                index = LabelIndex(((label_phrases[at], ()),))
+                sentences = [s.strip() for s in re.split(r"(?<=[.!?])\s+|\n+", text) if s.strip()]
+                out.append(next((s for s in sentences if index.by_phrase(plain(s))), sentences[0])[:140])
+            yield f.assign(sentence=out).drop(columns="text")
 
-SUPPORT = "label string, side string, hits long, phrase_hits long, examples array<struct<review_id:string,sentence:string>>"
+    return cut
 
 
-def label_support(reviews: DataFrame, catalog: list[tuple[str, str, list[str]]]) -> DataFrame:
+def label_support(reviews: DataFrame, catalog: list[tuple[str, str, list[str]]], examples: int = 3) -> DataFrame:
     """label, side, review_hits, support_ratio, score, specificity and examples for each (label, side, aliases) of the catalog, over all reviews (review_id, review_text).
 
-    A review is hit by a phrase (label or alias), or by four fifths of the label's word stems. Tasks send back counts
-    and their first three examples by review_id, so a row for each batch and label is all that is shuffled. The ratio is
-    to reviews with text; blank texts count for nothing.
+    A review is hit by a phrase (label or alias), or by four fifths of the label's word stems; all labels are looked for
+    in one pass over a text (functions.phrases), so the time hardly grows with the catalog. Hits are counted in Spark;
+    the reviews with the smallest ids give the examples, and no task sends more than that many texts a label. The ratio
+    is to reviews with text; blank texts count for nothing.
     """
-    entries = [(label, side, [p for p in map(plain, (label, *(aliases or []))) if p], {stem(w) for w in plain(label).split() if len(w) > 1}) for label, side, aliases in catalog]
-
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            texts = [(i, t, plain(t)) for i, t in f.itertuples(index=False) if isinstance(t, str) and t.strip()]
-            words = [{stem(w) for w in p.split()} for _, _, p in texts]
-            rows = [("", "", len(texts), 0, [])]
-            for label, side, phrases, own in entries:
-                hits = phrase_hits = 0
-                examples = []
-                for (i, t, p), w in zip(texts, words, strict=True):
-                    by_phrase = any(_said(x, p) for x in phrases)
-                    if not by_phrase and not (own and len(own & w) >= 0.8 * len(own)):
-                        continue
-                    hits += 1
-                    phrase_hits += by_phrase
-                    examples.append((i, t, p))
-                shown = []
-                for i, t, _ in sorted(examples)[:3]:
-                    sentences = [s.strip() for s in re.split(r"(?<=[.!?])\s+|\n+", t) if s.strip()]
-                    shown.append({"review_id": i, "sentence": next((s for s in sentences if any(_said(x, plain(s)) for x in phrases)), sentences[0])[:140]})
-                if hits:
-                    rows.append((label, side, hits, phrase_hits, shown))
-            yield pd.DataFrame(rows, columns=["label", "side", "hits", "phrase_hits", "examples"])
-
-    counted = reviews.select(F.col("review_id").cast("string"), F.col("review_text").cast("string")).mapInPandas(count, SUPPORT)
-    by = counted.groupBy("label", "side").agg(F.sum("hits").alias("hits"), F.sum("phrase_hits").alias("phrase_hits"), F.slice(F.array_sort(F.flatten(F.collect_list("examples"))), 1, 3).alias("examples"))
-    total = by.where("label = ''").agg(F.greatest(F.coalesce(F.sum("hits"), F.lit(0)), F.lit(1)).alias("total"))
+    entries = [label_entry(label, aliases) for label, _, aliases in catalog]
+    texts = reviews.select(F.col("review_id").cast("string").alias("review_id"), F.col("review_text").cast("string").alias("text")).where(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s", "") != "")
+    said = texts.withColumn("hit", F.explode(labels_said(plain_text(F.col("text")), entries))).select("review_id", "text", F.col("hit.label").alias("at"), "hit.by_phrase")
+    by = said.groupBy("at").agg(F.count(F.lit(1)).alias("hits"), F.count_if("by_phrase").alias("phrase_hits"))
+    total = texts.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("total"))
     spark = reviews.sparkSession
-    names = spark.createDataFrame([(i, label, side, float(min(max(len(own), 1), 5))) for i, (label, side, _, own) in enumerate(entries)], "position int, label string, side string, specificity double")
-    out = names.join(by, ["label", "side"], "left").crossJoin(F.broadcast(total))  # one row
+    names = spark.createDataFrame([(i, label, side, float(min(max(len(own), 1), 5))) for i, ((label, side, _), (_, own)) in enumerate(zip(catalog, entries, strict=True))], "position int, label string, side string, specificity double")
+    out = names.join(by, names["position"] == by["at"], "left").drop("at").crossJoin(F.broadcast(total))  # one row
+    if examples:
+        first = F.row_number().over(Window.partitionBy("at").orderBy("review_id", "text"))
+        shown = said.withColumn("n", first).where(F.col("n") <= examples).select("at", "n", "text").mapInPandas(_example([p for p, _ in entries]), "at int, n int, sentence string")
+        shown = shown.groupBy("at").agg(F.array_sort(F.collect_list(F.struct("n", "sentence"))).alias("examples"))
+        out = out.join(shown, out["position"] == shown["at"], "left").drop("at").withColumn("examples", F.coalesce(F.col("examples")["sentence"], F.array().cast("array<string>")))
+    else:
+        out = out.withColumn("examples", F.array().cast("array<string>"))
     hits, ratio = F.coalesce("hits", F.lit(0)), F.coalesce("hits", F.lit(0)) / F.col("total")
     score = hits + ratio + 0.12 * F.col("specificity") + F.least(F.lit(0.35), 0.05 * F.coalesce("phrase_hits", F.lit(0)))
-    return out.select("position", "label", "side", hits.alias("review_hits"), F.round(ratio, 4).alias("support_ratio"), F.round(score, 4).alias("score"), "specificity", F.coalesce(F.transform("examples", lambda e: e["sentence"]), F.array().cast("array<string>")).alias("examples"))
+    return out.select("position", "label", "side", hits.alias("review_hits"), F.round(ratio, 4).alias("support_ratio"), F.round(score, 4).alias("score"), "specificity", "examples")
 
 
 def prioritize_labels(candidates: DataFrame, support: DataFrame, pack: list[str], min_hits: int = 1, max_keep: int = 18, exclude_universal: bool = True) -> DataFrame:
@@ -207,25 +201,45 @@ def taxonomy_rows(catalog: DataFrame, support: DataFrame, pack: list[str]) -> Da
     return out.orderBy(F.col("side") != "detractor", "theme", order, F.desc("review_hits"), "label")
 
 
+#: Likeness of wording and share of stems from which two labels are alike.
+LIKE_WORDING, SHARED_STEMS = 0.84, 0.75
+
+
+def _sharing_stems(labels: DataFrame) -> DataFrame:
+    """(side, theme, label_a, label_b), label_a < label_b: labels of one side and theme with a stem in common."""
+
+    def stemmed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield f.assign(stem=[sorted(stems(x)) for x in f["label"]])
+
+    each = labels.select("side", "theme", "label").mapInPandas(stemmed, "side string, theme string, label string, stem array<string>").withColumn("stem", F.explode("stem"))
+    a, b = (each.select("side", "theme", "stem", F.col("label").alias(f"label_{x}")) for x in "ab")
+    return a.join(b, ["side", "theme", "stem"]).where("label_a < label_b").select("side", "theme", "label_a", "label_b").distinct()
+
+
 def suggest_merges(rows: DataFrame, n: int = 12) -> DataFrame:
     """The n likest pairs of labels of one side and theme (side, theme, label, review_hits): keep and merge, with why and similarity.
 
-    A pair is alike by wording (0.84), by shared stems (0.75) or if one holds the other. The label with more hits is
-    kept, of equal ones the shorter. Labels of a theme are few, so all their pairs are looked at.
+    A pair is alike by wording (LIKE_WORDING), by shared stems (SHARED_STEMS) or if one holds the other. The label with
+    more hits is kept, of equal ones the shorter. Labels meet by rare pairs of characters (links.alike_candidates) or by
+    a stem that both have; only such pairs are compared, and none that is alike is lost. Labels without a letter or
+    digit are like none.
     """
-    left, right = (rows.select("side", "theme", F.col("label").alias(f"label_{x}"), F.coalesce("review_hits", F.lit(0)).alias(f"hits_{x}")).distinct() for x in "ab")
-    pairs = left.join(right, ["side", "theme"]).where("label_a < label_b")
+    hits = rows.groupBy("side", "theme", "label").agg(F.max(F.coalesce("review_hits", F.lit(0)).cast("long")).alias("hits")).where("label IS NOT NULL")
+    pairs = alike_candidates(hits, ["side", "theme"], "label", LIKE_WORDING).unionByName(_sharing_stems(hits)).distinct()
+    for x in "ab":
+        pairs = pairs.join(hits.select("side", "theme", F.col("label").alias(f"label_{x}"), F.col("hits").alias(f"hits_{x}")), ["side", "theme", f"label_{x}"])
 
     def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
             for side, theme, a, hits_a, b, hits_b in f.itertuples(index=False):
                 x, y = plain(a), plain(b)
-                ratio, shared, held = likeness(x, y), overlap(stems(a), stems(b)), x in y or y in x
-                if ratio < 0.84 and shared < 0.75 and not held:
+                ratio, shared, held = likeness(x, y), overlap(stems(a), stems(b)), bool(x and y) and (x in y or y in x)
+                if ratio < LIKE_WORDING and shared < SHARED_STEMS and not held:
                     continue
                 (_, _, keep, keep_hits), (_, _, merge, merge_hits) = sorted([(-hits_a, len(a), a, hits_a), (-hits_b, len(b), b, hits_b)])
-                why = [w for w, yes in (("like wording", ratio >= 0.84), ("shared words", shared >= 0.75), ("one holds the other", held)) if yes]
+                why = [w for w, yes in (("like wording", ratio >= LIKE_WORDING), ("shared words", shared >= SHARED_STEMS), ("one holds the other", held)) if yes]
                 out.append((side, theme, keep, merge, keep_hits, merge_hits, ", ".join(why), round(max(ratio, shared), 2)))
             yield pd.DataFrame(out, columns=["side", "theme", "keep", "merge", "keep_hits", "merge_hits", "why", "similarity"])
 

@@ -124,7 +124,7 @@ sup AS (SELECT position, label, side, hits AS review_hits, round(hits / greatest
 
 @query("a26_label_support", _support_sql() + " SELECT * FROM sup")
 def a26(spark: SparkSession, sf: str) -> DataFrame:
-    return taxonomy.label_support(review_texts(spark, sf), WORDS).drop("examples")
+    return taxonomy.label_support(review_texts(spark, sf), WORDS, examples=0).drop("examples")
 
 
 @query("a29_prioritized_labels", _support_sql() + ", c AS (SELECT label, side, review_hits, score, CASE WHEN label = 'that was' THEN 'Category Driver' ELSE 'Product Specific' END AS bucket, specificity FROM sup WHERE review_hits >= 1) SELECT label, side, bucket, review_hits, score, row_number() OVER (PARTITION BY side ORDER BY bucket, review_hits DESC, score DESC, specificity DESC, label) AS rank FROM c")
@@ -354,6 +354,21 @@ def x2(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", *[N.negated(p, F.col("words")).alias(p) for p in DENIED_WORDS])
 
 
+_TYPE = "array_to_string(list_transform(string_split(lower(p_type), ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
+
+
+@query("a31_merged", f"""WITH RECURSIVE u AS (SELECT DISTINCT p_partkey AS key, CASE WHEN p_size % 2 = 0 THEN 'detractor' ELSE 'delighter' END AS side, {_TYPE} AS label FROM part), k AS (SELECT side, label, count(*) AS count FROM u GROUP BY 1, 2),
+s AS (SELECT side, label, list_distinct(list_transform(list_filter(string_split(lower(label), ' '), lambda w: length(w) > 2), lambda w: {_STEM})) AS st FROM k),
+p AS (SELECT a.side, a.label AS x, b.label AS y FROM s a JOIN s b ON a.side = b.side AND a.label <> b.label WHERE len(list_intersect(a.st, b.st)) / greatest(len(a.st), len(b.st)) >= 0.55),
+r AS (SELECT side, label AS x, label AS y FROM k UNION SELECT r.side, r.x, p.y FROM r JOIN p ON p.side = r.side AND p.x = r.y),
+b AS (SELECT r.side, r.x, k.label, row_number() OVER (PARTITION BY r.side, r.x ORDER BY k.count DESC, k.label) AS rn FROM r JOIN k ON k.side = r.side AND k.label = r.y)
+SELECT k.side, k.label, k.count, nullif(b.label, k.label) AS merged_into FROM k JOIN b ON b.side = k.side AND b.x = k.label AND rn = 1""")
+def a31b(spark: SparkSession, sf: str) -> DataFrame:
+    """The types of parts as unlisted labels: those that share stems hang together in chains."""
+    rows = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("key"), F.when(F.col("p_size") % 2 == 0, "detractor").otherwise("delighter").alias("side"), F.col("p_type").alias("label"))
+    return audit.merged_candidates(audit.candidate_labels(rows)).select("side", "label", "count", "merged_into")
+
+
 @query("x15_catalog", _R.rstrip() + f", {_RAW} SELECT DISTINCT side, {_STANDARD} AS label FROM raw WHERE {_STANDARD} <> ''")
 def x15(spark: SparkSession, sf: str) -> DataFrame:
     return taxonomy.canonical_catalog(_raw(spark, sf).withColumnRenamed("raw_label", "label")).select("side", "label")
