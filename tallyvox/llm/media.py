@@ -91,12 +91,19 @@ def mux(payload: bytes) -> bytes:
 
 @dataclass
 class Stream:
-    """What a transport stream holds: the payload, a (timestamp, number of the packet, random access) for each elementary packet, and counts."""
+    """What a transport stream holds: the payload of whole elementary packets, a (timestamp, number of the packet, random access) for each, and counts.
+
+    gaps are jumps of the continuity counter, repeats packets sent twice, damaged elementary packets that are not in the
+    payload, and faults what is wrong below them: packets without a sync byte or with an error mark, and damaged tables.
+    """
 
     payload: bytes = b""
     stamps: list[tuple[int, int, bool]] = field(default_factory=list)
     packets: int = 0
     gaps: int = 0
+    repeats: int = 0
+    damaged: int = 0
+    faults: list[str] = field(default_factory=list)
 
 
 def _read_section(packet: np.ndarray, table: int) -> bytes:
@@ -134,47 +141,94 @@ def _media_pid(pmt: bytes) -> int:
     return int.from_bytes(pmt[13 + info : 15 + info], "big") & 0x1FFF
 
 
-def _in_force(at: np.ndarray, pid_of: Callable[[int], int | None], packets: int, missing: str) -> np.ndarray:
-    """For each packet the pid that the last table before it names; the first table also holds for what comes before it. Every table is read and its checksum tested."""
-    named = [pid_of(i) for i in at]
-    if not named or None in named:
-        raise ValueError(missing)
-    return np.asarray(named)[np.maximum(np.searchsorted(at, np.arange(packets), side="right") - 1, 0)]
+def _in_force(at: np.ndarray, pid_of: Callable[[int], int | None], packets: int, out: Stream, missing: str) -> np.ndarray:
+    """For each packet the pid that the last table before it names; the first table also holds for what comes before it. Every table's checksum is tested; a damaged one is a fault, and the one before it stays in force."""
+    named: list[tuple[int, int]] = []
+    for i in at:
+        try:
+            pid = pid_of(i)
+        except (ValueError, IndexError):
+            out.faults.append("a program table is damaged")
+            continue
+        if pid is not None:
+            named.append((i, pid))
+    if not named:
+        out.faults.append(missing)
+        return np.full(packets, -1)
+    where, pids = np.array(named).T
+    return pids[np.maximum(np.searchsorted(where, np.arange(packets), side="right") - 1, 0)]
+
+
+#: Bits of a packet: payload and adaptation field follow, start of an elementary packet, error mark; of the adaptation field: discontinuity, random access, clock.
+_PAYLOAD, _ADAPTED, _START, _ERROR, _JUMP, _RANDOM, _CLOCK = 0x10, 0x20, 0x40, 0x80, 0x80, 0x40, 0x10
+
+
+def _repeats(rows: np.ndarray, equal: np.ndarray, clocked: np.ndarray) -> np.ndarray:
+    """Which packets repeat the one before: the same counter and bytes, but for the clock, which is said anew; only one repeat is legal."""
+    out = np.zeros(len(rows), bool)
+    for i in np.flatnonzero(equal) + 1:
+        same = rows[i] == rows[i - 1]
+        if clocked[i] and clocked[i - 1]:
+            same[6:12] = True
+        out[i] = bool(same.all()) and not out[i - 1]
+    return out
 
 
 def demux(media: bytes) -> Stream:
-    """Read a transport stream back; raises ValueError if it is damaged, counts gaps in the continuity counters of a pid.
+    """Read a transport stream back. What is damaged is left out and reported; nothing is raised.
 
-    All program tables are read; where a later one names another pid, the packets of that pid go on from there.
+    All program tables are read; where a later one names another pid, the packets of that pid go on from there. The
+    counter of a pid rises with each packet that has a payload: packets of an adaptation field alone do not count, a
+    packet sent twice is taken once, and a discontinuity mark lets the counter begin anew. An elementary packet that a
+    gap or an error mark falls into, or whose bytes do not all come, is damaged.
     """
+    out = Stream(packets=len(media) // PACKET)
     if not media or len(media) % PACKET:
-        raise ValueError("not a whole number of packets")
-    rows = np.frombuffer(media, np.uint8).reshape(-1, PACKET)
-    if (rows[:, 0] != SYNC).any():
-        raise ValueError("a sync byte is missing")
+        out.faults.append("not a whole number of packets")
+    rows = np.frombuffer(media, np.uint8)[: out.packets * PACKET].reshape(-1, PACKET)
+    sound = (rows[:, 0] == SYNC) & (rows[:, 1] & _ERROR == 0)
+    out.faults += ["a packet is damaged"] * int((~sound).sum())
+    at = np.flatnonzero(sound)
+    rows = rows[at] if len(at) < out.packets else rows
     pids = (rows[:, 1].astype(np.int32) & 0x1F) << 8 | rows[:, 2]
-    maps = _in_force(np.flatnonzero(pids == 0), lambda i: _map_pid(_section_of(rows[i], 0)), len(rows), "no program")
-    streams = _in_force(np.flatnonzero((pids == maps) & (pids != 0)), lambda i: _media_pid(_section_of(rows[i], 2)), len(rows), "no program map")
-    own = rows[numbers := np.flatnonzero(pids == streams)]
-    counters, same = (own[:, 3] & 15).astype(np.int16), np.diff(pids[numbers]) == 0
-    out = Stream(packets=len(rows), gaps=int(((np.diff(counters) % 16 != 1) & same).sum()))
-    adapted = (own[:, 3] & 0x20) > 0
-    begin = np.where(adapted, 5 + own[:, 4].astype(np.int64), 4)
+    maps = _in_force(np.flatnonzero(pids == 0), lambda i: _map_pid(_section_of(rows[i], 0)), len(rows), out, "no program")
+    streams = _in_force(np.flatnonzero((pids == maps) & (pids != 0)), lambda i: _media_pid(_section_of(rows[i], 2)), len(rows), out, "no program map")
+    own = rows[mine := np.flatnonzero(pids == streams)]
+    adapted = (own[:, 3] & _ADAPTED > 0) & (own[:, 4] > 0)
+    jump, random, clocked = (adapted & (own[:, 5] & bit > 0) for bit in (_JUMP, _RANDOM, _CLOCK))
+    full = np.flatnonzero(own[:, 3] & _PAYLOAD)
+    # A jump holds for the next packet with a payload, its own or a later one.
+    jumps = np.zeros(len(full) + 1, bool)
+    jumps[np.searchsorted(full, np.flatnonzero(jump))] = True
+    own, mine, jump, random, clocked = own[full], mine[full], jumps[:-1], random[full], clocked[full]
+    counters, same_pid = (own[:, 3] & 15).astype(np.int16), np.diff(pids[mine]) == 0
+    step = np.diff(counters) % 16
+    again = _repeats(own, (step == 0) & same_pid, clocked)
+    if again.any():
+        out.repeats = int(again.sum())
+        kept = ~again
+        own, mine, jump, random, counters = own[kept], mine[kept], jump[kept], random[kept], counters[kept]
+        same_pid, step = np.diff(pids[mine]) == 0, np.diff(counters) % 16
+    lost = np.concatenate([[False], (step != 1) & same_pid & ~jump[1:]]) if len(own) else np.zeros(0, bool)
+    out.gaps = int(lost.sum())
+    begin = np.minimum(np.where(own[:, 3] & _ADAPTED > 0, 5 + own[:, 4].astype(np.int64), 4), PACKET)
     body = own[np.arange(PACKET) >= begin[:, None]].tobytes()
     ends = np.cumsum(PACKET - begin)
-    starts = np.flatnonzero(own[:, 1] & 0x40)
-    random = adapted & (own[:, 4] > 0) & ((own[:, 5] & 0x40) > 0)
+    starts = np.flatnonzero(own[:, 1] & _START)
+    losses = np.concatenate([[0], np.cumsum(lost)])
     bounds = [int(ends[i] - (PACKET - begin[i])) for i in starts] + [len(body)]
     parts = []
-    for i, a, b in zip(starts, bounds[:-1], bounds[1:], strict=True):
+    for i, after, a, b in zip(starts, np.append(starts, len(own))[1:], bounds[:-1], bounds[1:], strict=True):
         head = body[a : a + 14]
         size = int.from_bytes(head[4:6], "big")
-        if head[:3] != b"\x00\x00\x01" or a + 6 + size > b:
-            raise ValueError("an elementary packet is damaged")
+        if head[:3] != b"\x00\x00\x01" or len(head) < 14 or a + 6 + size > b or losses[after] > losses[i + 1]:
+            out.damaged += 1
+            continue
         t = head[9:14]
         stamp = (t[0] & 0x0E) << 29 | t[1] << 22 | (t[2] & 0xFE) << 14 | t[3] << 7 | t[4] >> 1
-        out.stamps.append((stamp, int(numbers[i]), bool(random[i])))
+        out.stamps.append((stamp, int(at[mine[i]]), bool(random[i])))
         parts.append(body[a + 9 + head[8] : a + 6 + size])
+    out.damaged += int(len(own) > 0 and (len(starts) == 0 or starts[0] > 0))  # what comes before the first start
     out.payload = b"".join(parts)
     return out
 
@@ -208,22 +262,24 @@ def read_media(stored: DataFrame) -> DataFrame:
     """Read the media column back: digests of payload and stored form, the timestamps with random-access points, and a feature.
 
     The feature has packets, elementary packets, random-access points, the last timestamp, counter gaps, and of the
-    8-bit samples the sum, the largest and the number of sign changes around 128.
+    8-bit samples the sum, the largest and the number of sign changes around 128. damaged counts elementary packets that
+    are not in the payload, faults says what else is wrong with a stream, as distinct texts; a damaged stream never ends
+    the task. A null media is an empty stream with its faults.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches, 100):
             rows = []
             for media in batch.column("media"):
-                raw = media.as_buffer().to_pybytes()
+                raw = media.as_buffer().to_pybytes() if media.is_valid else b""
                 s = demux(raw)
                 samples = np.frombuffer(s.payload, np.uint8)
                 turns = int(np.count_nonzero(np.diff(samples >= 128)))
-                feature = f"ts:{s.packets};pes:{len(s.stamps)};rap:{sum(r for _, _, r in s.stamps)};pts:{s.stamps[-1][0]};gaps:{s.gaps};sum:{int(samples.sum(dtype=np.int64))};max:{int(samples.max())};turns:{turns}"
+                feature = f"ts:{s.packets};pes:{len(s.stamps)};rap:{sum(r for _, _, r in s.stamps)};pts:{s.stamps[-1][0] if s.stamps else -1};gaps:{s.gaps};sum:{int(samples.sum(dtype=np.int64))};max:{int(samples.max(initial=0))};turns:{turns}"
                 stamps = [{"pts": p, "packet": n, "random_access": r} for p, n, r in s.stamps]
-                rows.append((len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-16:]), len(raw), hashlib.sha256(raw).hexdigest(), feature, stamps))
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(_STAMP)]
+                rows.append((len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-16:]), len(raw), hashlib.sha256(raw).hexdigest(), feature, stamps, s.damaged, sorted(set(s.faults))))
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(_STAMP), pa.int64(), pa.list_(pa.string())]
             columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *columns], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "stamps"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *columns], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "stamps", "damaged", "faults"])
 
-    return stored.mapInArrow(read, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, stamps array<struct<pts:long,packet:long,random_access:boolean>>")
+    return stored.mapInArrow(read, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, stamps array<struct<pts:long,packet:long,random_access:boolean>>, damaged long, faults array<string>")

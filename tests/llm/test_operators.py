@@ -208,8 +208,8 @@ def test_media_round_trip(docs, empty):
     assert media.read_media(media.media_column(empty)).count() == 0
     damaged = bytearray(media.mux(b"x" * 19200))
     damaged[188 * 2] = 0
-    with pytest.raises(ValueError):
-        media.demux(bytes(damaged))
+    read = media.demux(bytes(damaged))
+    assert read.faults == ["a packet is damaged"] and read.damaged == 1 and len(read.payload) < 19200
     whole = media.mux(bytes(range(192)) * 100)
     assert media.crc_mpeg(b"") == 0xFFFFFFFF and media.demux(whole).gaps == 0
 
@@ -228,8 +228,8 @@ def test_media_follows_changed_tables():
     read = media.demux(first + bytes(second))
     assert read.payload == b"a" * 192 * 70 + b"b" * 192 * 3 and read.gaps == 0
     second[media.PACKET + 20] ^= 1  # in the second stream's map
-    with pytest.raises(ValueError):
-        media.demux(first + bytes(second))
+    read = media.demux(first + bytes(second))
+    assert read.payload == b"a" * 192 * 70 and "a program table is damaged" in read.faults
 
 
 def test_archives(spark):
