@@ -48,7 +48,7 @@ def _windows(benchmark: DataFrame, size: int) -> DataFrame:
                             rows.add((int(h.view(np.int64)), int(run), b" ".join(words.word(a + k + j) for j in range(run)), ids[first + i]))
                 yield pa.RecordBatch.from_pylist([dict(zip(("hash", "size", "words", "item_id"), r, strict=True)) for r in sorted(rows, key=str)], pa.schema([("hash", pa.int64()), ("size", pa.int32()), ("words", pa.binary()), ("item_id", pa.string())]))
 
-    return benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id IS NOT NULL").mapInArrow(cut_up, "hash long, size int, words binary, item_id string").distinct()
+    return benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").mapInArrow(cut_up, "hash long, size int, words binary, item_id string").distinct()
 
 
 class Lookup:
@@ -104,7 +104,7 @@ def _scan(docs: DataFrame, shared: Broadcast) -> DataFrame:
                         said = b" ".join(words.word(i + j) for j in range(size))
                         for text, ids in lookup.keys[int(h[i].view(np.int64))]:
                             if text == said:
-                                items[first_items + doc].update(ids)
+                                items[first_items + doc].update(x for x in ids if x is not None)
                                 marks[doc].append((int(i), int(i) + size))
                 for doc, found in marks.items():
                     joined: list[list[int]] = []
@@ -125,7 +125,7 @@ def _scan(docs: DataFrame, shared: Broadcast) -> DataFrame:
 def contamination(docs: DataFrame, benchmark: DataFrame, window_words: int = 10, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """docs with n_words, runs (word and byte ranges inside any occurrence of a window) and items (ids as sorted strings) added.
 
-    An item of fewer words is one window; one without words has none. Null and empty texts have no words. Columns of
+    An item of fewer words is one window; one without words has none. A benchmark row without item_id is looked for like any other, but has no name to stand in items. Null and empty texts have no words. Columns of
     docs with these names are replaced. Several blocks are joined by a row key that a checkpoint fixes, so doc_id may be
     null or repeat; they are scanned one after the other, and each but the first is dropped once its hits are written,
     so neither the driver nor an executor holds more than two blocks, however large the benchmark is. An empty table of

@@ -402,6 +402,37 @@ CANONICAL = [
 ]
 
 
+#: (licences, text, known sentences): notices, titles and full grants of further licences.
+_LATER = "you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+FURTHER = [
+    ("Apache-2.0", "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/", 2), ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE\n  Version 2, June 1991", 2),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007", 2), ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE\n Version 2.1, February 1999", 2), ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007", 2),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007", 2), ("GPL-2.0-or-later", "This program is free software; " + _LATER.format("General Public License", "2"), 1), ("LGPL-2.1-or-later", "This library is free software; " + _LATER.format("Lesser General Public License", "2.1"), 1),
+    ("LGPL-3.0-or-later", "This library is free software: " + _LATER.format("Lesser General Public License", "3"), 1), ("LGPL-3.0-or-later", "This program is free software: " + _LATER.format("Lesser General Public License", "3"), 1),
+    ("AGPL-3.0-or-later", "This program is free software: " + _LATER.format("Affero General Public License", "3"), 1), ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.", 1),
+    ("MPL-2.0", "Mozilla Public License Version 2.0", 1), ("Unlicense", "This is free and unencumbered software released into the public domain.", 1), ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003", 1),
+    ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:", 1),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:", 3),
+    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.", 1), ("OFL-1.1", "This Font Software is licensed under the SIL Open Font License, Version 1.1.", 1), ("WTFPL", "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE", 1),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/", 1),
+    ("MIT", "Licensed under the MIT license (see LICENSE).", 1), ("MIT", "This project is licensed under the MIT License - see the LICENSE file for details.", 1), ("Apache-2.0", "Distributed under the Apache 2.0 license", 1), ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0.", 1),
+    ("GPL-2.0-or-later", "Released under the GNU General Public License version 2 or later", 1), ("LGPL-3.0", "This software is available under LGPL-3.0", 1), ("Unlicense", "Published under the Unlicense", 1), ("CC-BY-SA-4.0", "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License.", 1),
+    ("Apache-2.0,MIT", "SPDX-License-Identifier: MIT OR Apache-2.0", 2), ("Apache-2.0,BSL-1.0,MIT", "SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSL-1.0", 3), ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0", 1), ("LGPL-2.1-or-later", "SPDX-License-Identifier: LGPL-2.1-or-later", 1),
+    *((name.removesuffix("-only"), f"SPDX-License-Identifier: {name}", 1) for name in licenses.SPDX),
+    *((name, f"Licensed under the {said}.", 1) for name, names in licenses.NAMES.items() for said in names),
+]
+
+
+@pytest.mark.parametrize(("prefix", "width"), [("", None), (" * ", 70), ("# ", 72)])
+def test_further_licences(spark, prefix, width):
+    """In plain, wrapped and commented form."""
+    wrap = lambda text: "\n".join(prefix + line for part in text.split("\n") for line in (textwrap.wrap(part, width) if width else [part]) or [""])
+    texts = [wrap(f"Some words before.\n{text}\n\nand after") for _, text, _ in FURTHER]
+    got = licences_of(spark, texts)
+    assert {i: (FURTHER[i][1], got[i]) for i in got if got[i] != (FURTHER[i][0], FURTHER[i][2])} == {}
+    assert licences_of(spark, ["Not licensed under the MIT license here", "the mit license", "SPDX-License-Identifier: Nobody-1.0 OR MIT"]) == {0: ("", 0), 1: ("", 1), 2: ("MIT", 1)}
+
+
 def licences_of(spark, texts):
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     return {r["doc_id"]: (r["licenses"], r["n_known"]) for r in licenses.license_scan(rows).collect()}
@@ -410,7 +441,7 @@ def licences_of(spark, texts):
 def test_licences_in_canonical_wording(spark):
     got = licences_of(spark, [f"Some words before\n{text}\nand after" for _, text, _ in CANONICAL])
     assert got == {i: (name, n) for i, (name, _, n) in enumerate(CANONICAL)}
-    assert {name for name, _, _ in CANONICAL} == {name for name, _ in licenses.RULES}
+    assert {name for name, _, _ in CANONICAL + FURTHER} >= {name for name, _ in licenses.RULES}
 
 
 @pytest.mark.parametrize(("prefix", "width"), [("", 76), (" * ", 70), ("# ", 72), ("// ", 30)])
@@ -473,6 +504,9 @@ def test_decontamination_blocks_keep_null_and_repeated_ids(spark):
     one, several, many = (sorted(map(str, f.collect())) for f in found)
     assert one == several == many and len(one) == len(texts)
     assert sorted(str(r["text"]) for r in decontaminate.remove_documents(found[1]).collect()) == ["None", "clean", "clean too"]
+    unnamed = items.select(F.when(F.col("item_id") != 0, F.col("item_id")).alias("item_id"), "text")
+    for block in (500_000, 1):  # an item without an id is found, but cannot be named
+        assert sorted((r["n_hit"], r["n_items"]) for r in decontaminate.report(decontaminate.contamination(rows, unnamed, 3, block)).collect()) == [(0, 0), (0, 0), (0, 0), (4, 0), (4, 1), (4, 1), (8, 2), (8, 2)]
 
 
 def test_toxicity_filter_loses_no_feature():
