@@ -16,6 +16,7 @@ import re
 import uuid
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,10 @@ _LEVELS = 40
 CHUNK_TOKENS = 200_000
 #: Where a segment may start: a single space before what is not white space.
 _ODD, _SEGMENT = re.compile(r"^ | (?:\s|$)"), re.compile(r"(?<=[^ ]) (?=\S)")
-_LETTERS = re.compile("[A-Za-z]+")
+#: Characters that both kinds of tokenizer give back as they are.
+_SETTLED = re.compile("[\x20-\x7E\xC0-\xFF]+")
+#: Segments over this many characters are not cached.
+LONG_SEGMENT = 64
 
 
 def byte_values() -> dict[str, int]:
@@ -78,6 +82,7 @@ class TokenizerPair:
             and not any("▁" in p.lstrip("▁") for p in pieces)  # no piece reaches over the start of a word
             and self.b.normalize("  x  ﬁ ①") == "▁▁▁x▁▁ﬁ▁①"  # spaces and characters stay as they are
         )
+        self.sizes_a, self.sizes_b = (np.array([len(x) for x in kept], np.int64) for kept in (self.bytes_a, self.bytes_b))
         self.bare = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": None, "post_processor": None}))
         self.remember = remember
         self.young: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
@@ -89,19 +94,33 @@ class TokenizerPair:
             return [text]
         return _SEGMENT.split(text) if _ODD.search(text) else text.split(" ")
 
-    def learn(self, words: list[str]) -> Iterator[tuple[str, bytes, bytes]]:
-        """(segment, ids of a, ids of b) as bytes; what doesn't come back whole goes to bad."""
-        plain = [i for i, w in enumerate(words) if self.by_segments and _LETTERS.fullmatch(w)]
+    def learn(self, words: list[str]) -> tuple[list[bytes], list[bytes]]:
+        """The ids of a and of b for each segment, as bytes; what doesn't come back whole goes to bad.
+
+        As many bytes as went in must come back; characters that a tokenizer might write in another way are compared.
+        """
+        plain = [i for i, w in enumerate(words) if self.by_segments and w.isascii() and w.isalpha()]
         rest = sorted({*range(len(words))}.difference(plain))
         ids_a: list[list[int]] = [[]] * len(words)
         for at, encoder, lead in ((plain, self.bare, "Ġ"), (rest, self.a, " ")):
             for i, x in zip(at, encoder.encode_batch_fast([lead + words[i] for i in at], add_special_tokens=False), strict=True):
                 ids_a[i] = x.ids
-        for w, a, b in zip(words, ids_a, self.b.encode(words, num_threads=1), strict=True):
-            raw = b" " + w.encode()
-            if b"".join([self.bytes_a[i] for i in a]) != raw or b"".join([self.bytes_b[i] for i in b]) != raw:
-                self.bad.add(w)
-            yield w, np.array(a, "<u4").tobytes(), np.array(b, "<u4").tobytes()
+        ids_b = self.b.encode(words, num_threads=1) if words else []
+        raws = [b" " + w.encode() for w in words]
+        said = np.fromiter(map(len, raws), np.int64, len(raws))
+        out, short = [], np.zeros(len(words), bool)
+        for ids, sizes in ((ids_a, self.sizes_a), (ids_b, self.sizes_b)):
+            ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+            flat = np.fromiter(chain.from_iterable(ids), "<u4", int(ends[-1]) if len(ends) else 0)
+            bytes_so_far = np.concatenate([[0], np.cumsum(sizes[flat])])
+            short |= np.diff(bytes_so_far[np.concatenate([[0], ends])]) != said
+            joined, bounds = flat.tobytes(), (4 * ends).tolist()
+            out.append([joined[i:j] for i, j in zip([0, *bounds], bounds)])
+        self.bad.update(words[i] for i in np.flatnonzero(short))
+        for i in rest:
+            if not (self.by_segments and _SETTLED.fullmatch(words[i])) and any(b"".join([kept[k] for k in ids[i]]) != raws[i] for ids, kept in ((ids_a, self.bytes_a), (ids_b, self.bytes_b))):
+                self.bad.add(words[i])
+        return out[0], out[1]
 
     def __call__(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
         """The ids of each text as little-endian unsigned 32-bit numbers; both empty if it has none."""
@@ -110,33 +129,34 @@ class TokenizerPair:
         if len(self.bad) > self.remember:
             self.bad = set()
             self.old = self.young = ({}, {})
-        split = [self.segments(t) if t else None for t in texts]
-        young_a, young_b = self.young
-        once: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
-        missed = {w for words in split if words for w in words if w not in young_a}
+        words: list[str] = []
+        ends = []
+        for t in texts:
+            words += self.segments(t) if t else ()
+            ends.append(len(words))
+        (young_a, young_b), (old_a, old_b) = self.young, self.old
+        ids_a = list(map(young_a.get, words))
+        missed = [i for i, x in enumerate(ids_a) if x is None]
         fresh = []
-        for w in missed:
-            if w in self.old[0]:
-                young_a[w], young_b[w] = self.old[0][w], self.old[1][w]
+        for w in {words[i] for i in missed}:
+            if (x := old_a.get(w)) is not None:
+                young_a[w], young_b[w] = x, old_b[w]
             else:
                 fresh.append(w)
-        long_bad = set()
-        for w, a, b in self.learn(fresh):
-            to = self.young if len(w) <= 64 else once
-            to[0][w], to[1][w] = a, b
-            if len(w) > 64 and w in self.bad:
-                self.bad.discard(w)
-                long_bad.add(w)
-        get_a, get_b = young_a, young_b
-        if once[0]:
-            get_a, get_b = {**young_a, **once[0]}, {**young_b, **once[1]}
-        bad = self.bad | long_bad
+        learnt = dict(zip(fresh, zip(*self.learn(fresh), strict=True), strict=True))
+        long = {w: x for w, x in learnt.items() if len(w) > LONG_SEGMENT}  # used once, not kept
+        for w, (a, b) in learnt.items():
+            if w not in long:
+                young_a[w], young_b[w] = a, b
+        for i in missed:
+            w = words[i]
+            ids_a[i] = long[w][0] if w in long else young_a[w]
+        ids_b = [young_b[w] if w not in long else long[w][1] for w in words] if long else list(map(young_b.__getitem__, words))
         out = []
-        for words in split:
-            if not words or (bad and not bad.isdisjoint(words)):
-                out.append((b"", b""))
-            else:
-                out.append((b"".join(map(get_a.__getitem__, words)), b"".join(map(get_b.__getitem__, words))))
+        for t, i, j in zip(texts, [0, *ends], ends):
+            whole = t and (not self.bad or self.bad.isdisjoint(words[i:j]))
+            out.append((b"".join(ids_a[i:j]), b"".join(ids_b[i:j])) if whole else (b"", b""))
+        self.bad.difference_update(long)
         return out
 
 
