@@ -157,25 +157,25 @@ RULES = [
     ("LGPL-2.1", ("lgpl-title", "lgpl-2-1-date")),
     ("LGPL-3.0", ("lgpl-title", "gpl-3-date")),
     ("AGPL-3.0", ("agpl-title", "agpl-date")),
-    ("GPL-2.0-or-later", ("gpl-2-or-later",)),
-    ("GPL-2.0", ("gpl-2-only",)),
-    ("LGPL-2.1-or-later", ("lgpl-2-1-or-later",)),
-    ("LGPL-3.0-or-later", ("lgpl-3-or-later",)),
-    ("LGPL-3.0-or-later", ("lgpl-3-or-later-program",)),
-    ("AGPL-3.0-or-later", ("agpl-or-later",)),
-    ("MPL-2.0", ("mpl-title",)),
-    ("Unlicense", ("unlicense-free",)),
-    ("BSL-1.0", ("boost-title",)),
-    ("BSL-1.0", ("boost-grant",)),
     ("Zlib", ("zlib-as-is", "zlib-liability", "zlib-grant")),
-    ("Zlib", ("zlib-grant",)),
-    ("0BSD", ("0bsd-grant",)),
-    ("EPL-2.0", ("epl-available",)),
-    ("OFL-1.1", ("ofl-font",)),
-    ("WTFPL", ("wtfpl-title",)),
 ]
-#: A notice line and an identifier of the public list name one licence each; they are looked up, not searched for.
-ONE_EACH = {f"line-{name}": name for name in NAMES} | {f"spdx-{name}": name.removesuffix("-only") for name in SPDX}
+#: Sentences, notice lines and identifiers of the public list that name one licence each, whatever stands around them; they are looked up, not searched for.
+ALONE = {
+    "GPL-2.0-or-later": ["gpl-2-or-later"],
+    "GPL-2.0": ["gpl-2-only"],
+    "LGPL-2.1-or-later": ["lgpl-2-1-or-later"],
+    "LGPL-3.0-or-later": ["lgpl-3-or-later", "lgpl-3-or-later-program"],
+    "AGPL-3.0-or-later": ["agpl-or-later"],
+    "MPL-2.0": ["mpl-title"],
+    "Unlicense": ["unlicense-free"],
+    "BSL-1.0": ["boost-title", "boost-grant"],
+    "Zlib": ["zlib-grant"],
+    "0BSD": ["0bsd-grant"],
+    "EPL-2.0": ["epl-available"],
+    "OFL-1.1": ["ofl-font"],
+    "WTFPL": ["wtfpl-title"],
+}
+ONE_EACH = {i: name for name, ids in ALONE.items() for i in ids} | {f"line-{name}": name for name in NAMES} | {f"spdx-{name}": name.removesuffix("-only") for name in SPDX}
 #: Every known sentence holds one of these, so a text without them has no known sentence.
 ANCHORS = ("license", "licence", "released under", "distributed under", "available under", "published under", "unencumbered", "without fee", "version 2", "version 3", "any purpose", "licensed", "permission", "warrant", "redistribut", "liab", "copyright", "free software", "mozilla", "mpl", "rights reserved")
 #: Sentences that stand in lists, after a number or letter.
@@ -225,9 +225,10 @@ _EXPRESSION, _ONE_LINE = r"(spdx-license-identifier:[ \t]*)\(*([a-z0-9.+-]+)\)*[
 
 def split_expressions(lower: Column) -> Column:
     """Texts in lower case with a line for each licence of an SPDX expression."""
+    lines = lower
     for _ in range(JOINED - 1):
-        lower = F.when(lower.contains("spdx-license-identifier"), F.regexp_replace(lower, _EXPRESSION, _ONE_LINE)).otherwise(lower)
-    return lower
+        lines = F.regexp_replace(lines, _EXPRESSION, _ONE_LINE)
+    return F.when(lower.contains("spdx-license-identifier"), lines).otherwise(lower)
 
 
 def pattern(ids: tuple[str, ...]) -> str:
