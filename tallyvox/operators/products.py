@@ -138,12 +138,18 @@ def selected(df: DataFrame, selection: dict[str, list[str]], skip: str | None =
 
 
 def facet_options(directory: DataFrame, limit: int = 5000, **selection: list[str]) -> DataFrame:
-    """(field, value, review_count): for each field what the other fields' selection leaves, the most reviewed first."""
-    parts = [
-        selected(directory, selection, field).groupBy(F.lit(field).alias("field"), F.col(field).alias("value")).agg(F.sum("row_count").alias("review_count")).orderBy(F.desc("review_count"), "value").limit(limit)
-        for field in FACETS
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    """(field, value, review_count): for each field what the other fields' selection leaves, the most reviewed first, at most limit values of each.
+
+    One pass: a directory row counts for every field if it fits all selections, for one field only if that field's
+    selection is the one that it does not fit, else for none.
+    """
+    fits = {f: F.coalesce(F.col(f).isin(selection[f]), F.lit(False)) if selection.get(f) else F.lit(True) for f in FACETS}
+    others = [c for c in selection if c not in FACETS]
+    rows = selected(directory, {c: selection[c] for c in others}).withColumn("_misses", reduce(lambda a, b: a + b, [(~x).cast("int") for x in fits.values()]))
+    counts = F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value"), ((F.col("_misses") == 0) | ((F.col("_misses") == 1) & ~x)).alias("_counts")) for f, x in fits.items()]))
+    by = rows.where("_misses <= 1").select("row_count", counts).where("_counts").groupBy("field", "value").agg(F.sum("row_count").alias("review_count"))
+    place = F.row_number().over(Window.partitionBy("field").orderBy(F.desc("review_count"), "value"))
+    return by.withColumn("_place", place).where(F.col("_place") <= limit).drop("_place")
 
 
 def selection_count(directory: DataFrame | None, reviews: DataFrame | None = None, **selection: list[str]) -> DataFrame:

@@ -35,3 +35,21 @@ def test_the_first_probe_that_finds_a_row(spark, columns):
     assert all(r["mapping_detected"] == (r["match_type"] != "unmatched") for r in got)
     assert products.enrich_with_catalog(reviews, loaded.limit(0)).where("mapping_detected").count() == 0
     assert products.enrich_with_catalog(reviews.limit(0), loaded).count() == 0
+
+
+def test_facets_in_one_pass(spark):
+    """Each field by what the other fields' selections leave, against a loop over the fields."""
+    rng = random.Random(9)
+    rows = [(*(rng.choice(["a", "b", "c", None]) for _ in products.FACETS), rng.randint(1, 9)) for _ in range(300)]
+    table = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in products.FACETS) + ", row_count long")
+    for selection in ({}, {"product_id": ["a", "b"]}, {"product_id": ["a"], "mapped_brand": ["b", "c"], "mapped_category": []}, {f: ["a", "c"] for f in products.FACETS}, {"mapped_brand": ["none"]}):
+        want = {}
+        for i, field in enumerate(products.FACETS):
+            for r in rows:
+                if all(r[j] in selection[f] for j, f in enumerate(products.FACETS) if f != field and selection.get(f)):
+                    want[field, r[i]] = want.get((field, r[i]), 0) + r[-1]
+        assert {(r["field"], r["value"]): r["review_count"] for r in products.facet_options(table, **selection).collect()} == want
+    top = products.facet_options(table, 2).collect()
+    assert len(top) == 2 * len(products.FACETS)
+    plan = products.facet_options(table, product_id=["a"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 1
