@@ -159,9 +159,14 @@ def flag_missed_side(tags: DataFrame, reviews: DataFrame) -> DataFrame:
     return both.withColumns({"missed_dets": missed(dets, stars <= 3, NEGATIVE), "missed_dels": missed(dels, stars >= 3, POSITIVE)}).drop("rating", "review_text")
 
 
+def cache_key(text: str, catalog_hash: str, model: str) -> Column:
+    """The key of a text's tags: the trimmed text, the catalog and the model that gave them."""
+    return F.sha2(F.concat_ws("\u0001", F.trim(F.coalesce(text, F.lit(""))), F.lit(catalog_hash), F.lit(model)), 256)
+
+
 def reuse_tags(reviews: DataFrame, cache: DataFrame, catalog_hash: str, model: str) -> tuple[DataFrame, DataFrame]:
     """(known, open): reviews whose text, catalog and model are in the cache (cache_key, result), with the result; and one review for each text that is not."""
-    keyed = reviews.withColumn("cache_key", F.sha2(F.concat_ws("\u0001", F.trim(F.coalesce("review_text", F.lit(""))), F.lit(catalog_hash), F.lit(model)), 256))
+    keyed = reviews.withColumn("cache_key", cache_key("review_text", catalog_hash, model))
     known = keyed.join(cache.dropDuplicates(["cache_key"]), "cache_key")
     open_ = keyed.join(cache.select("cache_key"), "cache_key", "left_anti").groupBy("cache_key").agg(F.min_by(F.struct(*reviews.columns), "review_id").alias("r")).select("cache_key", "r.*")
     return known, open_

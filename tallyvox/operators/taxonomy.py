@@ -56,15 +56,25 @@ def clean_label(text: str | None) -> str:
     return "" if value.lower() in NON_VALUES else value.title()
 
 
+#: Words that turn the sense of a wording round: a wording with one never stands for a label without one, nor the other way.
+REVERSING = {"not", "no", "never", "without", "low", "less", "free", "zero"}
+
+
+def reversed_sense(text: str) -> bool:
+    """Whether a plain wording denies what its other words say."""
+    return any(w in REVERSING or w.endswith("n't") for w in text.split())
+
+
 def standard_label(label: str | None, side: str | None = None, rules: list[tuple[str, str, list[str]]] = RULES) -> str:
-    """The standard label whose wording the label holds, is held by (from 5 letters), or shares four fifths of its stems with; of several the likest. Else the label, cleaned and rewritten."""
+    """The standard label whose wording the label holds, is held by (from 5 letters), or shares four fifths of its stems with; of several the likest. A wording of the other sense (see REVERSING) never counts. Else the label, cleaned and rewritten."""
     cleaned = clean_label(label)
     text, own = plain(cleaned), stems(cleaned)
+    sense = reversed_sense(text)
     found = []
     for rule_side, canonical, phrases in rules:
         if side and rule_side != side:
             continue
-        wordings = [plain(p) for p in (canonical, *phrases)]
+        wordings = [w for w in map(plain, (canonical, *phrases)) if reversed_sense(w) == sense]
         close = [w for w in wordings if w == text or (len(text) >= 5 and (w in text or text in w)) or overlap(own, stems(w)) >= 0.8]
         if cleaned and close:
             found.append((max(max(likeness(text, w), overlap(own, stems(w))) for w in wordings), canonical))

@@ -12,6 +12,14 @@ def test_standard_labels(spark):
     assert sorted((r["label"] or "", r["standard"]) for r in taxonomy.standardize_labels(rows).collect()) == sorted([(a or "", c) for a, _, c in want] * 2)
 
 
+def test_standard_labels_keep_their_sense():
+    for label, side, want in [
+        ("loud", None, "Loud"), ("Noisy", None, "Loud"), ("noise", None, "Loud"), ("Not Loud", None, "Quiet"), ("not noisy at all", None, "Quiet"), ("low noise", None, "Quiet"), ("Quiet", None, "Quiet"), ("loud", "detractor", "Loud"), ("loud", "delighter", "Loud"),
+        ("not loud", "detractor", "Not Loud"), ("Not Quiet", None, "Not Quiet"), ("not intuitive", None, "Difficult To Use"), ("intuitive", None, "Easy To Use"), ("doesn't fit", None, "Wrong Size"), ("would recommend", None, "Overall Satisfaction"), ("would not recommend", None, "Overall Dissatisfaction"),
+    ]:
+        assert taxonomy.standard_label(label, side) == want, (label, side, taxonomy.standard_label(label, side))
+
+
 def test_support_and_priorities(spark):
     texts = ["The motor is loud. It cleans well.", "A loud noise every day!", "quiet and small", None, "  ", "Cleans the rug well, battery dies."]
     reviews = spark.createDataFrame([(str(i), t, "x") for i, t in enumerate(texts)], "review_id string, review_text string, label string").repartition(3)
