@@ -22,13 +22,18 @@ PROBES = [
     ("product_id", "master_item_key", "product_to_master"),
     ("sku_item", "master_item_key", "sku_item_to_master"),
 ]
-MAPPED = ["sku", "master_item", "base_model_number", "brand", "category", "subcategory", "subsub_category", "region", "item_status", "lifecycle_phase", "description"]
+MAPPED = ["sku", "master_item", "base_model_number", "brand", "category", "subcategory", "subsub_category", "region", "item_status", "lifecycle_phase", "description", "user_item_type", "item_class", "item_long_description", "ean", "upc"]
 #: Headers of a master mapping, "Lifecyle" included.
 HEADERS = {
     "SKU": "sku", "Master Item": "master_item", "Brand": "brand", "Category": "category", "SubCategory": "subcategory", "SubsubCategory": "subsub_category",
     "REGION": "region", "Item Status": "item_status", "Lifecyle Phase": "lifecycle_phase", "Description": "description",
+    "User Item Type": "user_item_type", "Item Class": "item_class", "Item Long Description": "item_long_description", "EAN": "ean", "UPC": "upc",
+}
+#: Headers of a second vendor's catalog by column, the first that is there counts.
+VENDOR_HEADERS = {
+    "sku": ["PID", "Product ID"], "master_item": ["Model Code", "Master Item"], "category": ["Category"], "subcategory": ["Sub-Category", "SubCategory"], "subsub_category": ["SubsubCategory"],
+    "region": ["Region", "REGION"], "item_status": ["Item Status"], "lifecycle_phase": ["Lifecycle Phase", "Lifecyle Phase"], "description": ["Product Name"], "user_item_type": ["Product Type"], "item_class": ["Sub-Category", "SubCategory"], "ean": ["EAN"], "upc": ["UPC"],
 }
-VENDOR_HEADERS = {"PID": "sku", "Model Code": "master_item", "Category": "category", "Sub-Category": "subcategory"}
 
 
 def key(col: str) -> Column:
@@ -47,12 +52,13 @@ def load_sku_catalog(df: DataFrame) -> DataFrame:
 
 
 def load_vendor_catalog(df: DataFrame, default_brand: str) -> DataFrame:
-    """A second vendor's catalog; its description joins name, colour and notes."""
+    """A second vendor's catalog by its own headers (VENDOR_HEADERS); a blank brand is default_brand, and the long description joins the name, or else the base model, with colour and notes. Rows without a key go."""
     found = {h.strip().lower(): h for h in df.columns}
-    take = lambda h: blank_to_null(F.col(f"`{found[h.lower()]}`").cast("string")) if h.lower() in found else F.lit(None).cast("string")
-    described = F.nullif(F.concat_ws(" · ", take("Product Name"), take("Color Variant"), take("Notes")), F.lit(""))
-    cols = {name: take(h) for h, name in VENDOR_HEADERS.items()} | {"brand": F.coalesce(take("Brand"), F.lit(default_brand)), "description": described}
-    return _keys(df.select(*[cols.get(n, F.lit(None).cast("string")).alias(n) for n in HEADERS.values()])).withColumn("base_model_number", F.coalesce("master_item", "sku"))
+    take = lambda *names: next((blank_to_null(F.col(f"`{found[n.lower()]}`").cast("string")) for n in names if n.lower() in found), F.lit(None).cast("string"))
+    cols = {name: take(*headers) for name, headers in VENDOR_HEADERS.items()}
+    base = F.coalesce(cols["master_item"], cols["sku"])
+    cols |= {"brand": F.coalesce(take("Brand"), F.lit(default_brand)), "item_long_description": F.nullif(F.concat_ws(" · ", F.coalesce(take("Product Name"), base), take("Color Variant"), take("Notes")), F.lit(""))}
+    return _keys(df.select(*[cols[n].alias(n) for n in HEADERS.values()])).withColumn("base_model_number", F.coalesce("master_item", "sku"))
 
 
 def keep_first(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
@@ -83,7 +89,7 @@ def _matches(keyed: DataFrame, catalog: DataFrame, order: list[str]) -> DataFram
     probe = F.inline(F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(name).alias("match_type"), F.lit(to).alias("kind"), F.col(f"_{column}").alias("match_key")) for i, (column, to, name) in enumerate(PROBES)]))
     probes = sets.select("*", probe).where("match_key != ''")
     kinds = list(dict.fromkeys(to for _, to, _ in PROBES))
-    parts = [lookup_by(catalog, to, order).select(F.lit(to).alias("kind"), F.col(to).alias("match_key"), *MAPPED) for to in kinds]
+    parts = [lookup_by(catalog, to, order).select(F.lit(to).alias("kind"), F.col(to).alias("match_key"), *[F.col(m) if m in catalog.columns else F.lit(None).cast("string").alias(m) for m in MAPPED]) for to in kinds]
     hits = probes.join(reduce(DataFrame.unionByName, parts), ["kind", "match_key"])
     return hits.groupBy(*[f"_{c}" for c in names]).agg(F.min_by(F.struct("match_type", "match_key", *MAPPED), "rank").alias("_m"))
 

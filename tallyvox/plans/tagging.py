@@ -383,6 +383,15 @@ def a31b(spark: SparkSession, sf: str) -> DataFrame:
     return audit.merged_candidates(audit.candidate_labels(rows)).select("side", "label", "count", "merged_into")
 
 
+@query("i5_vendor_catalog", """SELECT p_partkey::VARCHAR AS sku, CASE WHEN p_size % 3 > 0 THEN p_type END AS master_item, CASE WHEN p_size % 3 > 0 THEN upper(p_type) END AS master_item_key, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE 'House' END AS brand, p_name AS description, CASE WHEN p_size % 3 > 0 THEN p_type ELSE p_partkey::VARCHAR END AS base_model_number,
+concat_ws(' · ', p_name, CASE WHEN p_size % 5 = 0 THEN 'size ' || p_size END, nullif(trim(p_type), '')) AS item_long_description FROM part""")
+def i5(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as a second vendor's catalog."""
+    size = F.col("p_size")
+    raw = table(spark, sf, "part").select(F.concat(F.lit(" "), F.col("p_partkey").cast("string")).alias("Product ID"), F.when(size % 3 > 0, F.col("p_type")).otherwise(" ").alias("Model Code"), F.when(size % 2 == 0, F.col("p_brand")).otherwise("").alias("Brand"), F.col("p_name").alias("Product Name"), F.when(size % 5 == 0, F.concat(F.lit("size "), size.cast("string"))).alias("Color Variant"), F.col("p_type").alias("Notes"))
+    return products.load_vendor_catalog(raw, "House").select("sku", "master_item", "master_item_key", "brand", "description", "base_model_number", "item_long_description")
+
+
 @query("x15_catalog", _R.rstrip() + f", {_RAW} SELECT DISTINCT side, {_STANDARD} AS label FROM raw WHERE {_STANDARD} <> ''")
 def x15(spark: SparkSession, sf: str) -> DataFrame:
     return taxonomy.canonical_catalog(_raw(spark, sf).withColumnRenamed("raw_label", "label")).select("side", "label")

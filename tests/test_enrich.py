@@ -53,3 +53,25 @@ def test_facets_in_one_pass(spark):
     assert len(top) == 2 * len(products.FACETS)
     plan = products.facet_options(table, product_id=["a"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Scan ExistingRDD") == 1
+
+
+def test_vendor_catalog_by_its_own_headers(spark):
+    rows = [(" p1 ", "M1", "", "Thing", "Red", "new", "Sub"), ("p2", None, "B", None, None, "n", None), ("", " ", "B", "lost", None, None, None)]
+    raw = spark.createDataFrame(rows, "`Product ID` string, `Model Code` string, Brand string, `Product Name` string, `Color Variant` string, Notes string, SubCategory string")
+    got = {r["sku"]: r for r in products.load_vendor_catalog(raw, "House").collect()}
+    assert list(got) == ["p1", "p2"]
+    one, two = got["p1"], got["p2"]
+    assert (one["sku_key"], one["master_item_key"], one["brand"], one["description"], one["item_long_description"], one["subcategory"], one["item_class"], one["base_model_number"]) == ("P1", "M1", "House", "Thing", "Thing · Red · new", "Sub", "Sub", "M1")
+    assert (two["brand"], two["description"], two["item_long_description"], two["base_model_number"], two["ean"]) == ("B", None, "p2 · n", "p2", None)
+    master = products.load_sku_catalog(spark.createDataFrame([("s", "x", "8")], "SKU string, `User Item Type` string, EAN string"))
+    both = products.combine_catalogs(master, products.load_vendor_catalog(raw, "House"))
+    found = products.enrich_with_catalog(spark.createDataFrame([("1", "S"), ("2", "P1")], "review_id string, product_id string"), both)
+    assert {r["review_id"]: (r["mapped_ean"], r["mapped_user_item_type"], r["mapped_item_long_description"]) for r in found.collect()} == {"1": ("8", "x", None), "2": (None, None, "Thing · Red · new")}
+
+
+def test_source_metadata_fills_blanks(spark):
+    from tallyvox.sources.payloads import apply_source_metadata
+
+    rows = spark.createDataFrame([("a", None), (" ", "u"), (None, "")], "retailer string, source_system string")
+    got = [(r["retailer"], r["post_link"], r["source_system"]) for r in apply_source_metadata(rows, "Okendo", "Shop", "http://x").collect()]
+    assert got == [("a", "http://x", "Okendo"), ("Shop", "http://x", "Okendo"), ("Shop", "http://x", "Okendo")]
