@@ -51,8 +51,8 @@ def test_sync(spark, tmp_path):
 
 
 def test_search(spark):
-    models = spark.createDataFrame([("AB-100", "Ninja", "Vacuum", None, 900, 4.0), ("CD200", "Shark", "Vacuum", None, 10, 3.0)], "base_model_number string, mapped_brand string, mapped_category string, mapped_subcategory string, review_count long, avg_rating double")
-    goods = spark.createDataFrame([("AB-100", "P1", "Quiet Vacuum", "Ninja", "Vacuum", None, 500, 4.0), ("CD200", "P2", None, "Shark", "Blender", None, 5, 3.0)], "base_model_number string, product_id string, original_product_name string, mapped_brand string, mapped_category string, mapped_subcategory string, review_count long, avg_rating double")
+    models = spark.createDataFrame([("AB-100", "Acme", "Vacuum", None, 900, 4.0), ("CD200", "Zeta", "Vacuum", None, 10, 3.0)], "base_model_number string, mapped_brand string, mapped_category string, mapped_subcategory string, review_count long, avg_rating double")
+    goods = spark.createDataFrame([("AB-100", "P1", "Quiet Vacuum", "Acme", "Vacuum", None, 500, 4.0), ("CD200", "P2", None, "Zeta", "Blender", None, 5, 3.0)], "base_model_number string, product_id string, original_product_name string, mapped_brand string, mapped_category string, mapped_subcategory string, review_count long, avg_rating double")
     rows = products.search_entities(models, goods, "ab100").collect()
     assert [(r["entity_type"], r["base_model_number"]) for r in rows[:2]] == [("Base model", "AB-100"), ("Product", "AB-100")] and rows[0]["score"] == 430 + 18 + 1.8
     assert [r["product_id"] for r in products.search_entities(models, goods, "quiet vacum", 1).collect()] == ["P1"]
@@ -155,9 +155,9 @@ def plain_score(row, query):
     return score + bonus + min((row["review_count"] or 0) / 500, 18.0)
 
 
-@pytest.mark.parametrize("query", ["AB-100", "ab100", "vacuum shark", "quiet vacum", "x9 blend", "(%", "zz"])
+@pytest.mark.parametrize("query", ["AB-100", "ab100", "vacuum zeta", "quiet vacum", "x9 blend", "(%", "zz"])
 def test_entity_scores_by_the_rule(spark, query):
-    values = ["AB-100", "ab 100", "AB-1000", "X9", "Quiet Vacuum", "Shark", "vacum", "Blender X9", "", None, "  ", "É zz", "100"]
+    values = ["AB-100", "ab 100", "AB-1000", "X9", "Quiet Vacuum", "Zeta", "vacum", "Blender X9", "", None, "  ", "É zz", "100"]
     rows = [("Base model" if i % 2 else "Product", *[values[(i * k + k) % len(values)] for k in range(1, 7)], i * 700 if i % 5 else None) for i in range(60)]
     table = spark.createDataFrame(rows + rows[:2], "entity_type string, " + ", ".join(f"{c} string" for c in products.SEARCHED) + ", review_count long")
     got = products.entity_scores(table, query).collect()
