@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .labels import let, single_spaced
+
 #: Fields that come first, and parts of names that keep a column out.
 FIRST = [
     "title", "review_text", "pros", "cons", "headline", "body", "comments", "reviewer_comments", "usage_context", "routine", "variant", "size", "color", "flavor", "scent",
@@ -19,7 +21,7 @@ def review_context(df: DataFrame) -> Column:
 
     Values are compared without regard to case. Null and blank values are left out; a row without any gives an empty text.
     """
-    spaced = lambda c: F.trim(F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"\s+", " "))
+    spaced = lambda c: F.trim(single_spaced(F.coalesce(c.cast("string"), F.lit(""))))
     simple = [c for c, kind in df.dtypes if not kind.startswith(("array", "map", "struct", "binary"))]
     named = {c.lower(): c for c in simple}
     parts = [("", spaced(F.col("title_and_text")))] if "title_and_text" in simple else []
@@ -31,6 +33,6 @@ def review_context(df: DataFrame) -> Column:
         value = spaced(F.col(f"`{c}`"))
         parts.append((c, F.when(F.length(value) >= 3, F.trim(F.substring(value, 1, LONGEST))).otherwise("")))
     rows = F.filter(F.array(*[F.struct(F.lit(" ".join(w.capitalize() for w in n.replace("_", " ").split())).alias("name"), v.alias("value")) for n, v in parts]), lambda x: x["value"] != "")
-    keys = F.transform(rows, lambda x: F.lower(x["value"]))
-    once = F.filter(F.transform(rows, lambda x, i: F.when(F.array_position(keys, F.lower(x["value"])) == i + 1, F.when(x["name"] == "", x["value"]).otherwise(F.concat(x["name"], F.lit(": "), x["value"])))), lambda x: x.isNotNull())
-    return F.array_join(once, "\n")
+    line = lambda x: F.when(x["name"] == "", x["value"]).otherwise(F.concat(x["name"], F.lit(": "), x["value"]))
+    once = lambda rows, keys: F.filter(F.transform(rows, lambda x, i: F.when(F.array_position(keys, F.lower(x["value"])) == i + 1, line(x))), lambda x: x.isNotNull())
+    return let(rows, lambda r: let(F.transform(r, lambda x: F.lower(x["value"])), lambda keys: F.array_join(once(r, keys), "\n")))
