@@ -10,7 +10,7 @@ right what stands after it there, later everything after it.
     never met          never noticed noise, zero (known) noise: up to three words between, no comma
     not the measure    not as loud as
     free of it         noise-free; no noise at all, no noise to speak of: up to four words between
-    only wished        could be quieter in the sense of could be better ... quiet
+    only wished        could be quieter in the sense of could be better ... quiet: up to nine words between
     not as claimed     supposed to be quiet ... but
     only at times      only loud on, just loud when
 """
@@ -23,6 +23,8 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .labels import let
+
 #: The words that the rules above speak of.
 DENIALS = ["not", "never", "hardly", "barely", "isn't", "wasn't", "weren't", "ain't", "without"]
 DEGREES = ["really", "very", "that", "quite", "at", "all"]
@@ -41,7 +43,8 @@ CLOSINGS = [["at", "all"], ["whatsoever"], ["to", "speak", "of"]]
 #: Marks that end a clause, marks that part words inside one, and other ASCII characters outside words, as patterns.
 _MARKS = [("[’‘`]", "'"), ("[–—….!?;:\\n]", " . "), ('[,()\\[\\]"]', " , "), ("[\\x00-\\x1F#-&*+\\-/<-@\\\\^_{-\\x7F]", " ")]
 STOP, PAUSE = ".", ","
-REACH = 12
+#: Words before a phrase that are looked at first, more only while they leave open whether it is directly denied; and how near the better one must stand that was only wished.
+REACH, WISHED = 13, 10
 
 
 def tokens(text: str | None) -> list[str]:
@@ -56,6 +59,18 @@ def _before(words: list[str], stops: tuple[str, ...]) -> list[str]:
     return words[: next((i for i, w in enumerate(words) if w in stops), len(words))]
 
 
+def _left(words: list[str], i: int) -> list[str]:
+    """What stands before place i in its clause, nearest first: REACH words, or as many more as it takes to a second word that is no degree."""
+    reach = REACH
+    while True:
+        part = words[max(0, i - reach) : i][::-1]
+        left = _before(part, (STOP,))
+        near = _before(left, (PAUSE,))
+        if i <= reach or len(near) < len(part) or sum(w not in DEGREES for w in near) > 1:
+            return left
+        reach *= 2
+
+
 def denied_at(left: list[str], right: list[str], later: list[str]) -> bool:
     """The rules above for one occurrence."""
     near, close = _before(left, (PAUSE,)), (*left, "", "", "")
@@ -74,7 +89,7 @@ def denied_at(left: list[str], right: list[str], later: list[str]) -> bool:
         return True
     if right[:1] == ["free"] or (close[0] == "no" and any(right[i : i + len(c)] == c for c in CLOSINGS for i in range(5))):
         return True
-    if any(w in BETTER and close[i + 1] in ("be", "been") and close[i + (2 if close[i + 1] == "be" else 3)] in WISHES for i, w in enumerate(left)):
+    if any(w in BETTER and close[i + 1] in ("be", "been") and close[i + (2 if close[i + 1] == "be" else 3)] in WISHES for i, w in enumerate(left[:WISHED])):
         return True
     claimed = close[1:3] if close[0] == "be" else close[:2]
     if claimed[0] == "to" and claimed[1] in CLAIMS and any(w in TURNS for w in later):
@@ -95,7 +110,7 @@ def is_negated(phrase: str | None, text: str | None) -> bool:
         return False
     for i in range(len(words) - n + 1):
         if words[i] == said[0] and tuple(words[i : i + n]) == said:
-            left, right = _before(words[max(0, i - REACH) : i][::-1], (STOP,)), _before(words[i + n : i + n + REACH], (STOP,))
+            left, right = _left(words, i), _before(words[i + n : i + n + REACH], (STOP,))
             if denied_at(left, right, words[i + n :]):
                 return True
     return False
@@ -116,9 +131,15 @@ def _until(words: Column, stop: str) -> Column:
 
 def _denied(left: Column, right: Column, later: Column) -> Column:
     """denied_at() over arrays."""
-    near = _until(left, PAUSE)
+    return let(_until(left, PAUSE), lambda near: let(_no_degrees(near), lambda plain: _by_rules(left, near, plain, right, later)))
+
+
+def _no_degrees(words: Column) -> Column:
+    return F.filter(words, lambda w: ~w.isin(DEGREES))
+
+
+def _by_rules(left: Column, near: Column, plain: Column, right: Column, later: Column) -> Column:
     at = lambda words, i: F.coalesce(F.get(words, i if isinstance(i, Column) else F.lit(i)), F.lit(""))
-    plain = F.filter(near, lambda w: ~w.isin(DEGREES))
     direct = at(plain, 0).isin(DENIALS) | (at(plain, 0).isin(ARTICLES) & (at(plain, 1) == "without"))
     lacking = at(left, 0).isin(LACKS) | ((at(left, 0) == "of") & (at(left, 1) == "free")) | ((at(left, 0) == "more") & at(left, 1).isin(NEEDS))
     trouble = F.exists(F.sequence(F.lit(2), F.lit(7)), lambda i: (at(near, i) == "no") & at(near, i - 1).isin(TROUBLES) & at(near, i - 2).isin(ABOUT))
@@ -126,7 +147,7 @@ def _denied(left: Column, right: Column, later: Column) -> Column:
     measure = (at(left, 0) == "as") & (at(left, 1) == "not") & (at(right, 0) == "as")
     closed = F.exists(F.sequence(F.lit(0), F.lit(4)), lambda i: (at(right, i) == "whatsoever") | ((at(right, i) == "at") & (at(right, i + 1) == "all")) | ((at(right, i) == "to") & (at(right, i + 1) == "speak") & (at(right, i + 2) == "of")))
     free = (at(right, 0) == "free") | ((at(left, 0) == "no") & closed)
-    wish = F.exists(F.sequence(F.lit(0), F.lit(REACH)), lambda i: at(left, i).isin(BETTER) & F.when(at(left, i + 1) == "be", at(left, i + 2).isin(WISHES)).when(at(left, i + 1) == "been", at(left, i + 3).isin(WISHES)).otherwise(False))
+    wish = F.exists(F.sequence(F.lit(0), F.lit(WISHED - 1)), lambda i: at(left, i).isin(BETTER) & F.when(at(left, i + 1) == "be", at(left, i + 2).isin(WISHES)).when(at(left, i + 1) == "been", at(left, i + 3).isin(WISHES)).otherwise(False))
     to = F.when(at(left, 0) == "be", 1).otherwise(0)
     claimed = (at(left, to) == "to") & at(left, to + 1).isin(CLAIMS) & F.arrays_overlap(later, F.array(*map(F.lit, TURNS)))
     times = at(left, 0).isin(ONLY) & at(right, 0).isin(TIMES)
@@ -143,8 +164,10 @@ def negated(phrase: str, words: Column) -> Column:
     starts = F.filter(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda i: (F.get(words, i - 1) == said[0]) & (F.slice(words, i, n) == F.array(*map(F.lit, said))) if n > 1 else F.get(words, i - 1) == said[0])
 
     def judged(i: Column) -> Column:
-        first = F.greatest(i - REACH, F.lit(1))
-        left = _until(F.reverse(F.slice(words, first, i - first)), STOP)
-        return _denied(left, _until(F.slice(words, i + n, REACH), STOP), F.slice(words, i + n, F.greatest(size, F.lit(1))))
+        before = lambda first: _until(F.reverse(F.slice(words, first, i - first)), STOP)
+        open_ = lambda left: (F.size(left) == REACH) & (F.array_position(left, PAUSE) == 0) & (F.size(_no_degrees(left)) < 2)
+        right, later = _until(F.slice(words, i + n, REACH), STOP), F.slice(words, i + n, F.greatest(size, F.lit(1)))
+        whole = lambda left: F.when(open_(left), before(F.lit(1))).otherwise(left)
+        return let(before(F.greatest(i - REACH, F.lit(1))), lambda near: let(whole(near), lambda left: let(right, lambda right: _denied(left, right, later))))
 
     return F.coalesce(F.exists(starts, judged), F.lit(False))

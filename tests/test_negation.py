@@ -44,3 +44,12 @@ def test_column_equals_text(spark):
         wrong = [(r["t"], r["n"]) for r in rows if r["n"] is not N.is_negated(phrase, r["t"])]
         assert not wrong, wrong[:3]
         assert 100 < sum(r["n"] for r in rows) < 1400
+
+
+def test_a_denial_stands_before_any_number_of_degrees(spark):
+    far = "not " + "very " * 30 + "loud"
+    texts = [far, "not , " + "very " * 30 + "loud", "without " + "really " * 20 + "any " + "very " * 20 + "loud", "not so " + "very " * 20 + "loud", "not . " + "very " * 30 + "loud", "loud, not " + "very " * 13 + "loud", "could have been better " + "so " * 9 + "loud", "could have been better " + "so " * 10 + "loud"]
+    expected = [True, False, True, False, False, True, True, False]
+    assert [N.is_negated("loud", t) for t in texts] == expected
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", N.negated("loud", N.token_array(F.col("t"))).alias("n"))
+    assert [r.n for r in rows.orderBy("i").collect()] == expected
