@@ -6,7 +6,7 @@ conflicts between the sides and repeats of a concept are DataFrame steps on the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -180,13 +180,30 @@ def score_label(entry: Entry, text: str | None, rating: float | None = None, quo
     return {"score": score, "coverage": coverage, "cue_hits": hits, "evidence": evidence, "rating_signal": signal if entry.concept == "overall" else 0.0, "has_support": support and score > config.support_floor}
 
 
+class Remembered:
+    """A function of single texts that remembers what it gave for the last ones, up to so many characters of them."""
+
+    def __init__(self, work: Callable, most: int = 4_000_000) -> None:
+        self.work, self.most, self.held, self.known = work, most, 0, {}
+
+    def __call__(self, *key: object) -> object:
+        found = self.known.get(key)
+        if found is None:
+            if self.held > self.most:
+                self.known, self.held = {}, 0
+            found = self.known[key] = self.work(*key)
+            self.held += 200 + sum(len(x) for x in key if isinstance(x, str))
+        return found
+
+
 SCORED = "review_id string, side string, label string, concept string, position int, score double, coverage double, cue_hits int, evidence array<string>, rating_signal double, has_support boolean, turns boolean"
 
 
 def score_tags(reviews: DataFrame, catalog: list[tuple[str, str, list[str]]], config: TagConfig = TagConfig(), concepts: dict = CONCEPTS) -> DataFrame:
     """A row for each label of the catalog that a review (review_id, review_text, rating, and quoted array<struct<label, evidence>> if it has it) says anything about.
 
-    Labels without any sign in a review give no row, so the result grows with what is said, not with the catalog. Null
+    Labels without any sign in a review give no row, so the result grows with what is said, not with the catalog. What
+    is said again, with the same stars, is not scored again while a task remembers it. Null
     and empty texts give none. position is the label's place in the catalog, turns says whether the review turns.
     """
     entries = prepare_catalog(catalog, concepts)
@@ -194,23 +211,29 @@ def score_tags(reviews: DataFrame, catalog: list[tuple[str, str, list[str]]], co
         reviews = reviews.withColumn("quoted", F.lit(None).cast("array<struct<label:string,evidence:string>>"))
     columns = [c.split()[0] for c in SCORED.split(", ")]
 
+    def signs(text: str, rating: float | None, quoted: tuple[tuple[str, str], ...]) -> list[tuple]:
+        said, words = plain(text), _words(text)
+        spans: dict[str, list[str]] = {}
+        for label, evidence in quoted:
+            spans.setdefault(label, []).append(evidence)
+        turns = any(says(t, said) for t in TURNING)
+        rows = []
+        for i, e in enumerate(entries):
+            if e.label not in spans and e.concept != "overall" and not (e.words & words) and not any(c in said for c in e.cues) and not any(p in said for p in e.opposite):
+                continue
+            r = score_label(e, text, rating, spans.get(e.label, []), config)
+            if r["score"] or r["cue_hits"] or r["coverage"]:
+                rows.append((e.side, e.label, e.concept, i, r["score"], r["coverage"], r["cue_hits"], r["evidence"], r["rating_signal"], r["has_support"], turns))
+        return rows
+
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = Remembered(signs)
         for frame in frames:
             rows = []
             for review_id, text, rating, quoted in frame.itertuples(index=False):
-                if not isinstance(text, str) or not text.strip():
-                    continue
-                said, words = plain(text), _words(text)
-                spans: dict[str, list[str]] = {}
-                for q in quoted if quoted is not None else ():
-                    spans.setdefault(q["label"], []).append(q["evidence"])
-                turns = any(says(t, said) for t in TURNING)
-                for i, e in enumerate(entries):
-                    if e.label not in spans and e.concept != "overall" and not (e.words & words) and not any(c in said for c in e.cues) and not any(p in said for p in e.opposite):
-                        continue
-                    r = score_label(e, text, rating, spans.get(e.label, []), config)
-                    if r["score"] or r["cue_hits"] or r["coverage"]:
-                        rows.append((review_id, e.side, e.label, e.concept, i, r["score"], r["coverage"], r["cue_hits"], r["evidence"], r["rating_signal"], r["has_support"], turns))
+                if isinstance(text, str) and text.strip():
+                    spans = tuple((q["label"], q["evidence"]) for q in quoted) if quoted is not None else ()
+                    rows += [(review_id, *r) for r in known(text, rating if rating == rating else None, spans)]
             yield pd.DataFrame(rows, columns=columns)
 
     return reviews.select(F.col("review_id").cast("string"), F.col("review_text").cast("string"), F.col("rating").cast("double"), "quoted").mapInPandas(score, SCORED)
@@ -230,7 +253,7 @@ def refine_tags(scored: DataFrame, selected: DataFrame, catalog_size: int, confi
     chosen = selected.select(F.col("review_id").cast("string").alias("review_id"), "side", "label").distinct().withColumn("selected", F.lit(True))
     rows = scored.join(chosen, ["review_id", "side", "label"], "full_outer").withColumns(
         {"selected": F.coalesce("selected", F.lit(False)), "score": F.coalesce("score", F.lit(0.0)), "coverage": F.coalesce("coverage", F.lit(0.0)), "has_support": F.coalesce("has_support", F.lit(False)), "evidence": F.coalesce("evidence", F.array().cast("array<string>")), "cue_hits": F.coalesce("cue_hits", F.lit(0)), "rating_signal": F.coalesce("rating_signal", F.lit(0.0)), "position": F.coalesce("position", F.lit(1 << 30))}
-    )
+    ).repartition("review_id")  # all windows below lie inside a review, so the rows move once
     some, bare = F.size("evidence") > 0, F.col("concept").isNull()
     less = lambda when, x: F.when(when, x).otherwise(0.0)
     keep_at = F.greatest(keep - less(some, 0.20) - less(F.col("coverage") >= 0.4, 0.10) + less(bare, 0.15), F.lit(0.70))

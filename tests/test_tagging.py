@@ -83,3 +83,15 @@ def test_refine_keeps_one_of_a_concept_and_at_most_ten(spark):
 @pytest.mark.parametrize("label", ["Loud", "Easy To Clean", "Overall Satisfaction", "Zebra"])
 def test_concepts(label):
     assert tagging.concept_of(label) == {"Loud": "noise", "Easy To Clean": "cleaning", "Overall Satisfaction": "overall"}.get(label)
+
+
+def test_equal_texts_are_worked_on_once_while_a_task_remembers_them():
+    from tallyvox.operators.tagging import Remembered
+
+    seen = []
+    known = Remembered(lambda text, stars: seen.append((text, stars)) or [len(text)], most=1000)
+    assert [known(t, s) for t, s in (("ab", 1.0), ("ab", 1.0), ("ab", 2.0), ("ab", None), ("ab", None))] == [[2]] * 5
+    assert seen == [("ab", 1.0), ("ab", 2.0), ("ab", None)]
+    for n in range(100):
+        known("x" * n, None)
+    assert known.held <= 1000 + 200 + 100 and len(known.known) < 10
