@@ -33,3 +33,27 @@ def test_cascade_prefers_earlier_probes(spark):
     reviews = spark.createDataFrame([("r1", " s1 ", ""), ("r2", "x", "m1"), ("r3", "", "")], "review_id string, product_id string, base_sku string")
     got = {r["review_id"]: (r["match_type"], r["mapped_brand"]) for r in products.enrich_with_catalog(reviews, catalog).collect()}
     assert got == {"r1": ("product_to_sku", "B1"), "r2": ("base_to_master", "B1"), "r3": ("unmatched", None)}
+
+
+def test_wordings_are_worked_out_by_sets_of_slots_with_the_same_labels(spark):
+    import re
+
+    from pyspark.sql import functions as F
+
+    from tallyvox.functions import labels as L
+    from tallyvox.operators import symptoms
+
+    phrases = [p for x in L.CANONICAL.values() for p in x]
+    tree, every = re.compile("(?i)" + L.phrase_tree(phrases)), re.compile("(?i)" + L.any_phrase(phrases))
+    texts = [w for p in phrases for w in (p, p[:-1], p + "s", "so " + p.upper() + "!", p.replace(" ", "  "), "x" + p)]
+    assert [bool(tree.search(t)) for t in texts] == [bool(every.search(t)) for t in texts]
+    odd = ["too  loud", "hard\tto clean", " easy to clean ", "doesn't fit", "größe", "LOUD", "a-b c", "loud\n", "", "éa b", "x  y"]
+    rows = spark.createDataFrame([(x,) for x in odd], "t string")
+    old = L.py_title(F.trim(F.regexp_replace("t", r"\s+", " ")))
+    got = rows.select("t", L.canonicalize_label("t").alias("new"), old.alias("old")).collect()
+    assert [r.new for r in got if not every.search(r.old)] == [r.old for r in got if not every.search(r.old)]
+    slots = spark.createDataFrame([(1.0, "loud", None), (1.0, "loud", ""), (None, "too loud", "quiet"), (3.0, "Loud ", "bulky"), (5.0, "overall satisfaction", None)], "rating double, a string, b string")
+    plan = symptoms._counted(slots, ["a", "b"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 2  # first by slots as they stand
+    found = {r.label: (r.mentions, r.pct_tagged, r.avg_star, round(r.weighted_mentions, 6)) for r in symptoms.symptom_table(slots, ["a", "b"]).collect()}
+    assert found == {"Loud": (4, 80.0, 5 / 3, 3.0), "Quiet": (1, 20.0, None, 0.5), "Wrong Size": (1, 20.0, 3.0, 0.5)}
