@@ -29,9 +29,9 @@ def query(name: str, sql: str):  # noqa: ANN201
     return add
 
 
-def tags(spark: SparkSession, sf: str) -> DataFrame:
-    """Tags from the slots of the reviews; those with a photo have their text as evidence of each label."""
-    rows = reviews(spark, sf).select(F.col("review_id").alias("key"), "rating", "has_photos", "review_text", symptom_array(DET_COLS).alias("dets"), symptom_array(DEL_COLS).alias("dels"))
+def tags(spark: SparkSession, sf: str, *more: str) -> DataFrame:
+    """Tags from the slots of the reviews; those with a photo have their text as evidence of each label. more: further columns of the reviews."""
+    rows = reviews(spark, sf).select(F.col("review_id").alias("key"), "rating", "has_photos", "review_text", *more, symptom_array(DET_COLS).alias("dets"), symptom_array(DEL_COLS).alias("dels"))
     proof = lambda c: F.when(F.col("has_photos"), F.map_from_entries(F.transform(c, lambda x: F.struct(x, F.array("review_text")))))
     return rows.withColumns({"ev_det": proof("dets"), "ev_del": proof("dels")})
 
@@ -79,7 +79,7 @@ def a22(spark: SparkSession, sf: str) -> DataFrame:
 @query("a23_recommendations", _TAGS + """SELECT 'remove' AS action, side, label, 0::BIGINT AS count, 'medium' AS priority FROM labels ANTI JOIN hits USING (side, label), n WHERE total >= 15 UNION ALL SELECT 'split', side, label, c, 'high' FROM hits, n WHERE c > total * 0.4
 UNION ALL SELECT 'promote', 'detractor', f, k, CASE WHEN k >= total * 0.1 THEN 'high' ELSE 'medium' END FROM (SELECT title AS f, count(*) AS k FROM reviews GROUP BY 1), n WHERE f <> '' AND k >= greatest(3, total * 0.05)""")
 def a23(spark: SparkSession, sf: str) -> DataFrame:
-    rows = tags(spark, sf).join(reviews(spark, sf).select(F.col("review_id").alias("key"), F.array("title").alias("unl_dets")), "key")
+    rows = tags(spark, sf, "title").withColumn("unl_dets", F.array("title"))
     return audit.taxonomy_recommendations(rows.withColumn("unl_dels", F.array().cast("array<string>")), labels(spark))
 
 
