@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -79,6 +81,10 @@ def plain_text(text: Column) -> Column:
     return F.array_join(F.regexp_extract_all(F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("’"), F.lit("'")), F.lit("([a-z0-9']+)"), F.lit(1)), " ")
 
 
+def _one_by_one(texts: pa.Array) -> Iterator[str | None]:
+    return (t.as_py() for t in texts)
+
+
 def labels_said(text: Column, labels: list[tuple[tuple[str, ...], tuple[str, ...]]]) -> Column:
     """An array of (label, by_phrase) for each label, by its number, that a plain text speaks of. Each distinct text of an Arrow batch is read once."""
     known = tuple(labels)
@@ -99,10 +105,10 @@ def phrases_said(text: Column, phrases: list[str]) -> Column:
     """The numbers of the phrases that a text holds anywhere, as they stand."""
     known = tuple(phrases)
 
-    @F.pandas_udf("array<int>")
-    def said(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<int>")
+    def said(texts: pa.Array) -> pa.Array:
         automaton = _automaton(known)
-        return texts.map(lambda t: sorted({i for _, at in automaton.iter(t) for i in at}) if len(automaton) else [])
+        return pa.array([sorted({i for _, at in automaton.iter(t) for i in at}) if len(automaton) and t is not None else [] for t in _one_by_one(texts)], pa.list_(pa.int32()))
 
     return said(text)
 
