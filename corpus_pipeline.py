@@ -13,13 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyvox.llm import decontaminate, near_dup, packing, quality, toxicity
-from tallyvox.llm.common import labelled_sample, shared_folder, table
+from tallyvox.llm.common import labelled_rows, labelled_sample, shared_folder, table
 from tallyvox.llm.queries import TRAIN_PER_CLASS, default_tokenizer
 
 
 def both_labels(spark: SparkSession, docs: DataFrame, sf_dir: str, label: str, modulus: int, held_out: int) -> bool:
-    """Whether the sample that a classifier would learn from has rows of both labels."""
-    found = labelled_sample(docs, table(spark, sf_dir, "labels"), label, TRAIN_PER_CLASS, modulus, held_out)  # reads ids only
+    """Whether the rows that a classifier may learn from are of both labels."""
+    found = labelled_rows(docs, table(spark, sf_dir, "labels"), label, modulus, held_out)  # reads ids only
     return found.agg(F.countDistinct("y")).first()[0] == 2
 
 
@@ -27,7 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is 0.7 or more go. Without labels of both kinds nothing can be told, and all stay."""
     if not both_labels(spark, docs, sf_dir, "toxic", 3, 1):
         return docs
-    model = toxicity.fit(labelled_sample(docs, table(spark, sf_dir, "labels"), "toxic", TRAIN_PER_CLASS, 3, 1))
+    model = toxicity.fit(labelled_rows(docs, table(spark, sf_dir, "labels"), "toxic", 3, 1))
     return toxicity.score(docs, model).where("predicted = 0").select(docs.columns)
 
 

@@ -7,20 +7,20 @@ least cost under the channel and a character trigram model, and a linear model s
 
 from __future__ import annotations
 
-import json
 import math
 import os
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, text_list
+from .common import cut, small, text_list
 
 #: Letters that a digit or sign may stand for.
 STANDS_FOR = {
@@ -30,6 +30,12 @@ STANDS_FOR = {
 COST_SUBSTITUTE, COST_DROP, COST_COLLAPSE, UNKNOWN = 1.0, 0.7, 0.5, 9.0
 #: After so many steps the start that all paths share is put aside, so that a long token's cost grows with its length only.
 FLUSH = 64
+#: A feature is in so many texts of label 1 at least, and its log odds are over this.
+MIN_DOCS, LEAST_ODDS = 3, 1.2
+#: Half of this times a squared weight is added to the loss, which keeps weights of features that tell labels apart without fail finite.
+PRIOR = 0.1
+#: Names that a task tallies before it hands them on.
+HELD = 200_000
 _SPACED_OUT = re.compile(r"(?<!\S)\S(?:[^\S\n]+\S){2,}(?!\S)")
 _LONG_RUN = re.compile(r"(.)\1\1")
 _REPEATED = re.compile(r"(.)\1")
@@ -199,45 +205,144 @@ class Restorer:
         return out
 
 
-def train(texts: list[str | None], labels: list[int], min_docs: int = 3, epochs: int = 60, seed: int = 7) -> dict:
-    """Learn the character model, the features and their weights from labelled texts. Without both labels the score is a constant."""
-    grams = CharModel.count({w for t in texts for w in (t or "").lower().split() if w.isalpha()})
+def _words(text: str | None) -> set[str]:
+    return {w for w in (text or "").lower().split() if w.isalpha()}
+
+
+def _odds(n1: int, n0: int, toxic: int, other: int) -> float:
+    """How much likelier a feature is in texts of label 1 (n1 of toxic) than of label 0 (n0 of other), as a logarithm."""
+    return math.log((n1 + 0.3) / (max(1, toxic) + 0.6)) - math.log((n0 + 0.3) / (max(1, other) + 0.6))
+
+
+def _constant(toxic: int, other: int) -> float:
+    """The margin of every text where there is nothing to tell texts apart by."""
+    rate = min(max(toxic / (toxic + other), 0.01), 0.99) if toxic + other else 0.5
+    return math.log(rate / (1 - rate))
+
+
+def _model(grams: dict[str, int], chosen: list[str], weights: Iterable[float], bias: float) -> dict:
+    return {"grams": grams, "weights": {f: round(float(w), 5) for f, w in zip(chosen, weights, strict=True) if abs(w) > 1e-4}, "bias": float(bias)}
+
+
+def _least_loss(rows: list[np.ndarray], y: np.ndarray, k: int) -> np.ndarray:
+    """k weights and a bias of least logistic loss, plus PRIOR / 2 for each squared weight: Newton steps found by conjugate gradients."""
+    at, owner = np.concatenate([*rows, np.zeros(0, int)]).astype(int), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    margin = lambda w: w[k] + np.bincount(owner, w[at], len(rows))
+    back = lambda e, w: np.append(np.bincount(at, e[owner], k) + PRIOR * w[:k], e.sum())
+    loss = lambda w: np.logaddexp(0, z := margin(w)).sum() - y @ z + PRIOR / 2 * w[:k] @ w[:k]
+    w = np.zeros(k + 1)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(margin(w), -500, 500)))
+        grad = back(p - y, w)
+        if np.abs(grad).max() < 1e-7:
+            break
+        step, left = np.zeros(k + 1), grad.copy()
+        along, size = left.copy(), left @ left
+        for _ in range(2 * (k + 1)):
+            bent = back(p * (1 - p) * margin(along), along)
+            far = size / (along @ bent)
+            step, left = step + far * along, left - far * bent
+            before, size = size, left @ left
+            if size < 1e-20 * (grad @ grad):
+                break
+            along = left + size / before * along
+        now, share = loss(w), 1.0
+        while share > 1e-6 and loss(w - share * step) > now:
+            share /= 2
+        w = w - share * step
+    return w
+
+
+def train(texts: list[str | None], labels: list[int], min_docs: int = MIN_DOCS) -> dict:
+    """Learn the character model, the features and their weights from labelled texts that fit into one process; fit() does the same by Spark jobs. Without both labels the score is a constant."""
+    grams = CharModel.count({w for t in texts for w in _words(t)})
     restorer = Restorer(CharModel(grams))
-    y = np.asarray(labels, float)
-    rate = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.5
     df1, df0 = Counter(), Counter()
     for t, label in zip(texts, labels, strict=True):
         (df1 if label else df0).update(restorer(t))
-    n1, n0 = max(1, int(y.sum())), max(1, int(len(y) - y.sum()))
-    odds = {f: math.log((df1[f] + 0.3) / (n1 + 0.6)) - math.log((df0[f] + 0.3) / (n0 + 0.6)) for f in df1 if df1[f] >= min_docs}
-    chosen = sorted((f for f, v in odds.items() if v > 1.2), key=lambda f: (-odds[f], f))
+    toxic, other = sum(map(bool, labels)), len(labels) - sum(map(bool, labels))
+    chosen = sorted(f for f in df1 if df1[f] >= min_docs and _odds(df1[f], df0[f], toxic, other) > LEAST_ODDS) if toxic and other else []
+    if not chosen:
+        return _model(grams, [], [], _constant(toxic, other))
     at = {f: i for i, f in enumerate(chosen)}
     restorer = Restorer(restorer.model, at)
-    rows = [np.sort(np.fromiter((at[f] for f in restorer(t)), int)) for t in texts]
-    w, b, rng = np.zeros(len(chosen)), math.log(rate / (1 - rate)), np.random.default_rng(seed)
-    for i, f in enumerate(chosen):
-        w[i] = 0.25 * odds[f]
-    order = np.arange(len(rows))
-    for epoch in range(epochs):
-        rng.shuffle(order)
-        step = 0.5 / (1 + 0.1 * epoch)
-        for i in order:
-            err = y[i] - 1 / (1 + math.exp(-max(-30.0, min(30.0, b + w[rows[i]].sum()))))
-            w[rows[i]] += step * err
-            b += 0.1 * step * err
-        w *= 1 - 0.002 * step
-    return {"grams": grams, "weights": {f: round(float(w[i]), 5) for f, i in at.items() if abs(w[i]) > 1e-4}, "bias": float(b)}
-
-
-def fit(sample: DataFrame) -> dict:
-    """Train on a bounded sample (doc_id, text, y) in one task (see common.labelled_sample); the driver gets the model only."""
-
-    def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = pd.concat([pd.DataFrame({"doc_id": [], "text": [], "y": []}), *batches]).sort_values(["doc_id", "y"])
-        yield pd.DataFrame({"model": [json.dumps(train([t if isinstance(t, str) else None for t in held["text"]], [int(v) for v in held["y"]]))]})
-
-    found = sample.repartition(1).mapInPandas(one, "model string").collect()
-    return json.loads(found[0]["model"])
+    w = _least_loss([np.sort(np.fromiter((at[f] for f in restorer(t)), int)) for t in texts], np.asarray(labels, float), len(chosen))
+    return _model(grams, chosen, w[:-1], w[-1])
+
+
+def _tallied(rows: DataFrame, entries: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[str, int, int]]]) -> DataFrame:
+    """(name, n1, n0) summed over what entries gives for the batches of a task, which holds at most HELD names."""
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[int]] = {}
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(held, pa.string()), *(pa.array([n[i] for n in held.values()], pa.int64()) for i in (0, 1))], ["name", "n1", "n0"])
+        for name, n1, n0 in entries(batches):
+            if (n := held.get(name)) is None:
+                if len(held) >= HELD:
+                    yield out()
+                    held.clear()
+                held[name] = [n1, n0]
+            else:
+                n[0] += n1
+                n[1] += n0
+        if held:
+            yield out()
+
+    return rows.mapInArrow(tally, "name string, n1 long, n0 long").groupBy("name").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+
+
+def fit(rows: DataFrame, min_docs: int = MIN_DOCS) -> dict:
+    """Learn from all rows (text, y), y 0 or 1, what train() learns from a list: counts of trigrams and features by Spark, weights by its logistic regression.
+
+    The rows are written to the checkpoint folder, as three passes read them. The driver gets the model only.
+    """
+    rows = cut(rows.select("text", "y"))
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int]]:
+        for batch in small(batches):
+            for text in text_list(batch):
+                yield from ((w, 1, 0) for w in _words(text))
+
+    def trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int]]:
+        for batch in small(batches):
+            for word in text_list(batch, "name"):
+                yield from ((gram, n, 0) for gram, n in CharModel.count([word]).items())
+
+    grams = {r["name"]: r["n1"] for r in _tallied(_tallied(rows, words).select("name"), trigrams).collect()}
+    count = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    toxic, other = count.get(1, 0), count.get(0, 0)
+    if not (toxic and other):
+        return _model(grams, [], [], _constant(toxic, other))
+    spark = rows.sparkSession
+    plain = spark.sparkContext.broadcast(grams)
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int]]:
+        restorer = Restorer(CharModel(plain.value))
+        for batch in small(batches):
+            for text, y in zip(text_list(batch), text_list(batch, "y"), strict=True):
+                yield from ((f, y, 1 - y) for f in restorer(text))
+
+    often = _tallied(rows, found).where(F.col("n1") >= min_docs)
+    likelier = F.log((F.col("n1") + 0.3) / (toxic + 0.6)) - F.log((F.col("n0") + 0.3) / (other + 0.6))
+    chosen = sorted(r["name"] for r in often.where(likelier > LEAST_ODDS - 1e-6).collect() if _odds(r["n1"], r["n0"], toxic, other) > LEAST_ODDS)
+    if not chosen:
+        return _model(grams, [], [], _constant(toxic, other))
+    features = spark.sparkContext.broadcast({f: i for i, f in enumerate(chosen)})
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = features.value
+        restorer = Restorer(CharModel(plain.value), at)
+        for batch in small(batches):
+            ids = [sorted(at[f] for f in restorer(text)) for text in text_list(batch)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32())), batch.column("y")], ["ids", "y"])
+
+    k = len(chosen)
+    vector = F.udf(lambda ids: Vectors.sparse(k, ids, [1.0] * len(ids)), VectorUDT())
+    alike = rows.select("text", "y").mapInArrow(numbered, "ids array<int>, y int").groupBy("ids", "y").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    alike = cut(alike)  # the regression asks for its rows several times
+    points = alike.select(vector("ids").alias("features"), F.col("y").cast("double").alias("label"), "n")
+    learned = LogisticRegression(regParam=PRIOR / (toxic + other), standardization=False, weightCol="n", tol=1e-10, maxIter=300).fit(points)
+    return _model(grams, chosen, learned.coefficients.toArray(), learned.intercept)
 
 
 def score(docs: DataFrame, model: dict, text_col: str = "text", threshold: float = 0.7) -> DataFrame:

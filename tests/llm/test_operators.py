@@ -521,3 +521,22 @@ def test_toxicity_filter_loses_no_feature():
         w = "".join(rng.choice(list(swaps[c])) if c in swaps and rng.random() < 0.3 else c * int(rng.integers(1, 4)) if rng.random() < 0.3 else c for c in rng.choice(words))
         w = "".join(rng.choice(list("(.!'\"$*")) for _ in range(rng.integers(0, 3))) + w + "".join(rng.choice(list(").!,$+*")) for _ in range(rng.integers(0, 3)))
         assert set(some(w)) == set(every(w)) & set(weights), w
+
+
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    """More rows of a class than the sample once had: all are learned from, and by the same rule as train()."""
+    from tallyvox.llm.common import labelled_rows
+
+    words = ["river", "bread", "house", "road", "weather", "stone"]
+    said = [f"{words[i % 6]} {words[i % 5]} my {'idiot' if i % 3 == 0 else 'friend'}" + (" zounds" if i in (6390, 6393, 6396, 6399) else "") for i in range(6400)]
+    toxic = [int(i % 3 == 0 or i % 97 == 0) for i in range(6400)]
+    docs = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+    rows = labelled_rows(docs, labels, "toxic", 3, 7)
+    assert rows.count() == 6400
+    monkeypatch.setattr(toxicity, "HELD", 5)
+    got, plain = toxicity.fit(rows), toxicity.train(said, toxic)
+    assert got["grams"] == plain["grams"] and "zounds" in got["weights"]
+    assert got["weights"].keys() == plain["weights"].keys() and abs(got["bias"] - plain["bias"]) < 1e-3
+    assert all(abs(got["weights"][f] - v) < 1e-3 for f, v in plain["weights"].items())
+    assert toxicity.fit(rows.where("y = 1"))["weights"] == {} == toxicity.fit(rows.limit(0))["weights"]
