@@ -1,4 +1,7 @@
-"""Reports on tag results: (key, dets, dels, ev_det, ev_del), labels of either side and the evidence texts of each label."""
+"""Reports on tag results: (key, dets, dels, ev_det, ev_del), labels of either side and the evidence texts of each label.
+
+Reports that only count reviews also take rows that stand for several of them, with their number in a column n.
+"""
 
 from __future__ import annotations
 
@@ -20,17 +23,32 @@ def _list(c: str) -> Column:
     return F.coalesce(F.col(c), F.array().cast("array<string>"))
 
 
+def _reviews(tags: DataFrame) -> Column:
+    """How many reviews a row stands for."""
+    return F.col("n") if "n" in tags.columns else F.lit(1)
+
+
+def _total(n: Column) -> Column:
+    return F.coalesce(F.sum(n), F.lit(0))
+
+
 def sides_long(tags: DataFrame) -> DataFrame:
-    """(side, label): a row for each label of each review, and rows of side both for the review itself and for one without labels."""
+    """(side, label), and n if tags has it: a row for each label of each review, and rows of side both for the review itself and for one without labels."""
     side = lambda c, name: F.transform(_list(c), lambda x: F.struct(F.lit(name).alias("side"), x.alias("label")))
     own = lambda label: F.struct(F.lit("both").alias("side"), F.lit(label).alias("label"))
     none = F.size(_list("dets")) + F.size(_list("dels")) == 0
     rows = F.concat(F.array(own(ALL)), F.filter(F.array(own(UNTAGGED)), lambda _: none), side("dets", "detractor"), side("dels", "delighter"))
-    return tags.select(F.inline(rows))
+    return tags.select(*[c for c in ("n",) if c in tags.columns], F.inline(rows))
 
 
 def _counts(tags: DataFrame) -> DataFrame:
-    return sides_long(tags).groupBy("side", "label").agg(F.count(F.lit(1)).alias("n"))
+    rows = sides_long(tags)
+    return rows.groupBy("side", "label").agg(F.sum(_reviews(rows)).alias("n"))
+
+
+def label_counts(tags: DataFrame) -> DataFrame:
+    """(side, label, n): how many reviews have each label, without a look at their evidence."""
+    return _counts(tags).where("side != 'both'")
 
 
 def tag_long(tags: DataFrame) -> DataFrame:
@@ -41,8 +59,10 @@ def tag_long(tags: DataFrame) -> DataFrame:
 
 def tag_distribution(tags: DataFrame, min_occurrences: int = 2) -> DataFrame:
     """side, label, mentions, pct of all reviews, and whether a label is single, dominant (over half the reviews) or at times without evidence."""
-    total = tags.agg(F.count(F.lit(1)).alias("total"))
-    by = tag_long(tags).groupBy("side", "label").agg(F.count(F.lit(1)).alias("mentions"), F.count(F.when(F.col("evidence").isNull(), 1)).alias("without_evidence"))
+    total = tags.agg(_total(_reviews(tags)).alias("total"))
+    side = lambda c, ev, name: F.transform(_list(c), lambda x: F.struct(F.lit(name).alias("side"), x.alias("label"), F.try_element_at(F.col(ev), x).isNull().alias("bare")))
+    long = tags.select(_reviews(tags).alias("n"), F.inline(F.concat(side("dets", "ev_det", "detractor"), side("dels", "ev_del", "delighter"))))
+    by = long.groupBy("side", "label").agg(F.sum("n").alias("mentions"), _total(F.when(F.col("bare"), F.col("n"))).alias("without_evidence"))
     out = by.crossJoin(F.broadcast(total))  # one row
     return out.select("side", "label", "mentions", "without_evidence", F.bround(F.col("mentions") / F.col("total") * 100, 1).alias("pct"), (F.col("mentions") < min_occurrences).alias("singleton"), (F.col("mentions") > F.col("total") * 0.5).alias("dominant"))
 
@@ -80,9 +100,10 @@ def label_alerts(tags: DataFrame, catalog: DataFrame, min_reviews: int = 15) ->
 
 def calibration_report(tags: DataFrame, catalog: DataFrame) -> DataFrame:
     """One row: reviews, hit rate, tags for each review, and how many labels of the catalog are unused, with a recommendation."""
-    n = F.size(_list("dets")) + F.size(_list("dels"))
-    facts = tags.agg(F.count(F.lit(1)).alias("reviews"), F.coalesce(F.avg(F.when(n > 0, 1.0).otherwise(0.0)), F.lit(0.0)).alias("hit_rate"), F.coalesce(F.avg(n), F.lit(0.0)).alias("avg_tags"))
-    unused = catalog.select("label", "side").distinct().join(tag_long(tags).select("label", "side").distinct(), ["label", "side"], "left_anti").agg(F.count(F.lit(1)).alias("unused_labels"))
+    size, n = F.size(_list("dets")) + F.size(_list("dels")), _reviews(tags)
+    mean = lambda value: F.coalesce(F.try_divide(F.sum(value * n), F.sum(n)), F.lit(0.0))
+    facts = tags.agg(_total(n).alias("reviews"), mean((size > 0).cast("int")).alias("hit_rate"), mean(size).alias("avg_tags"))
+    unused = catalog.select("label", "side").distinct().join(label_counts(tags), ["label", "side"], "left_anti").agg(F.count(F.lit(1)).alias("unused_labels"))
     advice = F.when((F.col("hit_rate") >= 0.6) & (F.col("avg_tags") >= 1.5), "ready").when(F.col("hit_rate") >= 0.3, "needs_tuning").otherwise("review_taxonomy")
     return facts.crossJoin(unused).withColumn("recommendation", advice)  # one row each
 
@@ -172,9 +193,9 @@ def reuse_tags(reviews: DataFrame, cache: DataFrame, catalog_hash: str, model: s
     return known, open_
 
 
-def flag_for_verification(tags: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Tags with needs_verification: long texts without labels, two labels with thin evidence (under three words), extreme stars with the other side only, or many labels on a short text."""
-    both = tags.join(reviews.select("key", "rating", "review_text"), "key", "left")
+def flag_for_verification(tags: DataFrame, reviews: DataFrame | None = None) -> DataFrame:
+    """Tags, with rating and review_text or with reviews (key, rating, review_text) to take them from, with needs_verification: long texts without labels, two labels with thin evidence (under three words), extreme stars with the other side only, or many labels on a short text."""
+    both = tags if reviews is None else tags.join(reviews.select("key", "rating", "review_text"), "key", "left")
     dets, dels = F.size(_list("dets")), F.size(_list("dels"))
     text = F.trim(F.regexp_replace(F.coalesce("review_text", F.lit("")), r"\s+", " "))
     words = F.when(text == "", 0).otherwise(F.size(F.split(text, " ")))
@@ -188,13 +209,13 @@ def flag_for_verification(tags: DataFrame, reviews: DataFrame) -> DataFrame:
 
 def taxonomy_recommendations(tags: DataFrame, catalog: DataFrame) -> DataFrame:
     """action, side, label, count and priority: labels of the catalog without hits (15 reviews at least) go, those on over 40 % are split, labels that share their stems are merged (keep / merge), and unlisted labels (unl_dets, unl_dels) on 5 % and three reviews are promoted. None under five reviews."""
-    total = tags.agg(F.count(F.lit(1)).alias("total")).where("total >= 5")
-    hits = tag_long(tags).groupBy("side", "label").agg(F.count(F.lit(1)).alias("count"))
+    total = tags.agg(_total(_reviews(tags)).alias("total")).where("total >= 5")
+    hits = label_counts(tags).withColumnRenamed("n", "count")
     known = catalog.select("side", "label").distinct().join(hits, ["side", "label"], "left").fillna(0, ["count"])
     gone = known.where("count = 0").crossJoin(F.broadcast(total)).where("total >= 15").select(F.lit("remove").alias("action"), "side", "label", "count", F.lit("medium").alias("priority"))  # one row of totals
     wide = hits.crossJoin(F.broadcast(total)).where("count > total * 0.4").select(F.lit("split").alias("action"), "side", "label", "count", F.lit("high").alias("priority"))
     side = lambda c, name: F.transform(_list(c), lambda x: F.struct(F.lit(name).alias("side"), x.alias("label")))
-    new = tags.select(F.inline(F.concat(side("unl_dets", "detractor"), side("unl_dels", "delighter")))).groupBy("side", "label").agg(F.count(F.lit(1)).alias("count"))
+    new = tags.select(_reviews(tags).alias("n"), F.inline(F.concat(side("unl_dets", "detractor"), side("unl_dels", "delighter")))).groupBy("side", "label").agg(F.sum("n").alias("count"))
     up = new.crossJoin(F.broadcast(total)).where("count >= greatest(3, total * 0.05)").select(F.lit("promote").alias("action"), "side", "label", "count", F.when(F.col("count") >= F.col("total") * 0.1, "high").otherwise("medium").alias("priority"))
     order = lambda c, names: F.array_position(F.array(*map(F.lit, names)), F.col(c))
     same = similar_labels(known.where("count > 0")).select(F.lit("merge").alias("action"), "side", F.concat_ws(" / ", "keep", "merge").alias("label"), F.col("merge_count").alias("count"), F.lit("medium").alias("priority"))

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evidence
-from ..operators.audit import tag_long
+from ..operators.audit import label_counts
 from .catalog import _M, _R, _T, Query, six
 from .catalog import ORACLE_SQL as CATALOG_SQL
-from .reports import _TAGS, labels, tags
+from .reports import _TAGS, counted_tags, labels
 from .reviews import DEL_COLS, DET_COLS, mentions, review_texts, reviews
 
 QUERIES: dict[str, Query] = {}
@@ -65,7 +65,7 @@ def a30c(spark: SparkSession, sf: str) -> DataFrame:
 @query("x17_prune_catalog", _TAGS + """, k AS (SELECT concat_ws('/', side, label) AS label, row_number() OVER (ORDER BY concat_ws('/', side, label)) AS position, coalesce(c, 0) AS n FROM labels LEFT JOIN hits USING (label, side)), f AS (SELECT *, round_even(sum(n) OVER () / count(*) OVER (), 0) >= 30 AS known FROM k),
 r AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN known THEN -n END, position) AS place FROM f) SELECT label, n, place, CASE WHEN place <= 6 AND (NOT known OR n > 0) THEN 'primary' ELSE 'extended' END AS tier FROM r""")
 def x17(spark: SparkSession, sf: str) -> DataFrame:
-    counts = tag_long(tags(spark, sf)).groupBy("label", "side").agg(F.count(F.lit(1)).alias("n"))
+    counts = label_counts(counted_tags(spark, sf))
     named = lambda df: df.withColumn("label", F.concat_ws("/", "side", "label"))
     catalog = named(labels(spark)).selectExpr("label", "row_number() OVER (ORDER BY label) AS position")
     return evidence.prune_catalog(catalog, named(counts), max_labels=6)

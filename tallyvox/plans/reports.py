@@ -36,6 +36,15 @@ def tags(spark: SparkSession, sf: str, *more: str) -> DataFrame:
     return rows.withColumns({"ev_det": proof("dets"), "ev_del": proof("dels")})
 
 
+def counted_tags(spark: SparkSession, sf: str, *more: str) -> DataFrame:
+    """Tags for reports that only count reviews: a row for all reviews (n of them) whose slots, photo and columns of more say the same, so that wordings are worked out once for each such row. A photo counts as evidence of each label, whatever the text."""
+    by = [*DET_COLS, *DEL_COLS, "has_photos", *more]
+    rows = reviews(spark, sf).groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.select("has_photos", *more, "n", symptom_array(DET_COLS).alias("dets"), symptom_array(DEL_COLS).alias("dels"))
+    proof = lambda c: F.when(F.col("has_photos"), F.map_from_entries(F.transform(c, lambda x: F.struct(x, F.array().cast("array<string>")))))
+    return rows.withColumns({"ev_det": proof("dets"), "ev_del": proof("dels")})
+
+
 def labels(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(x, "detractor") for x in _DETS] + [(x, "delighter") for x in _DELS], "label string, side string")
 
@@ -54,7 +63,7 @@ def a20(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("a21_tag_distribution", _TAGS + "SELECT side, label, count(*) AS mentions, count(*) FILTER (NOT has_photos) AS without_evidence, round_even(count(*) / total * 100, 1) AS pct, count(*) < 2 AS singleton, count(*) > total * 0.5 AS dominant FROM tl, n GROUP BY side, label, total")
 def a21(spark: SparkSession, sf: str) -> DataFrame:
-    return audit.tag_distribution(tags(spark, sf))
+    return audit.tag_distribution(counted_tags(spark, sf))
 
 
 @query("a21_polarity", _TAGS + ", q AS (SELECT key, rating, CASE WHEN key LIKE '%2' THEN [] ELSE dets END AS dets, CASE WHEN key LIKE '%1' THEN [] ELSE dels END AS dels FROM tags), p AS (SELECT key, rating, CASE WHEN rating >= 5 AND len(dets) > 0 AND len(dels) = 0 THEN '5star_only_detractors' WHEN rating <= 2 AND len(dels) > 0 AND len(dets) = 0 THEN 'low_star_only_delighters' END AS issue FROM q) SELECT * FROM p WHERE issue IS NOT NULL")
@@ -73,20 +82,20 @@ def a21c(spark: SparkSession, sf: str) -> DataFrame:
 @query("a22_label_alerts", _TAGS + """SELECT label, side, issue, pct, count FROM (SELECT label, side, CASE WHEN coalesce(c, 0) / total > 0.45 THEN 'too_broad' WHEN coalesce(c, 0) = 0 AND total >= 20 THEN 'zero_hits' END AS issue, round_even(coalesce(c, 0) / total * 100, 1) AS pct, coalesce(c, 0) AS count FROM labels LEFT JOIN hits USING (label, side), n WHERE total >= 15) WHERE issue IS NOT NULL
 UNION ALL SELECT '(overall)', 'both', 'high_zero_rate', round_even(u / total * 100, 1), u FROM (SELECT count(*) FILTER (len(dets) + len(dels) = 0) AS u, count(*) AS total FROM tags) WHERE total >= 15 AND u / total > 0.5""")
 def a22(spark: SparkSession, sf: str) -> DataFrame:
-    return audit.label_alerts(tags(spark, sf), labels(spark))
+    return audit.label_alerts(counted_tags(spark, sf), labels(spark))
 
 
 @query("a23_recommendations", _TAGS + """SELECT 'remove' AS action, side, label, 0::BIGINT AS count, 'medium' AS priority FROM labels ANTI JOIN hits USING (side, label), n WHERE total >= 15 UNION ALL SELECT 'split', side, label, c, 'high' FROM hits, n WHERE c > total * 0.4
 UNION ALL SELECT 'promote', 'detractor', f, k, CASE WHEN k >= total * 0.1 THEN 'high' ELSE 'medium' END FROM (SELECT title AS f, count(*) AS k FROM reviews GROUP BY 1), n WHERE f <> '' AND k >= greatest(3, total * 0.05)""")
 def a23(spark: SparkSession, sf: str) -> DataFrame:
-    rows = tags(spark, sf, "title").withColumn("unl_dets", F.array("title"))
+    rows = counted_tags(spark, sf, "title").withColumn("unl_dets", F.array("title"))
     return audit.taxonomy_recommendations(rows.withColumn("unl_dels", F.array().cast("array<string>")), labels(spark))
 
 
 @query("a25_calibration", _TAGS + """SELECT *, CASE WHEN hit_rate >= 0.6 AND avg_tags >= 1.5 THEN 'ready' WHEN hit_rate >= 0.3 THEN 'needs_tuning' ELSE 'review_taxonomy' END AS recommendation FROM
 (SELECT count(*) AS reviews, round(avg((len(dets) + len(dels) > 0)::INT), 6) AS hit_rate, round(avg(len(dets) + len(dels)), 6) AS avg_tags FROM tags), (SELECT count(*) AS unused_labels FROM labels ANTI JOIN hits USING (label, side))""")
 def a25(spark: SparkSession, sf: str) -> DataFrame:
-    return audit.calibration_report(tags(spark, sf), labels(spark))
+    return audit.calibration_report(counted_tags(spark, sf), labels(spark))
 
 
 @query("a31_candidates", _TAGS + """, u AS (SELECT DISTINCT key, side, label FROM tl), k AS (SELECT label, side, count(*) AS count FROM u GROUP BY 1, 2)
@@ -98,8 +107,7 @@ def a31(spark: SparkSession, sf: str) -> DataFrame:
 @query("x12_verification", _TAGS + """, w AS (SELECT t.*, len(string_split_regex(trim(review_text), '\\s+')) AS words FROM tags t JOIN reviews r ON r.review_id = t.key)
 SELECT key, ((len(dets) + len(dels) = 0 AND words > 50) OR (NOT has_photos AND len(dets) + len(dels) >= 2) OR coalesce((rating >= 4.8 AND len(dets) > 0 AND len(dels) = 0) OR (rating <= 1.2 AND len(dels) > 0 AND len(dets) = 0), false)) AS needs_verification FROM w""")
 def x12(spark: SparkSession, sf: str) -> DataFrame:
-    rows = tags(spark, sf)
-    return audit.flag_for_verification(rows.drop("rating", "review_text"), rows).select("key", "needs_verification")
+    return audit.flag_for_verification(tags(spark, sf)).select("key", "needs_verification")
 
 
 @query("x18_batches", "SELECT doc_id::VARCHAR AS review_id, greatest(ceil(length(coalesce(text, '')) / 3.5), 1)::BIGINT AS tokens, CASE WHEN length(text) > 600 THEN 'long' ELSE 'short' END AS route, least(greatest(floor(4000 / greatest(ceil(length(coalesce(text, '')) / 3.5), 1)), 2), 10)::BIGINT AS batch_size FROM documents")

@@ -65,3 +65,16 @@ def test_reports_on_edge_rows(spark):
     assert {r["key"]: r["needs_verification"] for r in audit.flag_for_verification(rows, stars).collect()} == {"1": False, "2": True}
     empty = rows.limit(0)
     assert audit.tag_distribution(empty).count() == 0 and audit.label_alerts(empty, stars.select(F.col("key").alias("label"), F.lit("detractor").alias("side"))).count() == 0
+
+
+def test_counts_of_reviews_that_say_the_same(spark):
+    """Reports over rows that stand for several reviews give what they give over the reviews themselves."""
+    kinds = [(3, ["Loud"], [], {"Loud": ["a b c"]}, {}), (2, ["Loud", "Bulky"], ["Quiet"], None, None), (1, [], [], {}, {}), (30, [], ["Quiet"], None, {"Quiet": ["x"]})]
+    shape = "n int, dets array<string>, dels array<string>, ev_det map<string,array<string>>, ev_del map<string,array<string>>"
+    few = spark.createDataFrame(kinds, shape)
+    each = spark.createDataFrame([k for k in kinds for _ in range(k[0])], shape).drop("n").withColumn("key", F.monotonically_increasing_id().cast("string"))
+    catalog = spark.createDataFrame([("Loud", "detractor"), ("Quiet", "delighter"), ("Never", "delighter")], "label string, side string")
+    unlisted = lambda df: df.withColumns({"unl_dets": F.array(F.lit("odd")), "unl_dels": F.array().cast("array<string>")})
+    for report in (audit.tag_distribution, audit.label_counts, lambda t: audit.label_alerts(t, catalog), lambda t: audit.calibration_report(t, catalog), lambda t: audit.taxonomy_recommendations(unlisted(t), catalog)):
+        got, want = (sorted(tuple(r) for r in report(t).collect()) for t in (few, each))
+        assert got == want and got
