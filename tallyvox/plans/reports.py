@@ -76,7 +76,8 @@ def a21b(spark: SparkSession, sf: str) -> DataFrame:
 @query("a21_shared_evidence", _R.rstrip() + f""", e AS (SELECT DISTINCT substring(lower(trim(review_text)), 1, 60) AS evidence, unnest(list_concat({_ARR('det')}, {_ARR('del')})) AS label FROM reviews WHERE has_photos)
 SELECT evidence, count(*)::INT AS labels FROM e WHERE length(evidence) >= 10 GROUP BY 1 HAVING count(*) >= 3""")
 def a21c(spark: SparkSession, sf: str) -> DataFrame:
-    return audit.shared_evidence(tags(spark, sf)).withColumn("labels", F.size("labels"))
+    """Reviews without a photo have no evidence, so their labels need not be worked out."""
+    return audit.shared_evidence(tags(spark, sf).where("has_photos")).withColumn("labels", F.size("labels"))
 
 
 @query("a22_label_alerts", _TAGS + """SELECT label, side, issue, pct, count FROM (SELECT label, side, CASE WHEN coalesce(c, 0) / total > 0.45 THEN 'too_broad' WHEN coalesce(c, 0) = 0 AND total >= 20 THEN 'zero_hits' END AS issue, round_even(coalesce(c, 0) / total * 100, 1) AS pct, coalesce(c, 0) AS count FROM labels LEFT JOIN hits USING (label, side), n WHERE total >= 15) WHERE issue IS NOT NULL
