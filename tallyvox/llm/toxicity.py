@@ -33,7 +33,7 @@ FLUSH = 64
 #: A feature is in so many texts of label 1 at least, and its log odds are over this.
 MIN_DOCS, LEAST_ODDS = 3, 1.2
 #: Half of this times a squared weight is added to the loss, which keeps weights of features that tell labels apart without fail finite.
-PRIOR = 0.1
+PRIOR = 0.01
 #: Names that a task tallies before it hands them on.
 HELD = 200_000
 _SPACED_OUT = re.compile(r"(?<!\S)\S(?:[^\S\n]+\S){2,}(?!\S)")
