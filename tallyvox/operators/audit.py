@@ -57,6 +57,12 @@ def tag_long(tags: DataFrame) -> DataFrame:
     return tags.select("key", F.inline(F.concat(side("dets", "ev_det", "detractor"), side("dels", "ev_del", "delighter"))))
 
 
+def key_labels(tags: DataFrame) -> DataFrame:
+    """(key, side, label) for each label of each review, without a look at their evidence."""
+    side = lambda c, name: F.transform(_list(c), lambda x: F.struct(F.lit(name).alias("side"), x.alias("label")))
+    return tags.select("key", F.inline(F.concat(side("dets", "detractor"), side("dels", "delighter"))))
+
+
 def tag_distribution(tags: DataFrame, min_occurrences: int = 2) -> DataFrame:
     """side, label, mentions, pct of all reviews, and whether a label is single, dominant (over half the reviews) or at times without evidence."""
     total = tags.agg(_total(_reviews(tags)).alias("total"))
@@ -108,12 +114,14 @@ def calibration_report(tags: DataFrame, catalog: DataFrame) -> DataFrame:
     return facts.crossJoin(unused).withColumn("recommendation", advice)  # one row each
 
 
-def candidate_labels(unlisted: DataFrame, refs: int = 50) -> DataFrame:
+def candidate_labels(unlisted: DataFrame, refs: int = 50, parts: int | None = None) -> DataFrame:
     """Unlisted labels (key, side, label) by side: count, the count on the other side, and up to refs review keys, the smallest; most frequent first.
 
     Keys are ranked inside each label by a window, so that a frequent label never gathers all its keys in one row.
+    Equal rows meet in one task, which holds all rows of its keys: parts deals the keys to so many tasks where the session's number is too small for them.
     """
-    rows = unlisted.select("key", "side", F.initcap(F.trim(F.regexp_replace("label", r"\s+", " "))).alias("label")).where("label != ''").distinct()
+    rows = unlisted.select("key", "side", F.initcap(F.trim(F.regexp_replace("label", r"\s+", " "))).alias("label")).where("label != ''")
+    rows = (rows if parts is None else rows.repartition(parts, "key")).distinct()
     by = rows.groupBy("label").agg(*[F.count(F.when(F.col("side") == s, 1)).alias(s) for s in ("detractor", "delighter")])
     long = by.select("label", F.inline(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("count"), F.col(o).alias("other_side")) for s, o in (("detractor", "delighter"), ("delighter", "detractor"))]))).where("count > 0")
     few = rows.withColumn("_n", F.row_number().over(Window.partitionBy("side", "label").orderBy("key"))).where(F.col("_n") <= refs).groupBy("side", "label").agg(F.array_sort(F.collect_list("key")).alias("keys"))

@@ -12,7 +12,7 @@ from ..operators import audit
 from ..operators.symptoms import symptom_array
 from ..streaming import streams
 from .catalog import _LAB, _R, Query, six
-from .reviews import DEL_COLS, DET_COLS, reviews, table
+from .reviews import DEL_COLS, DET_COLS, parts_of, reviews, table
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -102,7 +102,10 @@ def a25(spark: SparkSession, sf: str) -> DataFrame:
 @query("a31_candidates", _TAGS + """, u AS (SELECT DISTINCT key, side, label FROM tl), k AS (SELECT label, side, count(*) AS count FROM u GROUP BY 1, 2)
 SELECT side, label, count, coalesce((SELECT count FROM k o WHERE o.label = k.label AND o.side <> k.side), 0) AS other_side, (SELECT min(key) FROM u WHERE u.label = k.label AND u.side = k.side) AS first_key FROM k""")
 def a31(spark: SparkSession, sf: str) -> DataFrame:
-    return audit.candidate_labels(audit.tag_long(tags(spark, sf)).drop("evidence")).withColumn("first_key", F.col("keys")[0]).drop("keys")
+    """Labels are taken without their evidence, so that no texts move, by tasks whose share does not grow with the tables."""
+    parts = parts_of(spark, sf, "lineitem")
+    rows = reviews(spark, sf, parts).select(F.col("review_id").alias("key"), symptom_array(DET_COLS).alias("dets"), symptom_array(DEL_COLS).alias("dels"))
+    return audit.candidate_labels(audit.key_labels(rows), parts=parts).withColumn("first_key", F.col("keys")[0]).drop("keys")
 
 
 @query("x12_verification", _TAGS + """, w AS (SELECT t.*, len(string_split_regex(trim(review_text), '\\s+')) AS words FROM tags t JOIN reviews r ON r.review_id = t.key)
